@@ -18,7 +18,8 @@ from riskmill import config as C
 from riskmill.functions import textops as T
 
 _DIGITS = 9
-_BLOCK_ROWS = 2048
+_BLOCK_ROWS = 2048  # vectors in a block
+_STRIPE = 64  # query blocks that one copy of a document block serves
 
 
 def term_weights(docs: DataFrame, epsilon: float = C.BM25_EPSILON) -> DataFrame:
@@ -149,9 +150,10 @@ def cosine_topk(
     """Exact best ``n`` documents per (query, class) by cosine similarity.
 
     queries(query_id, vector), docs(id, defect_class, vector); ids are strings or longs. Both sides
-    are packed into blocks of at most about 2,000 vectors, a pair of blocks is one matrix product,
-    and it leaves only ``n`` rows per query, so neither a hot class nor a group of copies reaches
-    one task whole and no pair of vectors becomes a row.
+    are packed into blocks of about 2,000 vectors. A pair of blocks is one matrix product that leaves
+    only ``n`` rows per query, so no pair of vectors becomes a row. The join key is (class, document
+    block, stripe of query blocks): a key never meets more than 64 query blocks, however hot its
+    class and however many queries there are.
     """
     if classes is not None:
         docs = docs.filter(F.col("defect_class").isin(*classes))
@@ -159,16 +161,22 @@ def cosine_topk(
     query_type = dict(queries.dtypes)["query_id"]
     doc_blocks = _blocks(docs.select("id", "defect_class", "vector"), ["defect_class"], "id")
     query_blocks = _blocks(queries.select("query_id", "vector"), [], "query_id").select(
+        F.col("n_blocks").alias("n_query_blocks"),
         F.col("block").alias("query_block"),
         F.col("ids").alias("query_ids"),
         F.col("vectors").alias("query_vectors"),
     )
-    # Every query block meets every document block: the list of document blocks is the number of
-    # documents over 2,000 long, and holds no vectors.
-    meetings = doc_blocks.groupBy().agg(F.collect_set(F.struct("defect_class", "block"))).scalar()
-    pairs = query_blocks.withColumn("m", F.explode(meetings)).select(
-        "query_block", "query_ids", "query_vectors", "m.*"
-    ).join(doc_blocks, ["defect_class", "block"])
+    # Block counts per class: as many entries as there are classes.
+    counts = doc_blocks.groupBy().agg(F.collect_set(F.struct("defect_class", "n_blocks"))).scalar()
+    stripes = query_blocks.agg(F.ceil(F.max("n_query_blocks") / F.lit(float(_STRIPE)))).scalar().cast("int")
+    striped_docs = doc_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), stripes - 1)))
+    asked = (
+        query_blocks.withColumn("stripe", F.floor(F.col("query_block") / _STRIPE).cast("int"))
+        .withColumn("c", F.explode(counts))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("c.n_blocks") - 1)))
+        .select("query_ids", "query_vectors", "stripe", F.col("c.defect_class").alias("defect_class"), "block")
+    )
+    pairs = asked.join(striped_docs, ["defect_class", "block", "stripe"])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
