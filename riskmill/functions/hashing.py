@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 _BLOCK = 64
 
@@ -37,7 +38,7 @@ def checkout_signature(order_id: Column, payment_id: Column, key: str) -> Column
     return hmac_sha256(F.concat(order_id, F.lit("|"), payment_id), key)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
     """Any JSON text with sorted keys, no spaces and ASCII escapes.
 

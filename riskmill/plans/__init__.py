@@ -1,0 +1,4 @@
+"""Jobs composed of operators, and the registered queries over the given tables."""
+
+from riskmill.plans.registry import QUERIES, SQL  # noqa: F401
+from riskmill.plans import scan_queries  # noqa: F401
