@@ -1,8 +1,8 @@
 """Hybrid retrieval: BM25, cosine similarity, reciprocal-rank fusion.
 
-Every ranking is exact. Scores are ranked after rounding to nine digits, so the order of a floating
-point sum, which depends on partitioning, never decides a rank; ties go to the smaller id. Ranks
-count from 0.
+Every ranking is exact. Scores are ranked after rounding (six digits for BM25, nine for cosine and
+fusion), so the order of a floating point sum, which depends on partitioning, never decides a rank;
+ties go to the smaller id. Ranks count from 0.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from riskmill import config as C
 from riskmill.functions import textops as T
 
 _DIGITS = 9
-_BLOCK_ROWS = 2048  # vectors in a block
+_BM25_DIGITS = 6
+_BLOCK_ROWS = 2048  # vectors in a document block
+_QUERY_ROWS = 256  # vectors in a query block
 _STRIPE = 64  # query blocks that one copy of a document block serves
 
 
@@ -74,8 +76,8 @@ def bm25_scores(
     )
 
 
-def _rank(scored: DataFrame, n: int) -> DataFrame:
-    rounded = scored.withColumn("score", F.round("score", _DIGITS))
+def _rank(scored: DataFrame, n: int, digits: int = _DIGITS) -> DataFrame:
+    rounded = scored.withColumn("score", F.round("score", digits))
     order = Window.partitionBy("query_id", "defect_class").orderBy(F.desc("score"), "id")
     return (
         rounded.withColumn("rn", F.row_number().over(order))
@@ -115,19 +117,24 @@ def bm25_topk(
             .join(_lowest_ids(wanted, n), "defect_class")
             .select("query_id", "id", "defect_class", F.lit(0.0).alias("score"))
         )
-        scored = _rank(scored, n).select("query_id", "id", "defect_class", "score").unionByName(unscored)
+        scored = _rank(scored, n, _BM25_DIGITS).select("query_id", "id", "defect_class", "score").unionByName(unscored)
         scored = scored.groupBy("query_id", "id", "defect_class").agg(F.max("score").alias("score"))
-    return _rank(scored, n)
+    return _rank(scored, n, _BM25_DIGITS)
 
 
-def _blocks(rows: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """Pack (id, vector) rows into blocks of bounded size; the block count follows the row count."""
+def _blocks(rows: DataFrame, keys: Sequence[str], item: str, size: int) -> DataFrame:
+    """Pack (id, vector) rows into blocks of about ``size``; the block count follows the row count."""
     sizes = rows.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(_BLOCK_ROWS))).cast("int").alias("n_blocks")
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int")).alias("n_blocks")
     )
-    numbered = rows.join(sizes, list(keys)) if keys else rows.withColumn("n_blocks", sizes.select("n_blocks").scalar())
+    numbered = rows.join(sizes, list(keys)) if keys else rows.withColumn("n_blocks", sizes.scalar())
+    numbered = numbered.withColumn("block", F.pmod(F.xxhash64(item), F.col("n_blocks")).cast("int"))
+    # A fixed number of partitions: the blocks are small in bytes but carry much arithmetic, so they
+    # must not be coalesced into a few tasks.
+    spark = rows.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
-        numbered.withColumn("block", F.pmod(F.xxhash64(item), F.col("n_blocks")).cast("int"))
+        numbered.repartition(width, *keys, "block")
         .groupBy(*keys, "n_blocks", "block")
         .agg(F.collect_list(item).alias("ids"), F.collect_list("vector").alias("vectors"))
     )
@@ -150,7 +157,7 @@ def cosine_topk(
     """Exact best ``n`` documents per (query, class) by cosine similarity.
 
     queries(query_id, vector), docs(id, defect_class, vector); ids are strings or longs. Both sides
-    are packed into blocks of about 2,000 vectors. A pair of blocks is one matrix product that leaves
+    are packed into blocks of bounded size. A pair of blocks is one matrix product that leaves
     only ``n`` rows per query, so no pair of vectors becomes a row. The join key is (class, document
     block, stripe of query blocks): a key never meets more than 64 query blocks, however hot its
     class and however many queries there are.
@@ -159,8 +166,8 @@ def cosine_topk(
         docs = docs.filter(F.col("defect_class").isin(*classes))
     id_type = dict(docs.dtypes)["id"]
     query_type = dict(queries.dtypes)["query_id"]
-    doc_blocks = _blocks(docs.select("id", "defect_class", "vector"), ["defect_class"], "id")
-    query_blocks = _blocks(queries.select("query_id", "vector"), [], "query_id").select(
+    doc_blocks = _blocks(docs.select("id", "defect_class", "vector"), ["defect_class"], "id", _BLOCK_ROWS)
+    query_blocks = _blocks(queries.select("query_id", "vector"), [], "query_id", _QUERY_ROWS).select(
         F.col("n_blocks").alias("n_query_blocks"),
         F.col("block").alias("query_block"),
         F.col("ids").alias("query_ids"),
@@ -181,23 +188,21 @@ def cosine_topk(
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                doc_ids = np.asarray(row.ids)
-                order = np.argsort(doc_ids, kind="stable")
-                doc_ids = doc_ids[order]
+                order = np.argsort(np.asarray(row.ids), kind="stable")
+                doc_ids, query_ids = np.asarray(row.ids)[order], np.asarray(row.query_ids)
                 scores = np.round(_unit_rows(row.query_vectors) @ _unit_rows(row.vectors)[order].T, _DIGITS)
-                for query_id, line in zip(row.query_ids, scores):
-                    if exclude_self:
-                        line = np.where(doc_ids == query_id, -np.inf, line)
-                    keep = np.argsort(-line, kind="stable")[:n]
-                    keep = keep[np.isfinite(line[keep])]
-                    yield pd.DataFrame(
-                        {
-                            "query_id": query_id,
-                            "defect_class": row.defect_class,
-                            "id": doc_ids[keep],
-                            "score": line[keep],
-                        }
-                    )
+                if exclude_self:
+                    scores[query_ids[:, None] == doc_ids[None, :]] = -np.inf
+                keep = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                found = pd.DataFrame(
+                    {
+                        "query_id": np.repeat(query_ids, keep.shape[1]),
+                        "defect_class": row.defect_class,
+                        "id": doc_ids[keep].ravel(),
+                        "score": np.take_along_axis(scores, keep, axis=1).ravel(),
+                    }
+                )
+                yield found[np.isfinite(found["score"])] if exclude_self else found
 
     found = pairs.select("query_ids", "query_vectors", "defect_class", "ids", "vectors").mapInPandas(
         best, f"query_id {query_type}, defect_class string, id {id_type}, score double"
@@ -244,7 +249,7 @@ def top_with_rule(fused: DataFrame, k: int = C.TOP_K) -> DataFrame:
     )
     place = F.when(promoted & (F.col("rn") == F.col("rule_rn")), F.lit(k)).otherwise(F.col("rn"))
     return ranked.filter(kept).select(
-        "query_id", "defect_class", "id", "tier", F.round("score", 6).alias("score"), place.alias("place")
+        "query_id", "defect_class", "id", "tier", "score", place.alias("place")
     )
 
 

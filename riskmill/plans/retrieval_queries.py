@@ -40,17 +40,17 @@ _BM25 = f"""docs AS (SELECT doc_id AS id, list_extract({_CLASS_LIST}, (doc_id %
   asked AS (SELECT item_id AS query_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS term FROM benchmark),
   scored AS (SELECT query_id, id, defect_class, sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS s
     FROM asked JOIN idf USING (term) JOIN tf USING (term), stats GROUP BY ALL),
-  complete AS (SELECT b.item_id AS query_id, d.id, d.defect_class, round(coalesce(s, 0.0), 9) AS score
+  complete AS (SELECT b.item_id AS query_id, d.id, d.defect_class, round(coalesce(s, 0.0), 6) AS score
     FROM benchmark b CROSS JOIN docs d LEFT JOIN scored c ON c.query_id = b.item_id AND c.id = d.id),
   lexical AS (SELECT query_id, defect_class, id, score, rn - 1 AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, defect_class ORDER BY score DESC, id) AS rn FROM complete) WHERE rn <= 24)"""
 
 
 def _shown(ranking):
-    return ranking.select("query_id", "defect_class", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return ranking.select("query_id", "defect_class", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("bm25_topk", f"WITH {_BM25} SELECT query_id, defect_class, id, round(score, 6) AS score, rank FROM lexical")
+@query("bm25_topk", f"WITH {_BM25} SELECT query_id, defect_class, id, score, rank FROM lexical")
 def bm25_topk(spark, sf):
     return _shown(retrieval.bm25_topk(*text_corpus(spark, sf)))
 
@@ -74,7 +74,7 @@ def _vectors(spark, sf):
 @query(
     "dense_topk",
     """WITH v AS (SELECT vec_id AS id, 'c' || label AS defect_class, embedding::DOUBLE[] AS e FROM embeddings)
-       SELECT query_id, defect_class, id, round(score, 6) AS score, rn - 1 AS rank FROM (
+       SELECT query_id, defect_class, id, score, rn - 1 AS rank FROM (
          SELECT *, row_number() OVER (PARTITION BY query_id, defect_class ORDER BY score DESC, id) AS rn FROM (
            SELECT q.id AS query_id, d.defect_class, d.id, round(list_cosine_similarity(q.e, d.e), 9) AS score FROM v q, v d)) WHERE rn <= 24""",
 )
@@ -90,10 +90,10 @@ _DENSE = f"""vd AS (SELECT d.doc_id AS id, list_extract({_CLASS_LIST}, (d.doc_id
       SELECT vq.query_id, vd.defect_class, vd.id, round(list_cosine_similarity(vq.e, vd.e), 9) AS score FROM vq, vd)) WHERE rn <= 24),
   fused AS (SELECT query_id, defect_class, id, CASE WHEN id % 37 = 0 THEN 'RULE' ELSE 'EXAMPLE' END AS tier,
       round(sum(1.0::DOUBLE / (60 + rank)) + CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE / 60 ELSE 0 END, 9) AS score
-    FROM (SELECT query_id, defect_class, id, rank FROM lexical UNION ALL SELECT * FROM dense) GROUP BY ALL),
+    FROM (SELECT query_id, defect_class, id, rank FROM lexical UNION ALL SELECT * FROM dense) GROUP BY query_id, defect_class, id),
   placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, defect_class ORDER BY score DESC, id) AS rn FROM fused),
   ruled AS (SELECT *, min(rn) FILTER (tier = 'RULE') OVER (PARTITION BY query_id, defect_class) AS rule_rn FROM placed),
-  final AS (SELECT query_id, defect_class, id, tier, round(score, 6) AS score, CASE WHEN rule_rn > 4 AND rn = rule_rn THEN 4 ELSE rn END AS place
+  final AS (SELECT query_id, defect_class, id, tier, score, CASE WHEN rule_rn > 4 AND rn = rule_rn THEN 4 ELSE rn END AS place
     FROM ruled WHERE CASE WHEN rule_rn > 4 THEN rn <= 3 OR rn = rule_rn ELSE rn <= 4 END)"""
 
 
@@ -107,9 +107,9 @@ def fused_ranking(spark, sf):
     return retrieval.reciprocal_rank_fusion([lexical, dense], document_meta(spark, sf))
 
 
-@query("rrf_fusion", f"WITH {_BM25}, {_DENSE} SELECT query_id, defect_class, id, tier, round(score, 6) AS score FROM fused")
+@query("rrf_fusion", f"WITH {_BM25}, {_DENSE} SELECT query_id, defect_class, id, tier, score FROM fused")
 def rrf_fusion(spark, sf):
-    return fused_ranking(spark, sf).withColumn("score", F.round("score", 6))
+    return fused_ranking(spark, sf)
 
 
 @query("retrieved_with_rule", f"WITH {_BM25}, {_DENSE} SELECT query_id, defect_class, id, tier, score, place FROM final")
@@ -129,22 +129,18 @@ def cited_rules(spark, sf):
     "reference_blocks",
     f"""WITH {_BM25}, {_DENSE}, lines AS (SELECT query_id, f.defect_class, place, '- (EXAMPLE ' || id || ') ' ||
           substr(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 200) AS line FROM final f JOIN documents ON doc_id = id),
-        blocks AS (SELECT query_id, defect_class, '[' || defect_class || ']' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS block FROM lines GROUP BY ALL)
+        blocks AS (SELECT query_id, defect_class, '[' || defect_class || ']' || chr(10) || string_agg(line, chr(10) ORDER BY place) AS block FROM lines GROUP BY query_id, defect_class)
         SELECT query_id, sha256(string_agg(block, chr(10) ORDER BY list_position({_CLASS_LIST}, defect_class))) AS digest FROM blocks GROUP BY 1""",
 )
 def reference_blocks(spark, sf):
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("EXAMPLE").alias("kind"), "text")
     references = retrieval.top_with_rule(fused_ranking(spark, sf))
-    lines = references.withColumn("id", F.col("id"))
-    return retrieval.reference_block(lines, chunks.withColumn("id", F.col("id"))).select(
+    return retrieval.reference_block(references, chunks).select(
         "query_id", F.sha2("references_text", 256).alias("digest")
     )
 
 
-@query(
-    "grounded_prompts",
-    None,
-)
+@query("grounded_prompts")
 def grounded_prompts(spark, sf):
     """Whole prompts with their references; checked in the tests."""
     queries, _ = text_corpus(spark, sf)

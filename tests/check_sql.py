@@ -51,8 +51,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str):
     types = [f"{c}:{kinds[c]}/{duck[c]}" for c in order if pairs.get(kinds[c]) != duck[c]]
     if a == b:
         return len(got), "ok" + (f" (types {types})" if types else "")
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    in_a, in_b = set(a), set(b)
+    only_a = [r for r in a if r not in in_b][:3]
+    only_b = [r for r in b if r not in in_a][:3]
     return len(got), f"MISMATCH rows {len(a)}/{len(b)}\n   cols  {order}\n   spark {only_a}\n   duck  {only_b}"
 
 
