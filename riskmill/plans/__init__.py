@@ -6,4 +6,6 @@ from riskmill.plans import (  # noqa: F401
     ledger_queries,
     retrieval_queries,
     scan_queries,
+    serving_queries,
+    stream_queries,
 )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskmill import config as C
+from riskmill.operators.audit import chain_step, with_payload
 from riskmill.operators.ledger import verify_signatures
 from riskmill.operators.rules import BUILT_IN_RULES, apply_rules
 from riskmill.operators.units import extract_code_units
@@ -128,12 +129,16 @@ class _OrderLedger(StatefulProcessor):
     """State machine of one order: its amount, whether it is paid, and its payments.
 
     Payments live in map state, so an order with very many payments is not read whole per batch.
+    With ``idle_ms`` the state of an order that sees no command for so long is dropped.
     """
 
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.order = handle.getValueState("order", "amount bigint, paid boolean")
+        self.order = handle.getValueState("order", "amount bigint, paid boolean", self.idle_ms)
         self.payments = handle.getMapState(
-            "payments", "payment_id string", "status string, refunded bigint"
+            "payments", "payment_id string", "status string, refunded bigint", self.idle_ms
         )
 
     def _judge(self, row, amount, paid):
@@ -194,7 +199,7 @@ class _OrderLedger(StatefulProcessor):
         pass
 
 
-def ledger_stream(commands: DataFrame, idle: str | None = None) -> DataFrame:
+def ledger_stream(commands: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """commands(order_id, payment_id, seq, command, outcome, amount) → verdict per command.
 
     Commands of one order must arrive in order of ``seq`` across micro-batches; inside one they are
@@ -206,27 +211,51 @@ def ledger_stream(commands: DataFrame, idle: str | None = None) -> DataFrame:
         commands.select("order_id", "payment_id", "seq", "command", "outcome", "amount")
         .groupBy("order_id")
         .transformWithStateInPandas(
-            _OrderLedger(),
+            _OrderLedger(idle_ms),
             f"order_id {order_type}, payment_id string, seq bigint, command string, accepted boolean, reject_reason string",
             "Append",
-            "None",
+            "None" if idle_ms is None else "ProcessingTime",
         )
     )
 
 
-def audit_append_stream(events: DataFrame, chain: str, path: str, checkpoint: str):
-    """Append micro-batches to an audit table; one stream must be the only writer of its chains.
+class _ChainAppender(StatefulProcessor):
+    """Keeps the last hash of a chain and extends the chain by the rows of each micro-batch."""
 
-    A repeated batch first drops what its earlier try wrote, because the batch id is a partition.
-    """
-    from riskmill.operators.audit import append_chain
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "hash string")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        tail = None
-        if batch_id > 0:
-            written = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-            tail = written.groupBy(chain).agg(F.max_by("hash", "seq").alias("last_hash"))
-        append_chain(batch, chain, tail).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else C.GENESIS_HASH
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        before, after = [], []
+        for payload in batch["payload"]:
+            before.append(last)
+            last = chain_step(last, payload)
+            after.append(last)
+        self.last.update((last,))
+        yield pd.DataFrame({"chain": key[0], "seq": batch["seq"], "payload": batch["payload"], "prev_hash": before, "hash": after})
+
+    def close(self) -> None:
+        pass
+
+
+def audit_chain_stream(events: DataFrame) -> DataFrame:
+    """Streaming append: events(chain, seq, actor, ...) → (chain, seq, payload, prev_hash, hash).
+
+    The end of each chain is keyed state, so the log is never read back, and chains run side by
+    side. One query must be the only writer of its chains.
+    """
+    use_rocksdb(events.sparkSession)
+    kinds = dict(events.dtypes)
+    return (
+        with_payload(events)
+        .select("chain", "seq", "payload")
+        .groupBy("chain")
+        .transformWithStateInPandas(
+            _ChainAppender(),
+            f"chain {kinds['chain']}, seq {kinds['seq']}, payload string, prev_hash string, hash string",
+            "Append",
+            "None",
+        )
+    )
