@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmill import config as C
+from riskmill.functions.textops import lookup
 
 ZERO = "zero-division-0/active-classes"
 ONE = "zero-division-1/all-classes"
@@ -31,20 +32,26 @@ def class_predictions(detections: DataFrame, classes: Sequence[str] = tuple(C.EV
     )
 
 
+def _also_as(predictions: DataFrame, condition: Column, name: str) -> DataFrame:
+    """Repeat the rows that meet a condition under another system name, in one pass."""
+    names = F.when(condition, F.array(F.col("system"), F.lit(name))).otherwise(F.array(F.col("system")))
+    return predictions.withColumn("system", F.explode(names))
+
+
 def union_systems(predictions: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
-    """Add a system that predicts whatever any of its parts predicts."""
-    mixed = predictions.filter(F.col("system").isin(*parts)).withColumn("system", F.lit(name))
-    return predictions.unionByName(class_predictions(mixed))
+    """Add a system that predicts whatever any of its parts predicts.
+
+    A pair predicted by several parts appears once per part; ``class_predictions`` folds them.
+    """
+    return _also_as(predictions, F.col("system").isin(*parts), name)
 
 
 def verified_system(predictions: DataFrame, base: str, verified: DataFrame, name: str) -> DataFrame:
     """Add a system that keeps predictions of ``base`` only where they were verified."""
-    kept = (
-        predictions.filter(F.col("system") == base)
-        .join(verified.select("sample_id", "defect_class"), ["sample_id", "defect_class"], "left_semi")
-        .withColumn("system", F.lit(name))
-    )
-    return predictions.unionByName(kept)
+    proved = verified.select("sample_id", "defect_class").distinct().withColumn("_proved", F.lit(True))
+    marked = predictions.join(proved, ["sample_id", "defect_class"], "left")
+    keep = (F.col("system") == base) & F.coalesce("_proved", F.lit(False))
+    return _also_as(marked, keep, name).select(*predictions.columns)
 
 
 def _ratio(top: Column, bottom: Column, empty: float) -> Column:
@@ -229,8 +236,6 @@ def compare_systems(
 
 def error_costs(counts: DataFrame) -> DataFrame:
     """Estimated money lost to wrong answers: review time for FP, expected loss for FN."""
-    from riskmill.functions.textops import lookup
-
     per_fp = C.REVIEW_MINUTES_PER_FP / 60.0 * C.HOURLY_COST_USD
     return counts.groupBy("system", "tau").agg(
         F.round(F.sum("fp") * F.lit(per_fp), 2).alias("fp_review_usd"),
@@ -255,7 +260,3 @@ def latest_reports(reports: DataFrame) -> DataFrame:
 def first_samples(samples: DataFrame, n: int) -> DataFrame:
     """The ``max_samples`` option of an evaluation run."""
     return samples.orderBy("sample_id").limit(n)
-
-
-def newest_first(order: Sequence[str]) -> Window:
-    return Window.orderBy(*[F.desc(c) for c in order])

@@ -23,7 +23,8 @@ _STATIC, _MODEL = 0, 1
 
 def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Both detectors in one shape; the position columns carry the order of the source lists."""
-    none = F.lit(None)
+    none = F.lit(None).cast("int")
+    spans = ("file_start_line", "file_end_line")
     static = hits.select(
         *keys,
         F.lit(_STATIC).alias("src"),
@@ -35,8 +36,9 @@ def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[st
         "scenario_ids",
         "rule_id",
         S.severity_rank(F.col("severity")).alias("rank"),
-        none.cast("int").alias("line_low"),
-        none.cast("int").alias("line_high"),
+        none.alias("line_low"),
+        none.alias("line_high"),
+        *[(F.col(c) if c in hits.columns else none).alias(c) for c in spans],
     )
     positive = F.filter("evidence_lines", lambda n: n > 0)
     model = model_findings.select(
@@ -48,33 +50,40 @@ def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[st
         "explanation",
         F.col("evidence_lines").cast("array<string>").alias("evidence"),
         "scenario_ids",
-        none.cast("string").alias("rule_id"),
-        none.cast("int").alias("rank"),
+        F.lit(None).cast("string").alias("rule_id"),
+        none.alias("rank"),
         F.array_min(positive).cast("int").alias("line_low"),
         F.array_max(positive).cast("int").alias("line_high"),
+        *[none.alias(c) for c in spans],
     )
     return static.unionByName(model)
 
 
-def feature_vectors(tagged: DataFrame, keys: Sequence[str] = KEYS, extra: Sequence[Column] = ()) -> DataFrame:
-    """One row of detector signals per key."""
-    static = F.col("src") == _STATIC
-    model = F.col("src") == _MODEL
-    found = tagged.groupBy(*keys).agg(
+def _features(static: Column, model: Column) -> list[Column]:
+    return [
         F.bool_or(static).alias("static_hit"),
         F.coalesce(F.max(F.when(static, F.col("confidence"))), F.lit(0.0)).alias("static_max_confidence"),
         F.sort_array(F.collect_set("rule_id")).alias("rule_ids"),
         F.bool_or(model).alias("llm_hit"),
         F.coalesce(F.max(F.when(model, F.col("confidence"))), F.lit(0.0)).alias("llm_max_confidence"),
         F.count_if(model).alias("llm_n_findings"),
-        F.bool_or(model & (F.size("evidence") > 0)).alias("llm_has_evidence_lines"),
-        *extra,
-    )
-    return found.withColumn("static_n_rules", F.size("rule_ids")).withColumn(
-        "both_agree", F.col("static_hit") & F.col("llm_hit")
+        F.bool_or(model & F.col("has_lines")).alias("llm_has_evidence_lines"),
+    ]
+
+
+def _with_derived(features: DataFrame) -> DataFrame:
+    return features.withColumns(
+        {"static_n_rules": F.size("rule_ids"), "both_agree": F.col("static_hit") & F.col("llm_hit")}
     )
 
 
+def feature_vectors(tagged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row of detector signals per key."""
+    static, model = F.col("src") == _STATIC, F.col("src") == _MODEL
+    rows = tagged.withColumn("has_lines", F.size("evidence") > 0)
+    return _with_derived(rows.groupBy(*keys).agg(*_features(static, model)))
+
+
 def score_features(features: DataFrame, weights: dict | None = None) -> DataFrame:
     """Attach the heuristic score, its evidence strings and the exposure label."""
     return features.withColumns(
@@ -124,55 +133,88 @@ def highest_risk(records: DataFrame, sample: Sequence[str] = ("sample_id",)) ->
     )
 
 
-def _first_distinct(tagged: DataFrame, keys: Sequence[str], column: str, limit: int | None) -> DataFrame:
-    """Distinct values of an array column in order of first appearance, per key."""
-    values = tagged.select(*keys, "src", "a", "b", F.posexplode(column).alias("i", "value"))
-    first = values.groupBy(*keys, "value").agg(F.min(F.struct("src", "a", "b", "i")).alias("pos"))
-    if limit is not None:
-        order = Window.partitionBy(*keys).orderBy("pos")
-        first = first.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit)
-    return first.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x.value).alias(column)
-    )
-
-
 def last_unit_spans(units: DataFrame) -> DataFrame:
     """Line span of the last unit of each file."""
     span = F.max_by(F.struct("start_line", "end_line"), "unit_pos")
     return units.groupBy("repo_id", "file").agg(span.alias("span"))
 
 
+def _signals(keys: Sequence[str]) -> list[Column]:
+    """Aggregates that pick one value per key; all combine before the shuffle."""
+    static, model = F.col("src") == _STATIC, F.col("src") == _MODEL
+    best = F.struct(F.col("confidence"), -F.col("a"), -F.col("b"))
+    return [
+        F.min("rank").alias("best_rank"),
+        F.max_by("explanation", F.when(static, best)).alias("static_explanation"),
+        F.max_by("explanation", F.when(model, best)).alias("model_explanation"),
+        F.min_by("explanation", F.when(model, F.struct("a", "b"))).alias("model_first"),
+        F.min("line_low").alias("line_low"),
+        F.max("line_high").alias("line_high"),
+        F.max("file_start_line").alias("file_start_line"),
+        F.max("file_end_line").alias("file_end_line"),
+    ]
+
+
+def _ordered_lists(first: DataFrame, keys: Sequence[str]) -> list[Column]:
+    def in_order(kind: str, name: str) -> Column:
+        items = F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "value")))
+        return F.transform(F.sort_array(items), lambda x: x.value).alias(name)
+
+    return [in_order("evidence", "evidence"), in_order("scenario", "scenario_ids")]
+
+
 def merge_findings(
     hits: DataFrame,
     model_findings: DataFrame,
     units: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """One finding per key from both detectors, with features attached for scoring."""
+    """One finding per key from both detectors, with features attached for scoring.
+
+    Both inputs are read once. Every detection becomes one row for its scalar signals and one per
+    evidence line and scenario id; a first aggregation folds equal values, a ranked window cuts
+    evidence to its cap, a second aggregation puts each key together. Line spans come with the
+    hits; ``units`` is needed only for files that have model findings and no hits.
+    """
     tagged = tag_detections(hits, model_findings, keys)
+    items = F.concat(
+        F.array(F.struct(F.lit("signal").alias("kind"), F.lit("").alias("value"), F.lit(0).alias("i"))),
+        F.transform("evidence", lambda v, i: F.struct(F.lit("evidence").alias("kind"), v.alias("value"), i.alias("i"))),
+        F.transform("scenario_ids", lambda v, i: F.struct(F.lit("scenario").alias("kind"), v.alias("value"), i.alias("i"))),
+    )
+    rows = tagged.select(
+        *[c for c in tagged.columns if c not in ("evidence", "scenario_ids")],
+        (F.size("evidence") > 0).alias("has_lines"),
+        F.explode(items).alias("item"),
+    ).select("*", "item.*").drop("item")
+
+    # Folding equal values of one key: the signals of a repeated line are not needed, so they are
+    # taken from the one signal row of each detection.
+    is_signal = F.col("kind") == "signal"
+    signal_only = [c for c in rows.columns if c not in (*keys, "kind", "value", "i", "a", "b", "src")]
+    rows = rows.withColumns({c: F.when(is_signal, F.col(c)) for c in signal_only})
     static, model = F.col("src") == _STATIC, F.col("src") == _MODEL
-    best = F.struct(F.col("confidence"), -F.col("a"), -F.col("b"))
-    merged = feature_vectors(
-        tagged,
-        keys,
-        [
-            F.min("rank").alias("best_rank"),
-            F.max_by("explanation", F.when(static, best)).alias("static_explanation"),
-            F.max_by("explanation", F.when(model, best)).alias("model_explanation"),
-            F.min_by("explanation", F.when(model, F.struct("a", "b"))).alias("model_first"),
-            F.min("line_low").alias("line_low"),
-            F.max("line_high").alias("line_high"),
-        ],
+    folded = rows.groupBy(*keys, "kind", "value").agg(
+        F.min(F.struct("src", "a", "b", "i")).alias("pos"),
+        *_features(static & is_signal, model & is_signal),
+        *_signals(keys),
+    )
+    # Only evidence is capped: any other value is alone in its window partition.
+    lane = F.when(F.col("kind") != "evidence", F.col("value"))
+    order = Window.partitionBy(*keys, "kind", lane).orderBy("pos")
+    first = folded.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= C.EVIDENCE_CAP)
+    carried = [c for c in folded.columns if c not in (*keys, "kind", "value", "pos")]
+    merged = first.groupBy(*keys).agg(
+        *_ordered_lists(first, keys),
+        *[F.max_by(c, F.when(is_signal, F.lit(1))).alias(c) for c in carried],
     )
-    evidence = _first_distinct(tagged, keys, "evidence", C.EVIDENCE_CAP)
-    scenarios = _first_distinct(tagged, keys, "scenario_ids", None)
-    merged = merged.join(evidence, list(keys), "left").join(scenarios, list(keys), "left")
+    merged = _with_derived(merged)
 
+    start, end = F.col("file_start_line"), F.col("file_end_line")
     if units is not None:
         merged = merged.join(last_unit_spans(units), ["repo_id", "file"], "left")
-        start, end = F.coalesce("span.start_line", F.lit(1)), F.coalesce("span.end_line", F.lit(1))
-    else:
-        start, end = F.lit(1), F.lit(1)
+        start, end = F.coalesce(start, "span.start_line"), F.coalesce(end, "span.end_line")
+    start, end = F.coalesce(start, F.lit(1)), F.coalesce(end, F.lit(1))
     own_lines = ~F.col("static_hit") & F.col("line_low").isNotNull()
 
     static_wins = F.col("static_hit") & (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskmill import config as C
 from riskmill.functions import textops as T
+from riskmill.session import task_width
 
 _DIGITS = 9
 _BM25_DIGITS = 6
@@ -24,11 +25,17 @@ _QUERY_ROWS = 256  # vectors in a query block
 _STRIPE = 64  # query blocks that one copy of a document block serves
 
 
+def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
+    """One row per token. The outer form keeps the optimizer from adding a filter on the array's
+    size, which would tokenize every text twice."""
+    return bags.select(*kept, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_weights(docs: DataFrame, epsilon: float = C.BM25_EPSILON) -> DataFrame:
     """Inverse document frequency of every term; negative values are floored as usual."""
     bags = docs.select(F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    seen = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = _explode_terms(bags, [], "terms").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
     idf = seen.select("term", raw.alias("raw"))
     floor = idf.agg(F.avg("raw") * F.lit(epsilon)).scalar()
@@ -49,7 +56,7 @@ def bm25_scores(
     only terms that some query uses leave the tokenizer.
     """
     asked = (
-        queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+        _explode_terms(queries.select("query_id", T.tokens(F.col("text")).alias("terms")), ["query_id"], "terms")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -58,10 +65,11 @@ def bm25_scores(
     )
     mean_length = docs.agg(F.avg(F.size(T.tokens(F.col("text"))))).scalar()
 
-    placed = docs.select("id", "defect_class", "text").repartition("id")
+    width = task_width(docs.sparkSession)
+    placed = docs.select("id", "defect_class", "text").repartition(width, "id")
     bags = placed.select("id", "defect_class", T.tokens(F.col("text")).alias("terms"))
     counts = (
-        bags.select("id", "defect_class", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+        _explode_terms(bags, ["id", "defect_class", F.size("terms").alias("length")], "terms")
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("id", "defect_class", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -131,10 +139,8 @@ def _blocks(rows: DataFrame, keys: Sequence[str], item: str, size: int) -> DataF
     numbered = numbered.withColumn("block", F.pmod(F.xxhash64(item), F.col("n_blocks")).cast("int"))
     # A fixed number of partitions: the blocks are small in bytes but carry much arithmetic, so they
     # must not be coalesced into a few tasks.
-    spark = rows.sparkSession
-    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
-        numbered.repartition(width, *keys, "block")
+        numbered.repartition(task_width(rows.sparkSession), *keys, "block")
         .groupBy(*keys, "n_blocks", "block")
         .agg(F.collect_list(item).alias("ids"), F.collect_list("vector").alias("vectors"))
     )

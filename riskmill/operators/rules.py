@@ -1,8 +1,8 @@
 """Detection rules: a table of patterns compiled into one array column per code unit.
 
 A rule is a row, so users add rules without writing functions. All rules of a table become
-``array_compact(array(when(...), ...))`` followed by one ``explode``: one pass over the corpus, no
-Python worker, no shuffle.
+``array(when(...), ...)`` followed by one explode: one pass over the corpus, no Python worker, no
+shuffle.
 """
 
 from __future__ import annotations
@@ -260,13 +260,12 @@ def _compile(rule: Rule, pos: int, raw: Column, code: Column, kind: Column) -> C
 
 
 def compile_rules(rules: Sequence[Rule] = BUILT_IN_RULES):
-    """A function from (raw text, text without comments, kind) to the array of hits."""
+    """A function from (raw text, text without comments, kind) to an array with one entry per rule,
+    null where the rule does not hit."""
     order = {rule_id: i for i, rule_id in enumerate(dict.fromkeys(r.rule_id for r in rules))}
 
     def column(raw: Column, code: Column, kind: Column) -> Column:
-        return F.array_compact(
-            F.array(*[_compile(r, order[r.rule_id], raw, code, kind) for r in rules])
-        )
+        return F.array(*[_compile(r, order[r.rule_id], raw, code, kind) for r in rules])
 
     return column
 
@@ -285,4 +284,7 @@ def apply_rules(units: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> Dat
         staged = staged.withColumn(_CODE, F.lit(None).cast("string"))
     kept = [c for c in units.columns if c != "source"]
     hits = build(F.col("source"), F.col(_CODE), F.col("kind"))
-    return staged.select(*kept, F.explode(hits).alias("_hit")).select(*kept, "_hit.*")
+    # explode() would make the optimizer add a filter on the array's size, which evaluates every rule
+    # a second time; the outer form does not.
+    exploded = staged.select(*kept, F.explode_outer(hits).alias("_hit")).filter(F.col("_hit").isNotNull())
+    return exploded.select(*kept, "_hit.*")

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from riskmill import config as C
 from riskmill.plans.registry import sql_text, table
 from riskmill.plans.snippets import FUNCTIONS, SCRIPTS
+from riskmill.session import spread
 
 DP, WI, AC, SC = C.DUPLICATE_PAYMENT, C.WEBHOOK_INTEGRITY, C.AMOUNT_CURRENCY, C.SUSPICIOUS_CONTENT
 
@@ -40,7 +41,7 @@ def code_files_of(docs: DataFrame) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
-    return code_files_of(table(spark, sf, "documents"))
+    return code_files_of(spread(table(spark, sf, "documents")))
 
 
 _LIST = "[" + ", ".join(sql_text(t) for t, _ in _TEMPLATES) + "]"
@@ -337,7 +338,7 @@ findings AS (
 
 def evaluation_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Samples are documents; truth comes from labels and lengths, predictions from their text."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     labels = table(spark, sf, "labels")
     samples = docs.select(F.col("doc_id").alias("sample_id"), (F.col("n_chars") % 2 == 0).alias("static_detectable"))
     truth = (
@@ -354,7 +355,7 @@ def evaluation_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     found = F.array_compact(
         F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(c).alias("defect_class"), conf.alias("confidence"))) for c, p in shapes])
     )
-    a = docs.select(F.lit("A").alias("system"), F.col("doc_id").alias("sample_id"), F.explode(found).alias("p"))
+    a = docs.select(F.lit("A").alias("system"), F.col("doc_id").alias("sample_id"), F.explode_outer(found).alias("p")).filter("p IS NOT NULL")
     mixed = F.array(
         *[
             F.struct(

@@ -8,6 +8,7 @@ from riskmill import config as C
 from riskmill.functions import textops as T
 from riskmill.operators import retrieval
 from riskmill.plans.registry import query, table
+from riskmill.session import spread
 
 _CLASS_LIST = "['" + "', '".join(C.EVAL_CLASSES) + "']"
 
@@ -15,7 +16,7 @@ _CLASS_LIST = "['" + "', '".join(C.EVAL_CLASSES) + "']"
 def text_corpus(spark, sf):
     """(queries, docs): the class of a document follows from its id."""
     names = F.array(*[F.lit(c) for c in C.EVAL_CLASSES])
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"), F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int")).alias("defect_class"), "text"
     )
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")

@@ -21,13 +21,15 @@ def scan_corpus(
 ) -> dict[str, DataFrame]:
     """All stages of a scan over files(repo_id, path, content).
 
-    Stages are lazy; write the units once (or checkpoint them) when several stages are wanted, as
-    the parser otherwise runs once per stage.
+    The findings are one pass over the files. Stages are lazy, so write the units once when several
+    stages are wanted, as the parser otherwise runs once per stage.
     """
-    if model_findings is None:
-        model_findings = files.sparkSession.createDataFrame([], MODEL_FINDINGS)
     kept = keep_source_files(files)
     units = extract_code_units(kept)
     hits = apply_rules(units, rules)
-    findings = fusion.score_findings(fusion.merge_findings(hits, model_findings, units), weights)
+    spans = units
+    if model_findings is None:
+        # Without model findings every finding has a hit, which carries the span of its file.
+        model_findings, spans = files.sparkSession.createDataFrame([], MODEL_FINDINGS), None
+    findings = fusion.score_findings(fusion.merge_findings(hits, model_findings, spans), weights)
     return {"files": kept, "units": units, "hits": hits, "model": model_findings, "findings": findings}

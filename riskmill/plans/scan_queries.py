@@ -11,6 +11,7 @@ from riskmill.functions import textops as T
 from riskmill.operators import fusion, rules, serving, units
 from riskmill.plans import derived as D
 from riskmill.plans.registry import query, sql_text, table
+from riskmill.session import spread
 from riskmill.sources import corpus
 
 
@@ -282,7 +283,7 @@ _DOC_LINES = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text[:-2], ch
 )
 def rule_hits_docs(spark, sf):
     """User-defined rules over the documents as they are."""
-    docs = table(spark, sf, "documents").select(F.col("text").alias("source"), F.lit("OTHER").alias("kind"), F.col("source").alias("src"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("text").alias("source"), F.lit("OTHER").alias("kind"), F.col("source").alias("src"))
     return rules.apply_rules(docs, DOCUMENT_RULES).groupBy(F.col("src").alias("source"), "rule_id").agg(
         F.count(F.lit(1)).alias("hits"), F.sum(F.size("evidence_lines")).cast("long").alias("lines")
     )

@@ -54,3 +54,24 @@ def reliable_checkpoint(df, eager: bool = True):
     """Cut lineage with a checkpoint that survives the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def task_width(spark: SparkSession) -> int:
+    """Partitions for stages that are heavy in arithmetic but light in bytes.
+
+    Adaptive execution merges partitions by bytes, which would leave such a stage to a few tasks; a
+    fixed number is kept as it is.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan):
+    """Let a heavy row-wise stage use all cores when its table lies in fewer splits than there are.
+
+    Meant for plain table scans. A large table has more splits than cores and is left alone, so
+    nothing is shuffled at scale.
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

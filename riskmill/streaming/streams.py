@@ -141,56 +141,69 @@ class _OrderLedger(StatefulProcessor):
             "payments", "payment_id string", "status string, refunded bigint", self.idle_ms
         )
 
-    def _judge(self, row, amount, paid):
-        """Reject reason or None, and the new (amount, paid) of the order."""
+    def _payment(self, touched: dict, payment_id: str):
+        """(status, refunded) or None; each payment is read at most once per micro-batch."""
+        if payment_id not in touched:
+            known = self.payments.containsKey((payment_id,))
+            touched[payment_id] = self.payments.getValue((payment_id,)) if known else None
+        return touched[payment_id]
+
+    def _judge(self, row, order, touched):
+        """Reject reason or None; updates ``order`` and ``touched`` in place."""
+        amount = order["amount"]
         if row.command == "order":
             if amount is not None:
-                return "DUPLICATE_ORDER", amount, paid
+                return "DUPLICATE_ORDER"
             if row.amount is None or row.amount < C.MIN_ORDER_PAISE:
-                return "BELOW_MINIMUM", amount, paid
-            return None, row.amount, False
+                return "BELOW_MINIMUM"
+            order["amount"], order["paid"] = row.amount, False
+            return None
         if row.command == "checkout":
             if amount is None:
-                return "UNKNOWN_ORDER", amount, paid
-            if paid:
-                return "ORDER_ALREADY_PAID", amount, paid
-            status = "authorized" if row.outcome == "success" else "failed"
-            self.payments.updateValue((row.payment_id,), (status, 0))
-            return None, amount, paid
-        if not self.payments.containsKey((row.payment_id,)):
-            return "UNKNOWN_PAYMENT", amount, paid
-        status, refunded = self.payments.getValue((row.payment_id,))
+                return "UNKNOWN_ORDER"
+            if order["paid"]:
+                return "ORDER_ALREADY_PAID"
+            touched[row.payment_id] = ("authorized" if row.outcome == "success" else "failed", 0)
+            return None
+        payment = self._payment(touched, row.payment_id) if amount is not None else None
+        if payment is None:
+            return "UNKNOWN_PAYMENT"
+        status, refunded = payment
         if row.command == "capture":
             if status in ("captured", "refunded"):
-                return "ALREADY_CAPTURED", amount, paid
+                return "ALREADY_CAPTURED"
             if status != "authorized":
-                return "NOT_AUTHORIZED", amount, paid
+                return "NOT_AUTHORIZED"
             if row.amount is not None and row.amount != amount:
-                return "AMOUNT_MISMATCH", amount, paid
-            self.payments.updateValue((row.payment_id,), ("captured", refunded))
-            return None, amount, True
+                return "AMOUNT_MISMATCH"
+            touched[row.payment_id], order["paid"] = ("captured", refunded), True
+            return None
         if status not in ("captured", "refunded"):
-            return "NOT_CAPTURED", amount, paid
+            return "NOT_CAPTURED"
         asked = amount if row.amount is None else row.amount
         if asked <= 0:
-            return "INVALID_AMOUNT", amount, paid
+            return "INVALID_AMOUNT"
         if refunded + asked > amount:
-            return "EXCEEDS_CAPTURED", amount, paid
+            return "EXCEEDS_CAPTURED"
         total = refunded + asked
-        self.payments.updateValue((row.payment_id,), ("refunded" if total >= amount else status, total))
-        return None, amount, paid
+        touched[row.payment_id] = ("refunded" if total >= amount else status, total)
+        return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        amount, paid = self.order.get() if self.order.exists() else (None, False)
+        stored = self.order.get()
+        order = {"amount": stored[0] if stored else None, "paid": bool(stored[1]) if stored else False}
+        before, touched = dict(order), {}
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        batch = batch.astype({"amount": "object"}).where(batch.notna(), None)
+        amounts = [None if pd.isna(v) else int(v) for v in batch["amount"]]
         out = []
-        for row in batch.itertuples(index=False):
-            value = None if row.amount is None else int(row.amount)
-            reason, amount, paid = self._judge(row._replace(amount=value), amount, paid)
+        for row, value in zip(batch.itertuples(index=False), amounts):
+            reason = self._judge(row._replace(amount=value), order, touched)
             out.append((key[0], row.payment_id, row.seq, row.command, reason is None, reason))
-        if amount is not None:
-            self.order.update((amount, paid))
+        if order != before:
+            self.order.update((order["amount"], order["paid"]))
+        for payment_id, payment in touched.items():
+            if payment is not None:
+                self.payments.updateValue((payment_id,), payment)
         yield pd.DataFrame(
             out, columns=["order_id", "payment_id", "seq", "command", "accepted", "reject_reason"]
         )
