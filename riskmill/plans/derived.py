@@ -32,10 +32,13 @@ def code_files_of(docs: DataFrame) -> DataFrame:
     folder = F.when(F.col("doc_id") % 23 == 5, "node_modules/lib").when(F.col("doc_id") % 23 == 7, "dist").otherwise("src")
     note = F.regexp_replace("text", r"[^\x00-\x5B\x5D-\x7F]", "?")
     doc = F.col("doc_id").cast("string")
+    content = F.replace(F.replace(text, F.lit("{ID}"), doc), F.lit("{NOTE}"), note)
+    # A filter on a computed column is pushed below its computation and repeats it per condition.
+    # A corpus read from files has the column ready; here the explode of one value stands for that.
     return docs.select(
         F.col("source").alias("repo_id"),
         F.concat(F.lit("/corpus/"), "source", F.lit("/"), folder, F.lit("/f"), doc, ext).alias("path"),
-        F.replace(F.replace(text, F.lit("{ID}"), doc), F.lit("{NOTE}"), note).alias("content"),
+        F.explode(F.array(content)).alias("content"),
         "doc_id",
     )
 

@@ -29,7 +29,7 @@ def _joined(column: str, sep: str = "|"):
 )
 def source_files_kept(spark, sf):
     raw = D.code_files(spark, sf).withColumn("content", F.encode("content", "UTF-8"))
-    files = corpus.keep_source_files(raw).withColumn("content", F.decode("content", "UTF-8"))
+    files = corpus.keep_source_files(raw).withColumn("content", corpus.decode_text(F.col("content")))
     return files.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("chars")
     )

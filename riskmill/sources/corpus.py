@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,18 @@ def keep_source_files(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 
+def decode_text(content: Column) -> Column:
+    """UTF-8 text; invalid bytes become replacement characters, so no file can fail the job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def repository_of(path: Column, root: str) -> Column:
-    """First path component below the root."""
-    below = F.substring_index(path, root.rstrip("/") + "/", -1)
+    """First path component below the root; scheme and authority do not matter."""
+    base = re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    below = F.substring(F.regexp_replace(path, _SCHEME, ""), len(base) + 1, 1_000_000)
     return F.substring_index(below, "/", 1)
 
 
@@ -46,7 +57,7 @@ def read_source_corpus(spark: SparkSession, path: str, stream: bool = False) ->
     return keep_source_files(raw).select(
         repository_of(F.col("path"), path).alias("repo_id"),
         "path",
-        F.decode("content", "UTF-8").alias("content"),
+        decode_text(F.col("content")).alias("content"),
     )
 
 
