@@ -216,7 +216,8 @@ def ledger_stream(commands: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """commands(order_id, payment_id, seq, command, outcome, amount) → verdict per command.
 
     Commands of one order must arrive in order of ``seq`` across micro-batches; inside one they are
-    sorted.
+    sorted. ``idle_ms`` is for queries that run on: such a query always has another batch to run,
+    so it never ends by itself under ``availableNow``.
     """
     use_rocksdb(commands.sparkSession)
     order_type = dict(commands.dtypes)["order_id"]

@@ -35,7 +35,7 @@ def test_refunds_in_the_stream(spark, tmp_path):
             (1, "p", 4, "refund", None, 60), (1, "p", 5, "refund", None, 50), (1, "p", 6, "refund", None, 40), (1, "p", 7, "refund", None, 1), (1, "p", 8, "refund", None, 0)]
     df = spark.createDataFrame(rows, "order_id int, payment_id string, seq bigint, command string, outcome string, amount bigint")
     stream = batches(spark, df, str(tmp_path / "in"), ["seq"])
-    got = streams.run_to_table(streams.ledger_stream(stream, idle_ms=3_600_000), "t-refunds").collect()
+    got = streams.run_to_table(streams.ledger_stream(stream), "t-refunds").collect()
     assert {r.seq: r.reject_reason for r in got} == {0: None, 1: None, 2: "NOT_CAPTURED", 3: None, 4: None, 5: "EXCEEDS_CAPTURED", 6: None, 7: "EXCEEDS_CAPTURED", 8: "INVALID_AMOUNT"}
 
 
