@@ -125,7 +125,7 @@ def detections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(hits, model findings): even events are rule hits, odd ones model findings."""
     from riskmill.functions.textops import lookup
 
-    base = keyed_events(spark, sf).withColumns(
+    base = spread(keyed_events(spark, sf)).withColumns(
         {
             "repo_id": F.concat(F.lit("repo"), (F.col("user_id") % 10).cast("string")),
             "file": F.concat(F.lit("f"), F.col("user_id").cast("string")),
