@@ -21,6 +21,11 @@ KEYS = ("repo_id", "file", "defect_class")
 _STATIC, _MODEL = 0, 1
 
 
+def _strings(column: str) -> Column:
+    """A list as strings; a missing list is an empty one."""
+    return F.coalesce(F.col(column).cast("array<string>"), F.array().cast("array<string>"))
+
+
 def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Both detectors in one shape; the position columns carry the order of the source lists."""
     none = F.lit(None).cast("int")
@@ -32,8 +37,8 @@ def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[st
         F.col("rule_pos").cast("long").alias("b"),
         F.col("confidence").cast("double").alias("confidence"),
         "explanation",
-        F.col("evidence_lines").cast("array<string>").alias("evidence"),
-        "scenario_ids",
+        _strings("evidence_lines").alias("evidence"),
+        _strings("scenario_ids").alias("scenario_ids"),
         "rule_id",
         S.severity_rank(F.col("severity")).alias("rank"),
         none.alias("line_low"),
@@ -48,8 +53,8 @@ def tag_detections(hits: DataFrame, model_findings: DataFrame, keys: Sequence[st
         F.col("finding_pos").cast("long").alias("b"),
         F.col("confidence").cast("double").alias("confidence"),
         "explanation",
-        F.col("evidence_lines").cast("array<string>").alias("evidence"),
-        "scenario_ids",
+        _strings("evidence_lines").alias("evidence"),
+        _strings("scenario_ids").alias("scenario_ids"),
         F.lit(None).cast("string").alias("rule_id"),
         none.alias("rank"),
         F.array_min(positive).cast("int").alias("line_low"),
@@ -155,7 +160,7 @@ def _signals(keys: Sequence[str]) -> list[Column]:
     ]
 
 
-def _ordered_lists(first: DataFrame, keys: Sequence[str]) -> list[Column]:
+def _ordered_lists() -> list[Column]:
     def in_order(kind: str, name: str) -> Column:
         items = F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "value")))
         return F.transform(F.sort_array(items), lambda x: x.value).alias(name)
@@ -205,7 +210,7 @@ def merge_findings(
     first = folded.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= C.EVIDENCE_CAP)
     carried = [c for c in folded.columns if c not in (*keys, "kind", "value", "pos")]
     merged = first.groupBy(*keys).agg(
-        *_ordered_lists(first, keys),
+        *_ordered_lists(),
         *[F.max_by(c, F.when(is_signal, F.lit(1))).alias(c) for c in carried],
     )
     merged = _with_derived(merged)

@@ -10,7 +10,8 @@ from riskmill import config as C
 FILES = "repo_id string, path string, content string"
 UNITS = (
     "repo_id string, file string, unit_pos int, symbol string, start_line int, end_line int, "
-    "kind string, imports array<string>, callees array<string>, source string"
+    "kind string, imports array<string>, callees array<string>, source string, "
+    "file_start_line int, file_end_line int"
 )
 HITS = (
     "repo_id string, file string, unit_pos int, rule_pos int, rule_id string, defect_class string, "

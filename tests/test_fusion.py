@@ -78,3 +78,9 @@ def test_score_is_capped_and_monotone(spark):
         if s and sc == 0.0:
             assert by[s, 1.0, n, m, mc, k, e] >= score
     assert by[True, 0.5, 1, False, 0.0, 1, False] > by[False, 0.5, 1, True, 1.0, 1, True]
+
+
+def test_missing_lists_count_as_empty(spark):
+    m = spark.createDataFrame([("r", "f", 0, 0, C.AMOUNT_CURRENCY, 0.5, "m", None, None)], MODEL_FINDINGS)
+    row = fusion.merge_findings(spark.createDataFrame([], HITS), m).first()
+    assert (row.evidence_lines, row.scenario_ids, row.llm_has_evidence_lines, row.detector_source) == ([], ["AC-1"], False, "LLM")

@@ -1,7 +1,5 @@
 """Corpus reading and code units."""
 
-from pyspark.sql import functions as F
-
 from riskmill.operators.units import extract_code_units, with_whole_file_fallback
 from riskmill.plans.scan import scan_corpus
 from riskmill.sources.corpus import read_rule_chunks, read_samples, read_source_corpus
