@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
 import tempfile
 import uuid
 
@@ -31,20 +34,27 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "riskmi
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster that folder would
-    exist on one machine, so a missing setting is an error there.
+    Only a plain local session may fall back to a temporary folder: on a cluster that folder would
+    exist on one machine, so a missing setting is an error there. The fallback is kept here and
+    removed when the process ends; the session's settings are not touched.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        configured = _local_folder()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="riskmill-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; every call gets its own."""
     return f"{shared_dir(spark).rstrip('/')}/riskmill/{name}-{uuid.uuid4().hex}"
