@@ -14,7 +14,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: later uses do not recompute it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
