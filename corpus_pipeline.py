@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskmill.llm.common import stored
+from riskmill.llm.decontaminate import stage_decontamination
 from riskmill.llm.language_id import stage_language_id
+from riskmill.llm.line_dedup import stage_line_dedup
+from riskmill.llm.near_dup import stage_near_dedup
 from riskmill.llm.packing import stage_best_fit_packing
 
 STAGES = [
     ("language_id", stage_language_id),
+    ("line_dedup", stage_line_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("decontamination", stage_decontamination),
     ("best_fit_packing", stage_best_fit_packing),
 ]
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from riskmill.llm.ann import op8_ann
+from riskmill.llm.decontaminate import op6_decontamination
 from riskmill.llm.huffman_ids import op5_huffman_ids
 from riskmill.llm.language_id import op9_language_id
+from riskmill.llm.line_dedup import op7_line_dedup
 from riskmill.llm.near_dup import op4_near_dup
 from riskmill.llm.packing import op2_best_fit_packing
 from riskmill.llm.quality import op1_quality
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_near_dup": op4_near_dup,
     "op5_huffman_ids": op5_huffman_ids,
+    "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
