@@ -15,8 +15,8 @@ Words are runs without ASCII white space, in lower case. A pair at the least sim
 bits apart (standard deviation 3), and a passage offers a window for each of its shingles.
 
 Null and empty texts or items have no words and match nothing; items and documents of fewer than
-5 words are one shingle. Repeated items are reported each; repeated documents each. Extra columns are
-ignored.
+5 words are one shingle. Rows without an id are left out. Repeated rows are reported once. Ties between
+windows go to the first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from riskmill.llm.common import stored
 
 SIZE, LEAST = 5, 0.75
+SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 BLOCKS, NEAR, RADIUS = 8, 2, 22
-#: A table of item shingles of up to so many rows (24 bytes each) is sent to all tasks; a larger one is shuffled.
-SENT = 1_000_000
+#: A table of item shingles or of held texts of up to so many rows is sent to all tasks; a larger one is shuffled.
+SENT = 500_000
 _LANES = 0x0001000100010001
 _WIDTH = 64 // BLOCKS
 _NEAR_VALUES = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(_WIDTH), n)]
@@ -39,14 +40,18 @@ _NEAR_VALUES = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in c
 
 def _shingled(df: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns, n_words and h: the hash of the shingle at every word (all words, if fewer than SIZE)."""
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    rows = df.where("text is not null").select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    rows = rows.where(F.size("w") > 0)
-    many = F.transform(
-        F.slice("w", 1, F.greatest(F.size("w") - (SIZE - 1), F.lit(1))),
-        lambda _, i: F.xxhash64(*[F.get("w", i + k) for k in range(SIZE)]),
-    )
-    return rows.select(*keep, F.size("w").alias("n_words"), many.alias("h"))
+    plain = F.btrim(F.lower("text"), F.lit("".join(SPACES)))
+    words = F.when(plain != "", F.split(plain, r"[\x20\x09-\x0D]+", -1)).otherwise(F.array().cast("array<string>"))
+    # named by a lambda, each step is computed once per text
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    both = F.transform(F.array(hashes), lambda w: F.struct(F.size(w).alias("n_words"), _runs(w).alias("h")))
+    return df.where("text is not null").select(*keep, F.inline(both))
+
+
+def _runs(w):
+    """Hashes of all runs of SIZE elements of an array of hashes; of the whole, if it is shorter."""
+    last = F.when(F.size(w) > 0, F.greatest(F.size(w) - (SIZE - 1), F.lit(1))).otherwise(0)
+    return F.transform(F.slice(w, 1, last), lambda _, i: F.xxhash64(*[F.get(w, i + k) for k in range(SIZE)]))
 
 
 def _fingerprint(rows: DataFrame, *keys: str) -> DataFrame:
@@ -66,29 +71,49 @@ def _fingerprint(rows: DataFrame, *keys: str) -> DataFrame:
     return counted.select(*keys, bits.alias("print"))
 
 
+def _shingles(size):
+    return F.greatest(size - (SIZE - 1), F.lit(1))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """A table that is small enough, by count, to be sent to every task; otherwise as it is, to be shuffled."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
 def _block(value, b: int):
     return F.shiftrightunsigned(value, b * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, start (word), n_words, distance, similarity (of the best window)."""
-    known = stored(_shingled(items, "item_id"), "items")
+    known = stored(_shingled(items.where("item_id is not null"), "item_id").where("n_words > 0"), "items")
     # distinct (shingle, size) of all items, whatever the corpus
-    marks = known.select(F.explode("h").alias("h"), F.col("n_words").alias("size")).distinct()
-    marks = stored(marks.groupBy("h").agg(F.collect_set("size").alias("sizes")), "marks")
-    near = F.broadcast(marks) if marks.count() <= SENT else marks
-
-    row = F.monotonically_increasing_id()
-    texts = _shingled(docs.select("doc_id", "text"), "doc_id")
-    hits = texts.select("doc_id", row.alias("row"), "n_words", "h", F.posexplode("h").alias("at", "g"))
-    hits = hits.join(near.withColumnRenamed("h", "g"), "g").select("doc_id", "row", "n_words", "h", "at", F.explode("sizes").alias("size"))
-    # a window that would pass the end of the text becomes the text's last window of that size
-    shingles = F.greatest(F.col("size") - (SIZE - 1), F.lit(1))
-    start = F.least(F.col("at"), F.greatest(F.size("h") - shingles, F.lit(0)))
-    windows = hits.select("doc_id", "row", "size", start.alias("start"), F.slice("h", start + 1, shingles).alias("g"))
-    windows = stored(windows, "windows").dropDuplicates(["row", "size", "start"])
-    opened = windows.select("row", "size", "start", F.explode("g").alias("h"))
-    prints = _fingerprint(opened, "row", "size", "start")
+    marks = known.select(F.explode("h").alias("g"), F.col("n_words").alias("size")).distinct()
+    marks = stored(marks.groupBy("g").agg(F.collect_set("size").alias("sizes")), "marks")
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("name"))
+    places = _shingled(docs, "doc_id", "name").select("doc_id", "name", F.posexplode("h").alias("at", "g"))
+    hits = stored(places.join(_sent(marks), "g").select("doc_id", "name", "at", "sizes").distinct(), "hits")
+    # what a text holds of the items: never more than its own words
+    held = stored(hits.groupBy("doc_id", "name").agg(F.collect_list(F.struct("at", "sizes")).alias("hits")), "held")
+    texts = _shingled(docs.join(_sent(held), ["doc_id", "name"]), "doc_id", "name", "hits")
+
+    def at_most(start, size):  # a window that would pass the end becomes the text's last one of that size
+        return F.least(start, F.greatest(F.size("h") - _shingles(size), F.lit(0)))
+
+    starts = F.flatten(
+        F.transform(
+            "hits",
+            lambda hit: F.transform(hit["sizes"], lambda z: F.struct(z.alias("size"), at_most(hit["at"], z).alias("start"))),
+        )
+    )
+    cut = F.transform(
+        F.array_distinct(starts), lambda w: F.struct(w["size"].alias("size"), w["start"].alias("start"), F.slice("h", w["start"] + 1, _shingles(w["size"])).alias("g"))
+    )
+    windows = texts.select("doc_id", "name", F.explode(cut).alias("w")).select("doc_id", "name", "w.*")
+    windows = stored(windows.dropDuplicates(["doc_id", "name", "size", "start"]), "windows")
+    opened = windows.select("doc_id", "name", "size", "start", F.explode("g").alias("h"))
+    prints = _fingerprint(opened, "doc_id", "name", "size", "start")
     own = _fingerprint(known.select("item_id", F.col("n_words").alias("size"), F.explode("h").alias("h")), "item_id", "size")
     own = own.withColumnRenamed("print", "item_print")
 
@@ -101,17 +126,18 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
         ).alias("k"),
     ).select("item_id", "size", "item_print", "k.b", "k.value")
     asked = prints.select(
-        "row",
+        "doc_id",
+        "name",
         "size",
         "start",
         "print",
         F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _block(F.col("print"), b).alias("value")) for b in range(BLOCKS)])).alias("k"),
-    ).select("row", "size", "start", "print", "k.b", "k.value")
+    ).select("doc_id", "name", "size", "start", "print", "k.b", "k.value")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     met = asked.join(filed, ["size", "b", "value"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    met = met.select("row", "size", "start", "item_id", "distance").distinct()
+    met = met.select("doc_id", "name", "size", "start", "item_id", "distance").distinct()
 
-    pairs = met.join(windows, ["row", "size", "start"]).join(
+    pairs = met.join(windows, ["doc_id", "name", "size", "start"]).join(
         known.select("item_id", F.col("n_words").alias("size"), F.col("h").alias("own")), ["item_id", "size"]
     )
     common = F.aggregate(
@@ -124,7 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     best = F.max_by(
         F.struct("start", "distance", "similarity"), F.struct("similarity", -F.col("start"), -F.col("distance"))
     ).alias("best")
-    found = pairs.where(F.col("similarity") >= least).groupBy("row", "doc_id", "item_id", F.col("size").alias("n_words")).agg(best)
+    found = pairs.where(F.col("similarity") >= least).groupBy("doc_id", "name", "item_id", F.col("size").alias("n_words")).agg(best)
     return found.select("doc_id", "item_id", "best.start", "n_words", "best.distance", "best.similarity")
 
 

@@ -6,8 +6,8 @@ words (``SIZE`` characters from each start of a word; a change moves the words b
 starts). Bands of ``ROWS`` minima propose pairs with high recall, and a pair is a link if the sets of
 all its overlapping ``SIZE``-character shingles (a shorter line: itself) have a Jaccard similarity of
 ``least`` or more. Components of links are found by distributed union-find; of each, the first line
-(by doc_id, line number) stays and the others are removed. A permutation is an exclusive-or with a
-fixed mask: the smallest of the changed hashes is a uniform choice among random hashes.
+(by doc_id, line number) stays and the others are removed. A permutation is the middle of the product
+of a shingle's hash and a fixed odd factor.
 
 Equal lines are one node of the graph from the start, so a line that fills a third of the table is
 one row before any pair is made. Blank lines are never removed. Null and empty texts have no lines.
@@ -24,24 +24,29 @@ from pyspark.sql import functions as F
 
 from riskmill.llm.common import linked, stored
 
-SIZE, BANDS, ROWS, LEAST = 9, 10, 3, 0.75
-_MASKS = [random.Random(17).getrandbits(32) - 2**31 for _ in range(BANDS * ROWS)]
+SIZE, BANDS, ROWS, LEAST = 9, 12, 3, 0.75
+_random = random.Random(17)
+_FACTORS = [_random.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
 #: Node tables of up to so many rows (16 bytes each) are sent to all tasks; larger ones are shuffled.
 SENT = 1_000_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line, norm (what is compared) and its hash, of every line that is not blank."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("norm", F.lower(F.regexp_replace("line", r"^\s+|\s+$", "")))
+    """doc_id, line_no (from 0), norm (what is compared) and its hash, of every line that is not blank."""
+    rows = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    rows = rows.select("doc_id", "line_no", F.btrim("line", F.lit("\x20\x09\x0b\x0c\x0d")).alias("norm"))
     return rows.where("norm <> ''").withColumn("id", F.xxhash64("norm"))
 
 
 def buckets_of(lines: DataFrame) -> DataFrame:
     """bucket, id: the bands of every distinct line."""
     starts = F.regexp_extract_all("norm", F.lit(rf"(?=(.{{1,{SIZE}}}))\S+"), F.lit(1))
-    rows = lines.select("id", F.explode(starts).alias("shingle")).select("id", F.hash("shingle").alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_MASKS)]
+    rows = lines.select("id", F.explode(starts).alias("shingle")).select(
+        "id", F.hash("shingle").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")
+    )
+    # 32 bits times 31 bits fit a long; the middle of the product is the permuted value
+    mixed = [F.shiftright(F.col("h") * F.lit(f), 16).bitwiseAND(F.lit(0x7FFFFFFF)) for f in _FACTORS]
+    minima = [F.min(value).alias(f"m{i}") for i, value in enumerate(mixed)]
     signed = rows.groupBy("id").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select(F.explode(F.array(*bands)).alias("bucket"), "id")
