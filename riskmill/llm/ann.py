@@ -3,9 +3,9 @@
 Method: nearness is the inner product, turned into distance by one more coordinate (a vector is
 scaled by the largest norm and padded to length one, a query is scaled to length one and padded
 with zero). The index holds, for each block of vectors, one sorted array for each of
-``PROJECTIONS`` random lines: the vectors' positions along that line. A query's window on each line is
-centred on its own position and widened by virtual rehashing (twice the radius each round) without
-building anything anew; a vector counts one collision for each line whose window holds it. Vectors
+``PROJECTIONS`` random lines, the vectors' positions along it, with each vector's rank in it. A query's window on each line is
+centred on its own position and widened by virtual rehashing (``WIDEN`` times the radius each round)
+without building anything anew; a vector counts one collision for each line whose window holds it. Vectors
 with ``THRESHOLD`` collisions or more are verified on the original coordinates. A query stops
 when it has verified ``enough`` vectors of the block (a multiple of k), so its best k are safe with
 the documented recall; windows of the last round hold the block whole, so k are found if there are.
@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 128, 0.5, 8192, 512
+PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 128, 0.5, 24576, 256
+FIRST_RADIUS, WIDEN, SHARE = 0.5, 1.12, 0.1
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -46,41 +47,49 @@ def _unit(v: np.ndarray, largest: float) -> np.ndarray:
 class BlockIndex:
     """The sorted projection arrays of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 8):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, share: float = SHARE, seed: int = 8):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.largest = np.linalg.norm(self.vectors, axis=1).max()
         rng = np.random.default_rng(seed)
         self.lines = rng.standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         places = _unit(self.vectors, self.largest) @ self.lines.T
-        self.rows = np.argsort(places, axis=0, kind="stable")
-        self.places = np.take_along_axis(places, self.rows, axis=0).T.copy()
-        self.rows = self.rows.T.astype(np.int32).copy()
-        self.radius = 0.05
-
-    def search(self, query_id: int, query: np.ndarray, k: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        centred = np.append(query / np.linalg.norm(query), 0.0) @ self.lines.T
-        middle = np.array([np.searchsorted(p, c) for p, c in zip(self.places, centred)])
+        rows = np.argsort(places, axis=0, kind="stable")
+        self.places = np.take_along_axis(places, rows, axis=0).T.copy()
+        self.ranks = np.empty((PROJECTIONS, len(order)), np.uint16)
+        np.put_along_axis(self.ranks, rows.T, np.arange(len(order), dtype=np.uint16)[None, :], axis=1)
+        self.share = share
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the best k found of each query; all queries widen their windows in step."""
+        n, most = len(self.ids), len(queries)
+        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        centred = (np.hstack([unit, np.zeros((most, 1))]) @ self.lines.T).T
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
-        count = np.zeros(n, np.int32)
-        low, high, radius = middle.copy(), middle.copy(), self.radius
-        while True:
-            parts = []
-            for j in range(PROJECTIONS):
-                a = np.searchsorted(self.places[j, : low[j]], centred[j] - radius)
-                b = high[j] + np.searchsorted(self.places[j, high[j] :], centred[j] + radius, "right")
-                parts += [self.rows[j, a : low[j]], self.rows[j, high[j] : b]]
-                low[j], high[j] = a, b
-            count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
-            close = np.flatnonzero((count >= least) & (self.ids != query_id))
-            if len(close) >= min(enough, n - 1) or (high - low).min() == n:
-                break
-            radius *= 1.2
-        self.radius = radius / 1.2  # the next query starts near where this one ended
-        score = _products(self.vectors[close], query)
-        best = np.lexsort((self.ids[close], -score))[:k]
-        return self.ids[close][best], score[best]
+        enough = max(50 * k, int(self.share * n))
+        found: list = [None] * most
+        moved, hit = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool)
+        waiting, radius = np.arange(most), FIRST_RADIUS
+        while len(waiting):
+            c = centred[:, waiting]
+            first = np.array([np.searchsorted(p, v - radius) for p, v in zip(self.places, c)])
+            after = np.array([np.searchsorted(p, v + radius, "right") for p, v in zip(self.places, c)])
+            first, width = first.astype(np.uint16), (after - first).astype(np.uint16)
+            done = []
+            for at, i in enumerate(waiting.tolist()):
+                # a vector collides on a line if its rank lies in the window: one wrapping subtraction, one comparison
+                np.subtract(self.ranks, first[:, at, None], out=moved)
+                np.less(moved, width[:, at, None], out=hit)
+                close = np.flatnonzero(np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8) >= least)
+                close = close[self.ids[close] != query_ids[i]]
+                if len(close) >= enough or width[:, at].min() == n:
+                    score = _products(self.vectors[close], queries[i])
+                    best = np.lexsort((self.ids[close], -score))[:k]
+                    found[i] = (self.ids[close][best], score[best])
+                    done.append(at)
+            waiting = np.delete(waiting, done)
+            radius *= WIDEN
+        return found
 
 
 def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -91,7 +100,7 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, enough: int = 1000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query. Inputs have id, v."""
     spark = vectors.sparkSession
     width = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
@@ -109,10 +118,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, enough: int = 1
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            index = BlockIndex(left["id"].to_numpy(), np.stack(left["v"].to_numpy()))
+            index = BlockIndex(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), share)
             right = right.sort_values("id")
-            for query_id, query in zip(right["id"].tolist(), right["v"]):
-                ids, scores = index.search(query_id, np.asarray(query), k, enough)
+            asked = right["id"].to_numpy()
+            for query_id, (ids, scores) in zip(asked, index.search(asked, np.stack(right["v"].to_numpy()), k)):
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

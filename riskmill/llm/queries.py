@@ -8,6 +8,7 @@ from riskmill.llm.huffman_ids import op5_huffman_ids
 from riskmill.llm.language_id import op9_language_id
 from riskmill.llm.line_dedup import op7_line_dedup
 from riskmill.llm.near_dup import op4_near_dup
+from riskmill.llm.ngram_trie import op3_lm_scores
 from riskmill.llm.packing import op2_best_fit_packing
 from riskmill.llm.quality import op1_quality
 from riskmill.llm.token_counts import op10_token_counts
@@ -15,6 +16,7 @@ from riskmill.llm.token_counts import op10_token_counts
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_lm_scores": op3_lm_scores,
     "op4_near_dup": op4_near_dup,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_decontamination": op6_decontamination,
