@@ -34,7 +34,7 @@ def dense_rank_by_hash(groups: DataFrame, column: str, seed: str = C.SPLIT_SEED)
     )
 
 
-def merge_groups_by_content(samples: DataFrame, group: str, content: str = "content_hash", max_rounds: int = 60) -> DataFrame:
+def merge_groups_by_content(samples: DataFrame, group: str, content: str = "content_hash") -> DataFrame:
     """Map each group to the smallest group it is linked to through equal content.
 
     Connected components by minimum label over the bipartite graph group - content. Every round
@@ -44,7 +44,7 @@ def merge_groups_by_content(samples: DataFrame, group: str, content: str = "cont
     edges = reliable_checkpoint(samples.select(group, content).distinct())
     labels = edges.groupBy(group).agg(F.min(group).alias("root"))
     labels = reliable_checkpoint(labels)
-    for _ in range(max_rounds):
+    while True:
         by_content = (
             edges.join(labels, group).groupBy(content).agg(F.min("root").alias("root"))
         )
@@ -54,11 +54,10 @@ def merge_groups_by_content(samples: DataFrame, group: str, content: str = "cont
             group, F.least("near", F.coalesce("far", "near")).alias("root")
         )
         moved = reliable_checkpoint(moved)
-        changed = moved.join(labels.withColumnRenamed("root", "old"), group).filter("root <> old").isEmpty()
+        stable = moved.join(labels.withColumnRenamed("root", "old"), group).filter("root <> old").isEmpty()
         labels = moved
-        if changed:
+        if stable:
             return labels
-    raise RuntimeError(f"groups still merging after {max_rounds} rounds; raise max_rounds")
 
 
 def group_split(

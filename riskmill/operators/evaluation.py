@@ -253,7 +253,7 @@ def restrict_truth(truth: DataFrame, samples: DataFrame, static_detectable: bool
 def latest_reports(reports: DataFrame) -> DataFrame:
     """Newest report per exact system name."""
     others = [c for c in reports.columns if c != "system"]
-    newest = F.max_by(F.struct(*others), F.col("generated_at"))
+    newest = F.max_by(F.struct(*others), F.struct("generated_at", *[c for c in others if c != "generated_at"]))
     return reports.groupBy("system").agg(newest.alias("_r")).select("system", "_r.*")
 
 

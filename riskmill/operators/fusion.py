@@ -173,12 +173,13 @@ def merge_findings(
     model_findings: DataFrame,
     units: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
+    evidence_cap: int | None = None,
 ) -> DataFrame:
     """One finding per key from both detectors, with features attached for scoring.
 
     Both inputs are read once. Every detection becomes one row for its scalar signals and one per
-    evidence line and scenario id; a first aggregation folds equal values, a ranked window cuts
-    evidence to its cap, a second aggregation puts each key together. Line spans come with the
+    evidence line and scenario id; a first aggregation folds equal values, with ``evidence_cap`` a
+    ranked window cuts evidence (default: all is kept), a second aggregation puts each key together. Line spans come with the
     hits; ``units`` is needed only for files that have model findings and no hits.
     """
     tagged = tag_detections(hits, model_findings, keys)
@@ -207,7 +208,9 @@ def merge_findings(
     # Only evidence is capped: any other value is alone in its window partition.
     lane = F.when(F.col("kind") != "evidence", F.col("value"))
     order = Window.partitionBy(*keys, "kind", lane).orderBy("pos")
-    first = folded.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= C.EVIDENCE_CAP)
+    first = folded
+    if evidence_cap is not None:
+        first = folded.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= evidence_cap).drop("rn")
     carried = [c for c in folded.columns if c not in (*keys, "kind", "value", "pos")]
     merged = first.groupBy(*keys).agg(
         *_ordered_lists(),

@@ -271,7 +271,7 @@ def cited_rule(references: DataFrame) -> DataFrame:
 # --- knowledge base ------------------------------------------------------------------------
 
 
-def example_chunks(train: DataFrame) -> DataFrame:
+def example_chunks(train: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Example chunks from training samples (sample_id, content, classes array, hard_negative).
 
     One chunk per labelled class; a safe sample gives one per class it speaks for. Samples without
@@ -281,7 +281,7 @@ def example_chunks(train: DataFrame) -> DataFrame:
     hard = F.coalesce("hard_negative", F.lit(False)) | F.lower("sample_id").rlike("^(hn-|sb-)")
     rows = train.filter(T.strip_edges(F.col("content")) != "").select(
         "sample_id",
-        F.substring("content", 1, C.EXAMPLE_CHARS).alias("code"),
+        _excerpt(F.col("content"), max_chars).alias("code"),
         unsafe.alias("unsafe"),
         hard.alias("hard_negative"),
         F.explode(F.when(unsafe, F.col("classes")).otherwise(T.infer_safe_classes(F.col("sample_id")))).alias("defect_class"),
@@ -324,9 +324,14 @@ def grounded_prompt(base_prompt, references_text):
     )
 
 
-def reference_block(references: DataFrame, chunks: DataFrame) -> DataFrame:
+def _excerpt(text, max_chars: int | None):
+    """The text, or its first characters where a caller sets a limit."""
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
+def reference_block(references: DataFrame, chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Reference text per query: per class a tag, then one line per chunk. At most k lines each."""
-    excerpt = F.substring(T.collapse_space(F.col("text")), 1, C.REFERENCE_CHARS)
+    excerpt = _excerpt(T.collapse_space(F.col("text")), max_chars)
     lines = references.join(chunks.select("id", "kind", "text"), "id").select(
         "query_id",
         "defect_class",

@@ -8,7 +8,7 @@ shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ class Rule:
     ``on_code`` tests the text without comments. ``evidence`` patterns select lines of the raw
     text; with ``evidence_also`` a line must match both and a hit needs at least one such line.
     ``allowed_values`` turns the first ``all_of`` pattern into a capture: the hit needs a captured
-    value outside that list. Patterns ignore case unless listed in ``cased``.
+    value outside that list. ``cap`` limits the evidence lines of a hit (None: all). Patterns ignore case unless listed in ``cased``.
     """
 
     rule_id: str
@@ -39,7 +39,7 @@ class Rule:
     scenarios: Sequence[str] = ()
     evidence: Sequence[str] = ()
     evidence_also: str | None = None
-    cap: int = 5
+    cap: int | None = None
     allowed_values: Sequence[str] | None = None
     cased: frozenset[str] = field(default_factory=frozenset)
 
@@ -118,7 +118,7 @@ INJECTED_PHRASE = (
     r"send\s+(the|all|this)\s+(data|info|credentials?|keys?|secrets?)\s+to\b)"
 )
 
-BUILT_IN_RULES = [
+BUILT_IN_RULES = [  # fixed values, with their cap of evidence lines
     Rule(
         "DP-R1", C.DUPLICATE_PAYMENT, "HIGH", 0.55,
         "An order is created and nothing looks for an existing one; a client retry charges twice.",
@@ -201,6 +201,7 @@ BUILT_IN_RULES = [
         all_of=[INJECTED_PHRASE], evidence=[INJECTED_PHRASE], cap=3,
     ),
 ]
+BUILT_IN_RULES = [replace(r, cap=r.cap or 5) for r in BUILT_IN_RULES]
 
 HIT_SCHEMA = (
     "struct<rule_pos:int,rule_id:string,defect_class:string,severity:string,confidence:double,"
@@ -232,7 +233,7 @@ def _compile(rule: Rule, pos: int, raw: Column, code: Column, kind: Column) -> C
         )
         hit = hit & (F.size(found) > 0)
         evidence = F.transform(
-            F.slice(found, 1, rule.cap), lambda v: F.concat(F.lit("currency: '"), v, F.lit("'"))
+            _first(found, rule.cap), lambda v: F.concat(F.lit("currency: '"), v, F.lit("'"))
         )
     elif rule.evidence:
         parts = [
@@ -242,7 +243,7 @@ def _compile(rule: Rule, pos: int, raw: Column, code: Column, kind: Column) -> C
         every = F.concat(*parts) if len(parts) > 1 else parts[0]
         if rule.evidence_also is not None:
             hit = hit & (F.size(every) > 0)
-        evidence = F.slice(every, 1, rule.cap)
+        evidence = _first(every, rule.cap)
     else:
         evidence = _string_array([])
 
@@ -259,6 +260,15 @@ def _compile(rule: Rule, pos: int, raw: Column, code: Column, kind: Column) -> C
     return F.when(hit, found_hit.cast(HIT_SCHEMA))
 
 
+def _first(lines: Column, cap: int | None) -> Column:
+    return lines if cap is None else F.slice(lines, 1, cap)
+
+
+def uncapped(rules: Sequence[Rule]) -> list[Rule]:
+    """The same rules with all their evidence lines."""
+    return [replace(r, cap=None) for r in rules]
+
+
 def compile_rules(rules: Sequence[Rule] = BUILT_IN_RULES):
     """A function from (raw text, text without comments, kind) to an array with one entry per rule,
     null where the rule does not hit."""

@@ -84,14 +84,16 @@ def verdict_denomination(evidence: DataFrame) -> DataFrame:
 def retry_outcomes(attempts: DataFrame, max_attempts: int = C.MAX_ATTEMPTS) -> DataFrame:
     """Result of each call from its attempts(call_id, attempt, http_status, transport_error).
 
-    5xx and transport errors may be tried again up to the budget; any other answer is final.
+    5xx and transport errors may be tried again up to the budget; any other answer is final. Answers
+    beyond the budget do not count, but every call is reported: with no attempt inside the budget
+    it is an error after 0 attempts.
     """
     failed = F.col("transport_error") | (F.col("http_status") >= 500)
-    inside = attempts.filter(F.col("attempt") <= max_attempts)
-    answered = inside.groupBy("call_id").agg(
-        F.min_by("http_status", F.when(~failed, F.col("attempt"))).alias("http_status"),
-        F.min(F.when(~failed, F.col("attempt"))).alias("answered_at"),
-        F.max("attempt").alias("tried"),
+    inside = F.col("attempt") <= max_attempts
+    answered = attempts.groupBy("call_id").agg(
+        F.min_by("http_status", F.when(inside & ~failed, F.col("attempt"))).alias("http_status"),
+        F.min(F.when(inside & ~failed, F.col("attempt"))).alias("answered_at"),
+        F.coalesce(F.max(F.when(inside, F.col("attempt"))), F.lit(0)).alias("tried"),
     )
     return answered.select(
         "call_id",
@@ -119,8 +121,8 @@ def gate_measured(findings: DataFrame, outcomes: DataFrame) -> DataFrame:
     decisive = F.col("status").isin("VERIFIED", "NOT_REPRODUCED")
     verified = F.col("status") == "VERIFIED"
     latest = scrub_outcomes(outcomes).groupBy("finding_id").agg(
-        F.max_by("status", F.when(decisive, F.col("finished_seq"))).alias("_status"),
-        F.max_by("measured_impact_paise", F.when(verified, F.col("finished_seq"))).alias("_measured"),
+        F.max_by("status", F.when(decisive, F.struct("finished_seq", "status"))).alias("_status"),
+        F.max_by("measured_impact_paise", F.when(verified, F.struct("finished_seq", "measured_impact_paise"))).alias("_measured"),
         F.bool_or(verified).alias("_proved"),
     )
     state = (

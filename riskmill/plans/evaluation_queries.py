@@ -264,7 +264,8 @@ _CHUNKS_SQL = f"""{D.LABELLED}, exploded AS (
 def _chunks(spark, sf):
     train = dataset.group_split(D.labelled_samples(spark, sf)).filter("split = 'train'")
     return retrieval.example_chunks(
-        train.select("sample_id", "content", F.col("labels").alias("classes"), F.lit(False).alias("hard_negative"))
+        train.select("sample_id", "content", F.col("labels").alias("classes"), F.lit(False).alias("hard_negative")),
+        max_chars=C.EXAMPLE_CHARS,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskmill.operators import audit, ledger, verdicts
@@ -248,19 +249,21 @@ def denomination_check(spark, sf):
 
 @query(
     "retry_outcomes",
-    """WITH a AS (SELECT l_orderkey AS call_id, l_linenumber AS attempt, min(CASE WHEN l_returnflag = 'R' THEN 503 WHEN l_returnflag = 'A' THEN 404 ELSE 200 END) AS http, bool_or(l_linestatus = 'F' AND l_returnflag = 'N') AS broken FROM lineitem GROUP BY ALL),
+    """WITH l AS (SELECT l_orderkey AS call_id, l_linenumber AS line, min(CASE WHEN l_returnflag = 'R' THEN 503 WHEN l_returnflag = 'A' THEN 404 ELSE 200 END) AS http, bool_or(l_linestatus = 'F' AND l_returnflag = 'N') AS broken FROM lineitem GROUP BY ALL),
+       a AS (SELECT call_id, row_number() OVER (PARTITION BY call_id ORDER BY line) AS attempt, http, broken FROM l),
        ok AS (SELECT call_id, min(attempt) AS hit_at, arg_min(http, attempt) AS http FROM a WHERE attempt <= 3 AND NOT broken AND http < 500 GROUP BY 1),
-       tried AS (SELECT call_id, max(attempt) AS n FROM a WHERE attempt <= 3 GROUP BY 1)
+       tried AS (SELECT call_id, least(max(attempt), 3) AS n FROM a GROUP BY 1)
        SELECT t.call_id, ok.http AS http_status, coalesce(hit_at, n)::BIGINT AS attempts, CASE WHEN hit_at IS NULL THEN 'ERROR' ELSE 'ANSWERED' END AS status,
          CASE WHEN hit_at IS NULL THEN 'GATEWAY_UNAVAILABLE' END AS error_code FROM tried t LEFT JOIN ok ON ok.call_id = t.call_id""",
 )
 def retry_outcomes(spark, sf):
     flag = F.col("l_returnflag")
-    attempts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("attempt")).agg(
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("call_id"), "l_linenumber").agg(
         F.min(F.when(flag == "R", 503).when(flag == "A", 404).otherwise(200)).alias("http_status"),
         F.bool_or((F.col("l_linestatus") == "F") & (flag == "N")).alias("transport_error"),
     )
-    return verdicts.retry_outcomes(attempts)
+    order = Window.partitionBy("call_id").orderBy("l_linenumber")
+    return verdicts.retry_outcomes(lines.withColumn("attempt", F.row_number().over(order)))
 
 
 _OUTCOMES = f"""{D.SCAN_TABLES}, outcomes AS (SELECT finding_id, part AS finished_seq, CASE part % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'NOT_REPRODUCED' WHEN 2 THEN 'ERROR' ELSE 'INCONCLUSIVE' END AS status,

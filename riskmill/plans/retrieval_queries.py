@@ -8,7 +8,6 @@ from riskmill import config as C
 from riskmill.functions import textops as T
 from riskmill.operators import retrieval
 from riskmill.plans.registry import query, table
-from riskmill.session import spread
 
 _CLASS_LIST = "['" + "', '".join(C.EVAL_CLASSES) + "']"
 
@@ -16,7 +15,7 @@ _CLASS_LIST = "['" + "', '".join(C.EVAL_CLASSES) + "']"
 def text_corpus(spark, sf):
     """(queries, docs): the class of a document follows from its id."""
     names = F.array(*[F.lit(c) for c in C.EVAL_CLASSES])
-    docs = spread(table(spark, sf, "documents")).select(
+    docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int")).alias("defect_class"), "text"
     )
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -136,7 +135,7 @@ def cited_rules(spark, sf):
 def reference_blocks(spark, sf):
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("EXAMPLE").alias("kind"), "text")
     references = retrieval.top_with_rule(fused_ranking(spark, sf))
-    return retrieval.reference_block(references, chunks).select(
+    return retrieval.reference_block(references, chunks, C.REFERENCE_CHARS).select(
         "query_id", F.sha2("references_text", 256).alias("digest")
     )
 
@@ -146,6 +145,6 @@ def grounded_prompts(spark, sf):
     """Whole prompts with their references; checked in the tests."""
     queries, _ = text_corpus(spark, sf)
     chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("EXAMPLE").alias("kind"), "text")
-    blocks = retrieval.reference_block(retrieval.top_with_rule(fused_ranking(spark, sf), C.TOP_K_PER_UNIT), chunks)
+    blocks = retrieval.reference_block(retrieval.top_with_rule(fused_ranking(spark, sf), C.TOP_K_PER_UNIT), chunks, C.REFERENCE_CHARS)
     base = T.analysis_prompt(F.lit("query.py"), F.concat(F.lit("q"), F.col("query_id").cast("string")), F.lit("OTHER"), F.col("text"))
     return queries.join(blocks, "query_id").select("query_id", retrieval.grounded_prompt(base, F.col("references_text")).alias("prompt"))

@@ -18,10 +18,11 @@ def scan_corpus(
     model_findings: DataFrame | None = None,
     rules: Sequence[Rule] = BUILT_IN_RULES,
     weights: dict | None = None,
+    evidence_cap: int | None = None,
 ) -> dict[str, DataFrame]:
     """All stages of a scan over files(repo_id, path, content).
 
-    The findings are one pass over the files. Stages are lazy, so write the units once when several
+    The findings are one pass over the files, with all their evidence unless ``evidence_cap`` is set. Stages are lazy, so write the units once when several
     stages are wanted, as the parser otherwise runs once per stage.
     """
     kept = keep_source_files(files)
@@ -31,5 +32,5 @@ def scan_corpus(
     if model_findings is None:
         # Without model findings every finding has a hit, which carries the span of its file.
         model_findings, spans = files.sparkSession.createDataFrame([], MODEL_FINDINGS), None
-    findings = fusion.score_findings(fusion.merge_findings(hits, model_findings, spans), weights)
+    findings = fusion.score_findings(fusion.merge_findings(hits, model_findings, spans, evidence_cap=evidence_cap), weights)
     return {"files": kept, "units": units, "hits": hits, "model": model_findings, "findings": findings}

@@ -11,7 +11,6 @@ from riskmill.functions import textops as T
 from riskmill.operators import fusion, rules, serving, units
 from riskmill.plans import derived as D
 from riskmill.plans.registry import query, sql_text, table
-from riskmill.session import spread
 from riskmill.sources import corpus
 
 
@@ -283,7 +282,7 @@ _DOC_LINES = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text[:-2], ch
 )
 def rule_hits_docs(spark, sf):
     """User-defined rules over the documents as they are."""
-    docs = spread(table(spark, sf, "documents")).select(F.col("text").alias("source"), F.lit("OTHER").alias("kind"), F.col("source").alias("src"))
+    docs = table(spark, sf, "documents").select(F.col("text").alias("source"), F.lit("OTHER").alias("kind"), F.col("source").alias("src"))
     return rules.apply_rules(docs, DOCUMENT_RULES).groupBy(F.col("src").alias("source"), "rule_id").agg(
         F.count(F.lit(1)).alias("hits"), F.sum(F.size("evidence_lines")).cast("long").alias("lines")
     )
@@ -292,17 +291,15 @@ def rule_hits_docs(spark, sf):
 @query(
     "hits_by_severity",
     RULE_HITS_SQL + """ SELECT file, rule_id, severity, confidence,
-      row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, confidence DESC, file, rule_id) AS place
-      FROM hits WHERE confidence >= 0.6 ORDER BY place LIMIT 100""",
+      CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END::BIGINT AS severity_rank
+      FROM hits WHERE confidence >= 0.6""",
 )
 def hits_by_severity(spark, sf):
-    """The 100 worst hits of at least 0.6 confidence, a top-k report."""
+    """All hits of at least 0.6 confidence, the most severe and most confident first."""
     hits = corpus_hits(spark, sf).filter(F.col("confidence") >= 0.6)
-    top = hits.orderBy(S.severity_rank(F.col("severity")), F.desc("confidence"), "file", "rule_id").limit(100)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(S.severity_rank(F.col("severity")), F.desc("confidence"), "file", "rule_id")
-    return top.select("file", "rule_id", "severity", "confidence", F.row_number().over(order).cast("long").alias("place"))
+    rank = S.severity_rank(F.col("severity")).cast("long").alias("severity_rank")
+    rows = hits.select("file", "rule_id", "severity", "confidence", rank)
+    return rows.orderBy("severity_rank", F.desc("confidence"), "file", "rule_id")
 
 
 @query(
@@ -358,7 +355,7 @@ fused AS (
 
 def fused_findings(spark, sf):
     hits, model = D.detections(spark, sf)
-    return fusion.score_findings(fusion.merge_findings(hits, model))
+    return fusion.score_findings(fusion.merge_findings(hits, model, evidence_cap=C.EVIDENCE_CAP))
 
 
 @query(
@@ -427,7 +424,7 @@ def corpus_findings(spark, sf):
     """The whole scan: files, units, rules, merge, score."""
     from riskmill.plans.scan import scan_corpus
 
-    found = scan_corpus(D.code_files(spark, sf))["findings"]
+    found = scan_corpus(D.code_files(spark, sf), evidence_cap=C.EVIDENCE_CAP)["findings"]
     return found.select(
         "repo_id", "file", "defect_class", F.col("static_n_rules").cast("long").alias("n_rules"), "confidence", "start_line", "end_line", "score"
     )
@@ -444,7 +441,7 @@ def corpus_findings(spark, sf):
 def scan_statistics(spark, sf):
     from riskmill.plans.scan import scan_corpus
 
-    stages = scan_corpus(D.code_files(spark, sf))
+    stages = scan_corpus(D.code_files(spark, sf), evidence_cap=C.EVIDENCE_CAP)
     stats = serving.scan_statistics(stages["files"], stages["units"], stages["hits"], stages["model"], stages["findings"])
     return stats.filter("py_files + js_files > 0").drop("n_llm_findings")
 

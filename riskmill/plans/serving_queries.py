@@ -108,11 +108,11 @@ def exception_queue(spark, sf):
 
 @query(
     "worst_findings",
-    f"WITH {D.SCAN_TABLES} SELECT finding_id, severity, confidence FROM findings ORDER BY severity_rank, confidence DESC, finding_id LIMIT 200",
+    f"WITH {D.SCAN_TABLES} SELECT finding_id, severity, confidence FROM findings",
 )
 def worst_findings(spark, sf):
-    """The 200 most severe and most confident findings."""
-    return serving.by_severity(D.scan_tables(spark, sf)["findings"]).limit(200).select("finding_id", "severity", "confidence")
+    """All findings, the most severe and most confident first; a caller takes as many as it wants."""
+    return serving.by_severity(D.scan_tables(spark, sf)["findings"]).select("finding_id", "severity", "confidence")
 
 
 @query(

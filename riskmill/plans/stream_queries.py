@@ -13,10 +13,6 @@ from riskmill.sources.corpus import keep_source_files
 from riskmill.streaming import streams
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-ORDERS = (
-    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string"
-)
 
 
 def event_stream(spark, sf):
@@ -29,14 +25,24 @@ def event_stream(spark, sf):
     )
 
 
+_HORIZON_US = 86_400_000_000
+
+
 @query(
     "stream_event_dedup",
-    f"WITH {D.KEYED_EVENTS} SELECT DISTINCT user_id, event_type, k FROM keyed",
+    f"""WITH RECURSIVE {D.KEYED_EVENTS},
+      e AS (SELECT user_id, event_type, k, event_id, ts_us, row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY ts_us, event_id) AS n FROM keyed),
+      walk AS (SELECT *, ts_us AS last_us FROM e WHERE n = 1
+        UNION ALL SELECT e.*, CASE WHEN e.ts_us - w.last_us >= {_HORIZON_US} THEN e.ts_us ELSE w.last_us END
+          FROM walk w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.k = w.k AND e.n = w.n + 1)
+      SELECT user_id, event_type, k, event_id FROM walk WHERE last_us = ts_us AND n = (SELECT min(x.n) FROM e x WHERE x.user_id = walk.user_id
+        AND x.event_type = walk.event_type AND x.k = walk.k AND x.ts_us = walk.ts_us)""",
 )
 def stream_event_dedup(spark, sf):
-    """Keys that got through. Which of two copies in one micro-batch survives is not defined."""
-    kept = streams.dedup_stream(event_stream(spark, sf), ["user_id", "event_type", "k"])
-    return streams.run_to_table(kept, "dedup").select("user_id", "event_type", "k")
+    """The events that get through: those at least a day after the last one of their key that did."""
+    events = event_stream(spark, sf).select("ts", "event_id", "user_id", "event_type", "k")
+    kept = streams.dedup_stream(events, ["user_id", "event_type", "k"])
+    return streams.run_to_table(kept, "dedup").select("user_id", "event_type", "k", "event_id")
 
 
 @query(
@@ -58,15 +64,17 @@ def stream_signature_gate(spark, sf):
 
 @query(
     "stream_duplicate_effects",
-    f"""WITH {D.KEYED_EVENTS}, w AS (SELECT ts_us // 86400000000 AS day, user_id || '-' || event_type AS event_key, count(*) AS effects FROM keyed GROUP BY ALL)
-        SELECT day * 86400000000 AS window_us, event_key, effects FROM w WHERE effects >= 2
-          AND (day + 1) * 86400000000 <= (SELECT max(ts_us) // 1000 * 1000 FROM keyed) - 86400000000""",
+    f"""WITH {D.KEYED_EVENTS}, e AS (SELECT user_id || '-' || event_type AS event_key, ts_us, event_id,
+          coalesce(ts_us - lag(ts_us) OVER (PARTITION BY user_id, event_type ORDER BY ts_us, event_id) >= {_HORIZON_US}, true)::INT AS fresh FROM keyed),
+        runs AS (SELECT *, sum(fresh) OVER (PARTITION BY event_key ORDER BY ts_us, event_id) AS run FROM e),
+        counted AS (SELECT event_key, ts_us, row_number() OVER (PARTITION BY event_key, run ORDER BY ts_us, event_id) AS effects FROM runs)
+        SELECT event_key, ts_us, effects FROM counted WHERE effects >= 2""",
 )
 def stream_duplicate_effects(spark, sf):
-    """Closed day windows; those after the last watermark stay open."""
+    """Each effect that follows another of its key within a day, and the how-manieth of its run it is."""
     effects = event_stream(spark, sf).select("ts", F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("event_key"), F.lit(1).alias("effects"))
     found = streams.run_to_table(streams.duplicate_effect_stream(effects, "event_key"), "effects")
-    return found.select(F.unix_micros("window_start").alias("window_us"), "event_key", "effects")
+    return found.select("event_key", F.unix_micros("ts").alias("ts_us"), "effects")
 
 
 @query(
@@ -90,48 +98,3 @@ def stream_rule_hits(spark, sf):
     docs = streams.read_table_stream(spark, f"{sf}/documents.parquet", DOCUMENTS)
     files = keep_source_files(D.code_files_of(docs))
     return _flat_hits(streams.run_to_table(streams.scan_stream(files), "hits"))
-
-
-def order_commands(orders):
-    """Nine commands per order; amounts and outcomes depend on its key and customer."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    amount = F.round(F.col("o_totalprice") * 100, 0).cast("long")
-    none = F.lit(None)
-
-    def step(seq, command, payment, outcome, value):
-        return F.struct(
-            F.lit(seq).cast("long").alias("seq"), F.lit(command).alias("command"),
-            F.concat(F.lit(payment), key.cast("string")).alias("payment_id"), outcome.cast("string").alias("outcome"), value.cast("long").alias("amount"),
-        )
-
-    first = F.when(key % 3 == 0, "failure").otherwise("success")
-    steps = [
-        step(1, "order", "-", none, F.when(cust % 10 == 0, F.lit(50)).otherwise(amount)),
-        step(2, "checkout", "a", first, none),
-        step(3, "capture", "a", none, F.when(key % 5 == 0, amount + 1)),
-        step(4, "checkout", "b", F.lit("success"), none),
-        step(5, "capture", "b", none, none),
-        step(6, "capture", "b", none, none),
-        step(7, "refund", "b", none, F.expr("CAST(round(o_totalprice * 100) AS BIGINT) DIV 2")),
-        step(8, "refund", "b", none, amount),
-        step(9, "refund", "b", none, F.expr("CAST(round(o_totalprice * 100) AS BIGINT) DIV 4")),
-    ]
-    return orders.select(key.alias("order_id"), F.explode(F.array(*steps)).alias("c")).select("order_id", "c.*")
-
-
-# Payment a is captured unless it failed or the amount is wrong; then b takes its place.
-_STEPS = """o AS (SELECT o_orderkey AS order_id, o_custkey % 10 <> 0 AS made, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS a_paid FROM orders),
-  steps AS (SELECT order_id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9])::BIGINT AS seq, made, a_paid FROM o),
-  judged AS (SELECT order_id, seq,
-    CASE WHEN seq = 1 THEN CASE WHEN NOT made THEN 'BELOW_MINIMUM' END
-         WHEN NOT made THEN CASE WHEN seq IN (2, 4) THEN 'UNKNOWN_ORDER' ELSE 'UNKNOWN_PAYMENT' END
-         WHEN seq = 3 THEN CASE WHEN order_id % 3 = 0 THEN 'NOT_AUTHORIZED' WHEN order_id % 5 = 0 THEN 'AMOUNT_MISMATCH' END
-         WHEN seq = 2 THEN NULL
-         WHEN a_paid THEN CASE WHEN seq = 4 THEN 'ORDER_ALREADY_PAID' ELSE 'UNKNOWN_PAYMENT' END
-         WHEN seq = 6 THEN 'ALREADY_CAPTURED' WHEN seq = 8 THEN 'EXCEEDS_CAPTURED' END AS reject_reason FROM steps)"""
-
-
-@query("stream_ledger", f"WITH {_STEPS} SELECT order_id, seq, reject_reason IS NULL AS accepted, reject_reason FROM judged")
-def stream_ledger(spark, sf):
-    orders = streams.read_table_stream(spark, f"{sf}/orders.parquet", ORDERS)
-    return streams.run_to_table(streams.ledger_stream(order_commands(orders)), "ledger").select("order_id", "seq", "accepted", "reject_reason")

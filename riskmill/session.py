@@ -24,6 +24,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "riskmi
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -73,15 +75,3 @@ def task_width(spark: SparkSession) -> int:
     fixed number is kept as it is.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def spread(scan):
-    """Let a heavy row-wise stage use all cores when its table lies in fewer splits than there are.
-
-    Meant for plain table scans. A large table has more splits than cores and is left alone, so
-    nothing is shuffled at scale.
-    """
-    if scan.isStreaming:
-        return scan
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -37,7 +37,7 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 def repository_of(path: Column, root: str) -> Column:
     """First path component below the root; scheme and authority do not matter."""
     base = re.sub(_SCHEME, "", root).rstrip("/") + "/"
-    below = F.substring(F.regexp_replace(path, _SCHEME, ""), len(base) + 1, 1_000_000)
+    below = F.substring(F.regexp_replace(path, _SCHEME, ""), F.lit(len(base) + 1), F.length(path))
     return F.substring_index(below, "/", 1)
 
 
@@ -115,7 +115,7 @@ def rule_chunks(books: DataFrame) -> DataFrame:
     ).filter(F.col("block").rlike(header))
     lines = F.transform(
         F.filter(
-            F.slice(T.split_lines(F.col("block")), 2, 1_000_000_000),
+            F.slice(T.split_lines(F.col("block")), F.lit(2), F.size(T.split_lines(F.col("block")))),
             lambda line: (T.strip_edges(line) != "") & ~line.rlike(r"^\s*class:\s*[A-Z_]+\s*$"),
         ),
         T.strip_edges,

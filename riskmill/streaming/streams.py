@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +20,11 @@ from riskmill.session import scratch_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_table_stream(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """Tail a Parquet table. ``path`` may be a file, as a glob pattern keeps the source from
-    treating it as a partition base."""
+def read_table_stream(spark: SparkSession, path: str, schema: str, max_files: int = 64, **options) -> DataFrame:
+    """Tail a Parquet table, at most ``max_files`` files in a micro-batch, so that its size is bounded.
+    ``path`` may be a file, as a glob pattern keeps the source from treating it as a partition base."""
     pattern = path[:-1] + f"[{path[-1]}]"
-    return spark.readStream.schema(schema).options(**options).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).options(**options).parquet(pattern)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -47,9 +48,66 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+class _Horizon(StatefulProcessor):
+    """Remembers the last event of a key for as long as the redelivery horizon.
+
+    ``distinct``: an event is passed on if it comes at least the horizon after the last one passed on.
+    Otherwise an event is passed on, with the number of effects so far, if it comes less than the
+    horizon after the one before. Both depend on event time only, not on how the stream is cut into
+    micro-batches, for sources that deliver a key in event-time order.
+    """
+
+    def __init__(self, columns: list[str], ts: str, horizon: str, distinct: bool):
+        self.columns, self.ts, self.distinct = columns, ts, distinct
+        self.horizon = pd.Timedelta(horizon).value // 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, effects bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(self.columns_in_order, kind="stable")
+        last, total = self.last.get() if self.last.exists() else (None, 0)
+        kept, totals = [], []
+        for us, effects in zip(batch[self.ts].astype("datetime64[us]").astype("int64"), self._effects(batch)):
+            fresh = last is None or us - last >= self.horizon
+            total = effects if fresh else total + effects
+            kept.append(fresh if self.distinct else total >= 2)
+            totals.append(total)
+            last = us if fresh or not self.distinct else last
+        self.last.update((int(last), int(total)))
+        self.handle.registerTimer((int(last) + self.horizon) // 1000 + 1)
+        if not self.distinct:
+            batch["effects"] = totals
+        yield batch[kept][self.columns]
+
+    @property
+    def columns_in_order(self) -> list[str]:
+        return [self.ts, *[c for c in self.columns if c != self.ts]]
+
+    def _effects(self, batch: pd.DataFrame):
+        return [1] * len(batch) if self.distinct else batch["effects"]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.horizon <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.last.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _within_horizon(events: DataFrame, key: list[str], ts: str, horizon: str, distinct: bool) -> DataFrame:
+    use_rocksdb(events.sparkSession)
+    rows = events.withWatermark(ts, horizon)
+    return rows.groupBy(*key).transformWithStateInPandas(
+        _Horizon(events.columns, ts, horizon, distinct), events.schema, "Append", "EventTime"
+    )
+
+
 def dedup_stream(events: DataFrame, key: list[str], ts: str = "ts", horizon: str = C.REDELIVERY_HORIZON) -> DataFrame:
-    """Drop repeats of an event inside the redelivery horizon; state is dropped after it."""
-    return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(key)
+    """Drop an event that comes less than the horizon after the last event of its key that was kept."""
+    return _within_horizon(events, key, ts, horizon, True)
 
 
 def signature_gate(deliveries: DataFrame, secret: str) -> DataFrame:
@@ -58,27 +116,25 @@ def signature_gate(deliveries: DataFrame, secret: str) -> DataFrame:
 
 
 def route_by_signature(gated: DataFrame, valid_path: str, forged_path: str, checkpoint: str):
-    """Write valid and forged deliveries to two tables. One pass over each micro-batch per table;
-    the batch id is part of the path, so a repeated batch replaces itself."""
+    """Write valid and forged deliveries to two tables. A micro-batch is read and checked once; the batch
+    id is part of the path, so a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.DISK_ONLY)  # lost parts are computed again from the batch
         for flag, path in ((True, valid_path), (False, forged_path)):
-            batch.filter(F.col("valid") == flag).drop("valid").write.mode("overwrite").parquet(
-                f"{path}/batch={batch_id}"
-            )
+            kept.filter(F.col("valid") == flag).drop("valid").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        kept.unpersist()
 
     return gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def duplicate_effect_stream(effects: DataFrame, key: str = "event_id", ts: str = "ts", window: str = C.REDELIVERY_HORIZON) -> DataFrame:
-    """Events with two or more effects inside a window, emitted when the window closes."""
-    return (
-        effects.withWatermark(ts, window)
-        .groupBy(F.window(ts, window).alias("w"), key)
-        .agg(F.sum("effects").cast("long").alias("effects"))
-        .filter(F.col("effects") >= 2)
-        .select(F.col("w.start").alias("window_start"), key, "effects")
-    )
+def duplicate_effect_stream(effects: DataFrame, key: str = "event_id", ts: str = "ts", horizon: str = C.REDELIVERY_HORIZON) -> DataFrame:
+    """Every effect of an event that follows another within the horizon, with the number of effects so far.
+
+    A run of effects goes on as long as no gap reaches the horizon, so no border of a window can split
+    a pair, and each repeat is reported when it arrives.
+    """
+    return _within_horizon(effects.select(key, ts, F.col("effects").cast("long").alias("effects")), [key], ts, horizon, False)
 
 
 def scan_stream(files: DataFrame, rules=BUILT_IN_RULES) -> DataFrame:
@@ -125,114 +181,6 @@ def change_feed_stream(log: DataFrame, terminal: tuple[str, ...] = ()) -> DataFr
     )
 
 
-class _OrderLedger(StatefulProcessor):
-    """State machine of one order: its amount, whether it is paid, and its payments.
-
-    Payments live in map state, so an order with very many payments is not read whole per batch.
-    With ``idle_ms`` the state of an order that sees no command for so long is dropped.
-    """
-
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.order = handle.getValueState("order", "amount bigint, paid boolean", self.idle_ms)
-        self.payments = handle.getMapState(
-            "payments", "payment_id string", "status string, refunded bigint", self.idle_ms
-        )
-
-    def _payment(self, touched: dict, payment_id: str):
-        """(status, refunded) or None; each payment is read at most once per micro-batch."""
-        if payment_id not in touched:
-            known = self.payments.containsKey((payment_id,))
-            touched[payment_id] = self.payments.getValue((payment_id,)) if known else None
-        return touched[payment_id]
-
-    def _judge(self, row, order, touched):
-        """Reject reason or None; updates ``order`` and ``touched`` in place."""
-        amount = order["amount"]
-        if row.command == "order":
-            if amount is not None:
-                return "DUPLICATE_ORDER"
-            if row.amount is None or row.amount < C.MIN_ORDER_PAISE:
-                return "BELOW_MINIMUM"
-            order["amount"], order["paid"] = row.amount, False
-            return None
-        if row.command == "checkout":
-            if amount is None:
-                return "UNKNOWN_ORDER"
-            if order["paid"]:
-                return "ORDER_ALREADY_PAID"
-            touched[row.payment_id] = ("authorized" if row.outcome == "success" else "failed", 0)
-            return None
-        payment = self._payment(touched, row.payment_id) if amount is not None else None
-        if payment is None:
-            return "UNKNOWN_PAYMENT"
-        status, refunded = payment
-        if row.command == "capture":
-            if status in ("captured", "refunded"):
-                return "ALREADY_CAPTURED"
-            if status != "authorized":
-                return "NOT_AUTHORIZED"
-            if row.amount is not None and row.amount != amount:
-                return "AMOUNT_MISMATCH"
-            touched[row.payment_id], order["paid"] = ("captured", refunded), True
-            return None
-        if status not in ("captured", "refunded"):
-            return "NOT_CAPTURED"
-        asked = amount if row.amount is None else row.amount
-        if asked <= 0:
-            return "INVALID_AMOUNT"
-        if refunded + asked > amount:
-            return "EXCEEDS_CAPTURED"
-        total = refunded + asked
-        touched[row.payment_id] = ("refunded" if total >= amount else status, total)
-        return None
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        stored = self.order.get()
-        order = {"amount": stored[0] if stored else None, "paid": bool(stored[1]) if stored else False}
-        before, touched = dict(order), {}
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        amounts = [None if pd.isna(v) else int(v) for v in batch["amount"]]
-        out = []
-        for row, value in zip(batch.itertuples(index=False), amounts):
-            reason = self._judge(row._replace(amount=value), order, touched)
-            out.append((key[0], row.payment_id, row.seq, row.command, reason is None, reason))
-        if order != before:
-            self.order.update((order["amount"], order["paid"]))
-        for payment_id, payment in touched.items():
-            if payment is not None:
-                self.payments.updateValue((payment_id,), payment)
-        yield pd.DataFrame(
-            out, columns=["order_id", "payment_id", "seq", "command", "accepted", "reject_reason"]
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def ledger_stream(commands: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """commands(order_id, payment_id, seq, command, outcome, amount) → verdict per command.
-
-    Commands of one order must arrive in order of ``seq`` across micro-batches; inside one they are
-    sorted. ``idle_ms`` is for queries that run on: such a query always has another batch to run,
-    so it never ends by itself under ``availableNow``.
-    """
-    use_rocksdb(commands.sparkSession)
-    order_type = dict(commands.dtypes)["order_id"]
-    return (
-        commands.select("order_id", "payment_id", "seq", "command", "outcome", "amount")
-        .groupBy("order_id")
-        .transformWithStateInPandas(
-            _OrderLedger(idle_ms),
-            f"order_id {order_type}, payment_id string, seq bigint, command string, accepted boolean, reject_reason string",
-            "Append",
-            "None" if idle_ms is None else "ProcessingTime",
-        )
-    )
-
-
 class _ChainAppender(StatefulProcessor):
     """Keeps the last hash of a chain and extends the chain by the rows of each micro-batch."""
 
