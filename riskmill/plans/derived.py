@@ -23,15 +23,14 @@ _N = len(_TEMPLATES)
 
 
 def code_files_of(docs: DataFrame) -> DataFrame:
-    """Documents dressed as source files; text is folded to ASCII and loses backslashes."""
+    """Documents dressed as source files, their text as it is."""
     slot = (F.col("doc_id") % _N + 1).cast("int")
     text = F.element_at(F.array(*[F.lit(t) for t, _ in _TEMPLATES]), slot)
     ext = F.element_at(F.array(*[F.lit(e) for _, e in _TEMPLATES]), slot)
     ext = F.when(F.col("doc_id") % 29 == 3, F.lit(".md")).otherwise(ext)
     folder = F.when(F.col("doc_id") % 23 == 5, "node_modules/lib").when(F.col("doc_id") % 23 == 7, "dist").otherwise("src")
-    note = F.regexp_replace("text", r"[^\x00-\x5B\x5D-\x7F]", "?")
     doc = F.col("doc_id").cast("string")
-    content = F.replace(F.replace(text, F.lit("{ID}"), doc), F.lit("{NOTE}"), note)
+    content = F.replace(F.replace(text, F.lit("{ID}"), doc), F.lit("{NOTE}"), F.col("text"))
     # A filter on a computed column is pushed below its computation and repeats it per condition.
     # A corpus read from files has the column ready; here the explode of one value stands for that.
     return docs.select(
@@ -54,8 +53,7 @@ CODE_FILES = rf"""code_files AS (
            CASE WHEN doc_id % 23 = 5 THEN 'node_modules/lib' WHEN doc_id % 23 = 7 THEN 'dist' ELSE 'src' END ||
            '/f' || doc_id ||
            CASE WHEN doc_id % 29 = 3 THEN '.md' ELSE list_extract({_EXTS}, (doc_id % {_N} + 1)::INT) END AS path,
-         replace(replace(list_extract({_LIST}, (doc_id % {_N} + 1)::INT), '{{ID}}', doc_id::VARCHAR), '{{NOTE}}',
-           regexp_replace(text, '[^\x00-\x5B\x5D-\x7F]', '?', 'g')) AS content,
+         replace(replace(list_extract({_LIST}, (doc_id % {_N} + 1)::INT), '{{ID}}', doc_id::VARCHAR), '{{NOTE}}', text) AS content,
          doc_id
   FROM documents)"""
 
