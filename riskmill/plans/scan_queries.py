@@ -148,12 +148,11 @@ def code_context_documents(spark, sf):
 
 @query(
     "json_in_answers",
-    """SELECT conv_id, turn, sha256('{"a": "' || replace(replace(replace(text, '"', ''), '{', ''), '}', '') || '"}') AS digest FROM conversations""",
+    """SELECT conv_id, turn, sha256('{"a":' || to_json(text)::VARCHAR || '}') AS digest FROM conversations""",
 )
 def json_in_answers(spark, sf):
-    """The same JSON object bare, fenced and inside prose must come out equal."""
-    plain = F.replace(F.replace(F.replace("text", F.lit('"'), F.lit("")), F.lit("{"), F.lit("")), F.lit("}"), F.lit(""))
-    body = F.concat(F.lit('{"a": "'), plain, F.lit('"}'))
+    """The same JSON object bare, fenced and inside prose must come out equal, whatever its text holds."""
+    body = F.to_json(F.struct(F.col("text").alias("a")))
     shape = F.col("turn") % 3
     answer = (
         F.when(shape == 0, F.concat(F.lit("  "), body))
