@@ -54,15 +54,48 @@ def _round(links: DataFrame):
     return links, tuple(row)
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+#: Tables of up to so many rows, by count, are sent to every task; larger ones are shuffled.
+SENT = 1_000_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A narrow table for a join: broadcast if its counted size allows it, else left to a shuffle."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def parity(hashes: str, n_bits: int = 256) -> list:
+    """Aggregates of a hash column: a set's parity bits, in longs p0, p1, ...
+
+    Two sets differ in at least as many elements as their parity bits differ.
+    """
+    place = F.pmod(F.col(hashes), F.lit(n_bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(64)).cast("int"))
+    return [
+        F.bit_xor(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"p{k}")
+        for k in range(n_bits // 64)
+    ]
+
+
+def may_be_similar(parts: int, least: float):
+    """Condition on n, p0.. and other_n, other_p0..: false only if the Jaccard similarity is below ``least``."""
+    apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"other_p{k}"))) for k in range(parts)), F.lit(0))
+    sizes = F.least("n", "other_n") >= least * F.greatest("n", "other_n")
+    return sizes & (apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("other_n")) + 1e-6)
+
+
+def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str) -> DataFrame:
     """Components of all verified links between members of a common bucket: id, component.
 
-    ``buckets`` has bucket, id (both long, distinct rows); ``verify`` keeps the (a, b) pairs that are
-    true links. A bucket of any size is first linked to one member (chosen by the bucket's own
-    hash, so a large group meets many different centres through its many buckets): as many pairs
-    as members. Only what these links leave in different components of the same bucket is then
-    compared pair by pair, so no link that could join two components is lost, and a large group of
-    copies never becomes a square of pairs.
+    ``buckets`` has bucket, id (both long, distinct rows). ``prepare`` gets the ids that share a bucket and
+    returns (verify, features, possible): ``verify`` keeps the (a, b) pairs that are true links;
+    ``features`` gets ids and returns id with columns that ``possible``, a condition on them and on
+    the same columns with other_ in front, needs to refuse pairs that cannot be links.
+
+    A bucket of any size is first linked to one member (chosen by the bucket's own hash, so a large
+    group meets many different centres through its many buckets): as many pairs as members. Only what
+    these links leave in different components of the same bucket is then compared pair by pair, as far
+    as possible, so no link that could join two components is lost, and a large group of copies
+    never becomes a square of pairs.
     """
     inside = Window.partitionBy("bucket")
     mixed = F.col("id").bitwiseXOR(F.col("bucket"))
@@ -70,20 +103,24 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
         "bucket",
         "id",
         F.min(mixed).over(inside).bitwiseXOR(F.col("bucket")).alias("centre"),
-        F.count("*").over(inside).alias("n"),
-    ).where("n > 1")
+        F.count("*").over(inside).alias("size"),
+    ).where("size > 1")
     groups = stored(groups, f"{name}-groups")
+    verify, features, possible = prepare(stored(groups.select("id").distinct(), f"{name}-ids"))
     first = groups.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-    first = first.distinct()
+    first = stored(first.distinct(), f"{name}-first")
     links = reliable_checkpoint(verify(first))
-    found = components(links)
-    placed = (
-        groups.where("n > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    )
+    found = stored(components(links), f"{name}-found")
+    placed = groups.where("size > 2").join(sent(found), "id", "left")
+    placed = placed.select("bucket", "id", F.coalesce("component", "id").alias("part"))
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = stored(placed.join(split.select("bucket"), "bucket", "left_semi"), f"{name}-split")
-    other = placed.select("bucket", F.col("id").alias("b"), F.col("part").alias("other"))
-    rest = placed.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and part <> other")
-    rest = rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    placed = stored(placed.join(sent(stored(split.select("bucket"), f"{name}-split")), "bucket", "left_semi"), f"{name}-placed")
+    if placed.isEmpty():
+        return found
+    known = features(placed.select("id").distinct())
+    left = placed.join(known, "id")
+    right = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "bucket"])
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part")) & possible)
+    rest = rest.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verify(rest))
     return components(links.union(more)) if not more.isEmpty() else found

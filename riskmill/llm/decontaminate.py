@@ -26,13 +26,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.common import stored
+from riskmill.llm.common import sent, stored
 
 SIZE, LEAST = 5, 0.75
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 BLOCKS, NEAR, RADIUS = 8, 2, 22
-#: A table of item shingles or of held texts of up to so many rows is sent to all tasks; a larger one is shuffled.
-SENT = 500_000
 _LANES = 0x0001000100010001
 _WIDTH = 64 // BLOCKS
 _NEAR_VALUES = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(_WIDTH), n)]
@@ -75,11 +73,6 @@ def _shingles(size):
     return F.greatest(size - (SIZE - 1), F.lit(1))
 
 
-def _sent(table: DataFrame) -> DataFrame:
-    """A table that is small enough, by count, to be sent to every task; otherwise as it is, to be shuffled."""
-    return F.broadcast(table) if table.count() <= SENT else table
-
-
 def _block(value, b: int):
     return F.shiftrightunsigned(value, b * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))
 
@@ -93,10 +86,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
 
     docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("name"))
     places = _shingled(docs, "doc_id", "name").select("doc_id", "name", F.posexplode("h").alias("at", "g"))
-    hits = stored(places.join(_sent(marks), "g").select("doc_id", "name", "at", "sizes").distinct(), "hits")
+    hits = stored(places.join(sent(marks), "g").select("doc_id", "name", "at", "sizes").distinct(), "hits")
     # what a text holds of the items: never more than its own words
     held = stored(hits.groupBy("doc_id", "name").agg(F.collect_list(F.struct("at", "sizes")).alias("hits")), "held")
-    texts = _shingled(docs.join(_sent(held), ["doc_id", "name"]), "doc_id", "name", "hits")
+    texts = _shingled(docs.join(sent(held), ["doc_id", "name"]), "doc_id", "name", "hits")
 
     def at_most(start, size):  # a window that would pass the end becomes the text's last one of that size
         return F.least(start, F.greatest(F.size("h") - _shingles(size), F.lit(0)))

@@ -22,14 +22,11 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.common import linked, stored
+from riskmill.llm.common import linked, may_be_similar, parity, sent, stored
 
 SIZE, BANDS, ROWS, LEAST = 9, 12, 3, 0.75
 _random = random.Random(17)
 _FACTORS = [_random.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
-#: Node tables of up to so many rows (16 bytes each) are sent to all tasks; larger ones are shuffled.
-SENT = 1_000_000
-
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), norm (what is compared) and its hash, of every line that is not blank."""
@@ -52,31 +49,35 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*bands)).alias("bucket"), "id")
 
 
-def _near(df: DataFrame, small: DataFrame):
-    return F.broadcast(small) if small.count() <= SENT else small
-
-
 def components_of(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """id, component of every line hash that is linked with another."""
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "line-pairs")
-        asked = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ids")
-        text = lines_of(docs).select("id", "norm").join(_near(docs, asked), "id", "left_semi")
+    def prepare(ids: DataFrame):
+        text = lines_of(docs).select("id", "norm").join(sent(ids), "id", "left_semi")
         shingles = F.array_distinct(F.regexp_extract_all("norm", F.lit(rf"(?=(.{{{SIZE}}}))"), F.lit(1)))
         whole = F.when(F.length("norm") < SIZE, F.array("norm")).otherwise(shingles)
         sets = stored(text.groupBy("id").agg(F.max("norm").alias("norm")).select("id", whole.alias("s")), "line-sets")
-        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
-    return linked(buckets_of(lines_of(docs)), verify, "lines")
+        def verify(pairs: DataFrame) -> DataFrame:
+            left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
+            right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
+            both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+            return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+        def features(some: DataFrame) -> DataFrame:
+            rows = sets.join(some, "id", "left_semi").select("id", F.explode("s").alias("shingle"))
+            rows = rows.select("id", F.xxhash64("shingle").alias("h"))
+            return rows.groupBy("id").agg(F.count("*").alias("n"), *parity("h"))
+
+        return verify, features, may_be_similar(4, least)
+
+    return linked(buckets_of(lines_of(docs)), prepare, "lines")
 
 
 def removed_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per line that goes: doc_id, line_no, and the line that stays for it: kept_doc_id, kept_line_no."""
     parts = stored(components_of(docs, least), "line-parts")
-    places = lines_of(docs).select("doc_id", "line_no", "id").join(_near(docs, parts), "id", "left")
+    places = lines_of(docs).select("doc_id", "line_no", "id").join(sent(parts), "id", "left")
     places = stored(places.select("doc_id", "line_no", F.coalesce("component", "id").alias("part")), "line-places")
     first = places.groupBy("part").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")).where("n > 1")
     rows = places.join(first, "part").select(

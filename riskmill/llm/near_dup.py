@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmill.llm.common import linked, stored
+from riskmill.llm.common import linked, may_be_similar, sent, stored
 from riskmill.llm.textbytes import chunks, mix, shingles, words
 
-SIDE, ROWS, SIZE = 8, 2, 5
+SIDE, ROWS, SIZE, PARITY = 8, 2, 5, 16
 SIGNATURE = "doc_id bigint, n_shingles bigint, first bigint, second bigint, left array<bigint>, right array<bigint>"
 _rng = np.random.default_rng(75)
 _MULTIPLY = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,16 +78,22 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its whole set of shingle hashes."""
+    """id, n, its whole set of shingle hashes, and the set's parity bits p0.. (see ``may_be_similar``)."""
+    bits = [f"p{k}" for k in range(PARITY)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for at, texts in chunks(batch):
-                rows = pa.array([v.view(np.int64) for v in _sets(texts)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), rows], names=["id", "values"])
+                sets = list(_sets(texts))
+                odd = np.array([np.bincount((v >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 for v in sets])
+                packed = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                columns = [ids.slice(at, len(texts)), pa.array([len(v) for v in sets], pa.int64())]
+                columns.append(pa.array([v.view(np.int64) for v in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(packed[:, k]) for k in range(PARITY)], names=["id", "n", "values", *bits])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "id bigint, values array<bigint>")
+    kind = "id bigint, n bigint, values array<bigint>, " + ", ".join(f"{b} bigint" for b in bits)
+    return docs.select("doc_id", "text").mapInArrow(made, kind)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -105,16 +111,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     buckets = table.select(F.xxhash64("i", "j", "a", "b").alias("bucket"), "id")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    def prepare(ids: DataFrame):
+        asked = sent(ids.withColumnRenamed("id", "doc_id"))
         sets = stored(full_sets(docs.join(asked, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
-        left, right = sets.select(F.col("id").alias("a"), F.col("values").alias("x")), sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-        union = F.size("x") + F.size("y") - F.col("common")
-        return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
-    parts = linked(buckets, verify, "near")
+        def verify(pairs: DataFrame) -> DataFrame:
+            left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
+            right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
+            both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+            union = F.size("x") + F.size("y") - F.col("common")
+            return both.where(100 * F.col("common") >= percent * union).select("a", "b")
+
+        known = sets.drop("values")
+        return verify, lambda ids: known.join(ids, "id", "left_semi"), may_be_similar(PARITY, percent / 100)
+
+    parts = linked(buckets, prepare, "near")
     named = classes.join(parts, classes["class"] == parts["id"], "left").select(
         "first", "second", F.coalesce("component", "class").alias("part")
     )
