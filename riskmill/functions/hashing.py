@@ -24,14 +24,18 @@ def hmac_sha256(body: Column, key: str | bytes) -> Column:
 
     The key is a constant, so both pads are literals; only the body is data.
     """
+    inner, outer = (F.lit(bytearray(pad)) for pad in hmac_pads(key))
+    digest = F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))
+    return F.sha2(F.concat(outer, digest), 256)
+
+
+def hmac_pads(key: str | bytes) -> tuple[bytes, bytes]:
+    """Inner and outer pad of a key."""
     raw = key.encode() if isinstance(key, str) else key
     if len(raw) > _BLOCK:
         raw = hashlib.sha256(raw).digest()
     raw = raw.ljust(_BLOCK, b"\0")
-    inner = F.lit(bytearray(b ^ 0x36 for b in raw))
-    outer = F.lit(bytearray(b ^ 0x5C for b in raw))
-    digest = F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))
-    return F.sha2(F.concat(outer, digest), 256)
+    return bytes(b ^ 0x36 for b in raw), bytes(b ^ 0x5C for b in raw)
 
 
 def checkout_signature(order_id: Column, payment_id: Column, key: str) -> Column:
@@ -40,7 +44,7 @@ def checkout_signature(order_id: Column, payment_id: Column, key: str) -> Column
 
 @pandas_udf(StringType())
 def canonical_json(raw: pd.Series) -> pd.Series:
-    """Any JSON text with sorted keys, no spaces and ASCII escapes.
+    """Any JSON text with sorted keys, no spaces and ASCII escapes; null for a text that is no JSON.
 
     Needed only for metadata of free shape; a known struct should be stored canonical at write.
     """
@@ -48,7 +52,10 @@ def canonical_json(raw: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
             return None
-        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        try:
+            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        except ValueError:
+            return None
 
     return raw.map(one)
 

@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmill.functions.hashing import canonical_json
+from riskmill.functions.hashing import canonical_json, hmac_pads
 
 
-def register_functions(spark: SparkSession) -> None:
-    """Session functions for SQL users; all but ``canonical_json`` stay on the JVM."""
+def register_functions(spark: SparkSession, hmac_key: str | None = None) -> None:
+    """Session functions for SQL users; all but ``canonical_json`` stay on the JVM.
+
+    With ``hmac_key`` there is also ``hmac_sha256(body)``, its key fixed inside.
+    """
+    if hmac_key is not None:
+        inner, outer = (pad.hex() for pad in hmac_pads(hmac_key))
+        spark.sql(
+            "CREATE OR REPLACE TEMPORARY FUNCTION hmac_sha256(body STRING) RETURNS STRING RETURN sha2(concat("
+            f"X'{outer}', unhex(sha2(concat(X'{inner}', CAST(body AS BINARY)), 256))), 256)"
+        )
     spark.udf.register("canonical_json", canonical_json)
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION content_hash(content STRING, id STRING) RETURNS STRING "
@@ -27,3 +36,11 @@ def register_views(**frames: DataFrame) -> None:
     """Results as temporary views, e.g. ``register_views(**scan_corpus(files))``."""
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
+
+
+def register_scan(spark: SparkSession, files: DataFrame) -> None:
+    """The stages of a scan over files(repo_id, path, content) as views: code_units, rule_hits, findings."""
+    from riskmill.plans.scan import scan_corpus
+
+    stages = scan_corpus(files)
+    register_views(code_units=stages["units"], rule_hits=stages["hits"], findings=stages["findings"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from riskmill import config as C
 from riskmill.functions import textops as T
-from riskmill.session import task_width
+from riskmill.session import reliable_checkpoint, task_width
 
 _DIGITS = 9
 _BM25_DIGITS = 6
@@ -31,17 +31,38 @@ def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
     return bags.select(*kept, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
 
 
-def term_weights(docs: DataFrame, epsilon: float = C.BM25_EPSILON) -> DataFrame:
-    """Inverse document frequency of every term; negative values are floored as usual."""
-    bags = docs.select(F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    seen = _explode_terms(bags, [], "terms").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
+def _statistics(docs: DataFrame) -> tuple[DataFrame, int, float]:
+    """(term, df of every term), number of documents and mean length, from one pass over the texts.
+
+    Every document also counts the empty term, which no text holds: its row carries the totals. The
+    table has a row for each term; it is written once, as three uses follow.
+    """
+    bags = F.transform(
+        F.array(T.tokens(F.col("text"))),
+        lambda t: F.struct(F.size(t).alias("length"), F.concat(F.array(F.lit("")), F.array_distinct(t)).alias("terms")),
+    )
+    rows = docs.select(F.inline(bags)).select("length", F.explode_outer("terms").alias("term"))
+    seen = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))
+    seen = reliable_checkpoint(seen)
+    totals = seen.filter("term = ''").first()
+    if totals is None:
+        return seen.select("term", "df"), 0, 0.0
+    return seen.filter("term <> ''").select("term", "df"), totals["df"], totals["total"] / totals["df"]
+
+
+def _weights(seen: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
+    raw = F.log(F.lit(n_docs) - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
     idf = seen.select("term", raw.alias("raw"))
     floor = idf.agg(F.avg("raw") * F.lit(epsilon)).scalar()
     return idf.select("term", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
+def term_weights(docs: DataFrame, epsilon: float = C.BM25_EPSILON) -> DataFrame:
+    """Inverse document frequency of every term; negative values are floored as usual."""
+    seen, n_docs, _ = _statistics(docs)
+    return _weights(seen, n_docs, epsilon)
+
+
 def bm25_scores(
     queries: DataFrame,
     docs: DataFrame,
@@ -51,31 +72,29 @@ def bm25_scores(
 ) -> DataFrame:
     """Scores of the (query, document) pairs that share a term.
 
-    Statistics cover all documents of all classes. Documents are placed by id once; term counts,
-    the join with the query terms and the sum per pair then all stay inside that placement, and
-    only terms that some query uses leave the tokenizer.
+    Statistics cover all documents of all classes. Texts are read twice, for the statistics and for
+    the counts, and never shuffled: a document's tokens are in one task, so what leaves it is a row
+    for each of its terms that some query uses.
     """
     asked = (
         _explode_terms(queries.select("query_id", T.tokens(F.col("text")).alias("terms")), ["query_id"], "terms")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    weighted = asked.join(term_weights(docs, epsilon), "term").select(
+    seen, n_docs, mean_length = _statistics(docs)
+    weighted = asked.join(_weights(seen, n_docs, epsilon), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
     )
-    mean_length = docs.agg(F.avg(F.size(T.tokens(F.col("text"))))).scalar()
-
-    width = task_width(docs.sparkSession)
-    placed = docs.select("id", "defect_class", "text").repartition(width, "id")
-    bags = placed.select("id", "defect_class", T.tokens(F.col("text")).alias("terms"))
+    bags = F.transform(F.array(T.tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("length"), t.alias("terms")))
+    bags = docs.select("id", "defect_class", F.inline(bags))
     counts = (
-        _explode_terms(bags, ["id", "defect_class", F.size("terms").alias("length")], "terms")
+        _explode_terms(bags, ["id", "defect_class", "length"], "terms")
         .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("id", "defect_class", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     saturated = (F.col("tf") * F.lit(k1 + 1)) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / mean_length)
+        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(mean_length))
     )
     return (
         counts.join(weighted, "term")

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 
 from riskmill import config as C
 
-FILES = "repo_id string, path string, content string"
-UNITS = (
-    "repo_id string, file string, unit_pos int, symbol string, start_line int, end_line int, "
-    "kind string, imports array<string>, callees array<string>, source string, "
-    "file_start_line int, file_end_line int"
-)
 HITS = (
     "repo_id string, file string, unit_pos int, rule_pos int, rule_id string, defect_class string, "
     "severity string, confidence double, evidence_lines array<string>, explanation string, "
@@ -33,15 +27,6 @@ CHUNKS = (
     "id string, text string, defect_class string, kind string, tier string, source string, "
     "sample_id string, hard_negative boolean, title string"
 )
-AUDIT = (
-    "seq bigint, ts timestamp, actor string, event string, object_type string, object_id string, "
-    "metadata_json string, prev_hash string, hash string"
-)
-CALL_LEDGER = (
-    "ts timestamp, provider string, base_url string, model string, sample_id string, "
-    "input_tokens bigint, output_tokens bigint, cost_usd double, cached boolean, success boolean, "
-    "n_findings int, error string"
-)
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )

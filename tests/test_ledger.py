@@ -145,10 +145,10 @@ def test_measured_money_needs_a_verified_verdict(spark):
 
 
 def test_retries(spark):
-    rows = [("a", 1, 503, False), ("a", 2, None, True), ("a", 3, 500, False), ("b", 1, 500, False), ("b", 2, 404, False), ("c", 1, 200, False), ("d", 4, 200, False), ("d", 1, 500, False)]
+    rows = [("a", 1, 503, False), ("a", 2, None, True), ("a", 3, 500, False), ("b", 1, 500, False), ("b", 2, 404, False), ("c", 1, 200, False), ("d", 4, 200, False), ("d", 1, 500, False), ("e", 4, 200, False)]
     df = spark.createDataFrame(rows, "call_id string, attempt int, http_status int, transport_error boolean")
     got = {r.call_id: (r.status, r.http_status, r.attempts, r.error_code) for r in verdicts.retry_outcomes(df).collect()}
     assert got == {
         "a": ("ERROR", None, 3, "GATEWAY_UNAVAILABLE"), "b": ("ANSWERED", 404, 2, None), "c": ("ANSWERED", 200, 1, None),
-        "d": ("ERROR", None, 1, "GATEWAY_UNAVAILABLE"),
+        "d": ("ERROR", None, 1, "GATEWAY_UNAVAILABLE"), "e": ("ERROR", None, 0, "GATEWAY_UNAVAILABLE"),
     }

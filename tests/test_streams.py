@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskmill.operators import audit
 from riskmill.streaming import streams
-from tests_support import EVENTS, ROWS, fold, random_commands, replay
+from tests_support import EVENTS, ROWS, fold
 
 
 def batches(spark, df, path, order, n=3):
@@ -18,27 +19,6 @@ def batches(spark, df, path, order, n=3):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_ledger_across_batches(spark, tmp_path):
-    commands = random_commands(random.Random(11), 25)
-    amounts = {i: 500 for i in range(25)}
-    want, _, _ = replay(amounts, commands)
-    rows = [(o, p, s + 1, c, out, a) for o, p, s, c, out, a in commands] + [(o, "-", 0, "order", None, a) for o, a in amounts.items()]
-    df = spark.createDataFrame(rows, "order_id int, payment_id string, seq bigint, command string, outcome string, amount bigint")
-    stream = batches(spark, df, str(tmp_path / "in"), ["seq", "order_id"])
-    got = streams.run_to_table(streams.ledger_stream(stream), "t-ledger").collect()
-    assert len(got) == len(rows)
-    assert {(r.order_id, r.seq - 1): r.reject_reason for r in got if r.seq > 0} == want
-
-
-def test_refunds_in_the_stream(spark, tmp_path):
-    rows = [(1, "-", 0, "order", None, 100), (1, "p", 1, "checkout", "success", None), (1, "p", 2, "refund", None, 10), (1, "p", 3, "capture", None, None),
-            (1, "p", 4, "refund", None, 60), (1, "p", 5, "refund", None, 50), (1, "p", 6, "refund", None, 40), (1, "p", 7, "refund", None, 1), (1, "p", 8, "refund", None, 0)]
-    df = spark.createDataFrame(rows, "order_id int, payment_id string, seq bigint, command string, outcome string, amount bigint")
-    stream = batches(spark, df, str(tmp_path / "in"), ["seq"])
-    got = streams.run_to_table(streams.ledger_stream(stream), "t-refunds").collect()
-    assert {r.seq: r.reject_reason for r in got} == {0: None, 1: None, 2: "NOT_CAPTURED", 3: None, 4: None, 5: "EXCEEDS_CAPTURED", 6: None, 7: "EXCEEDS_CAPTURED", 8: "INVALID_AMOUNT"}
-
-
 def test_chain_across_batches(spark, tmp_path):
     stream = batches(spark, spark.createDataFrame(ROWS, EVENTS), str(tmp_path / "in"), ["seq", "chain"])
     got = streams.run_to_table(streams.audit_chain_stream(stream), "t-chain")
@@ -55,11 +35,41 @@ def test_change_feed_across_batches(spark, tmp_path):
     assert {(r.id, r.seq, r.state, r.prev_state) for r in got} == {(k, *x) for k in (1, 2) for x in [(0, "A", None), (2, "B", "A"), (4, "DONE", "B")]}
 
 
-def test_dedup_across_batches(spark, tmp_path):
-    rows = [("e1", 0), ("e2", 1), ("e1", 3), ("e3", 4), ("e2", 5), ("e1", 6)]
-    df = spark.createDataFrame(rows, "event_id string, h int").select("event_id", F.timestamp_seconds(F.col("h") * 3600).alias("ts"))
-    kept = streams.run_to_table(streams.dedup_stream(batches(spark, df, str(tmp_path / "in"), ["ts"]), ["event_id"]), "t-dedup")
-    assert sorted(r.event_id for r in kept.collect()) == ["e1", "e2", "e3"]
+def recurring(spark):
+    """Events of a few keys over thirty days, many of them within a day of one another."""
+    rng = random.Random(21)
+    hours = sorted(rng.sample(range(30 * 24 * 4), 400))
+    rows = [(f"e{rng.randrange(12)}", h * 900) for h in hours]
+    rows += [rows[7], rows[100]]
+    return sorted(rows, key=lambda r: r[1]), 86_400
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_dedup_does_not_depend_on_batches(spark, tmp_path, n):
+    rows, day = recurring(spark)
+    last, want = {}, []
+    for key, second in rows:
+        if key not in last or second - last[key] >= day:
+            last[key] = second
+            want.append((key, second))
+    df = spark.createDataFrame(rows, "event_id string, s bigint").select("event_id", F.timestamp_seconds("s").alias("ts"))
+    kept = streams.run_to_table(streams.dedup_stream(batches(spark, df, str(tmp_path / "in"), ["ts"], n), ["event_id"]), "t-dedup")
+    assert sorted((r.event_id, r.s) for r in kept.select("event_id", F.unix_seconds("ts").alias("s")).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_repeats_do_not_depend_on_batches(spark, tmp_path, n):
+    rows, day = recurring(spark)
+    last, total, want = {}, {}, []
+    for key, second in rows:
+        total[key] = total[key] + 1 if key in last and second - last[key] < day else 1
+        last[key] = second
+        if total[key] >= 2:
+            want.append((key, second, total[key]))
+    df = spark.createDataFrame(rows, "event_id string, s bigint").select("event_id", F.timestamp_seconds("s").alias("ts"), F.lit(1).alias("effects"))
+    found = streams.run_to_table(streams.duplicate_effect_stream(batches(spark, df, str(tmp_path / "in"), ["ts"], n)), "t-effects")
+    got = found.select("event_id", F.unix_seconds("ts").alias("s"), "effects").collect()
+    assert sorted((r.event_id, r.s, r.effects) for r in got) == sorted(want)
 
 
 def test_corpus_stream(spark, tmp_path):
