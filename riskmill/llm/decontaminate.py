@@ -160,4 +160,4 @@ def stage_decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fourth stage of the pipeline: documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     leaks = stored(contaminated(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sent(leaks), "doc_id", "left_anti").select(docs.columns)

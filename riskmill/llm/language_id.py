@@ -123,34 +123,42 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+class Predictor:
+    """A model as tasks use it: ``batch`` names the language and its score for every row of a batch."""
+
+    def __init__(self, spark, model: tuple, alphabet: int = ALPHABET):
+        self.key, self.alphabet = uuid.uuid4().hex, alphabet
+        self.shared = spark.sparkContext.broadcast(model)  # bounded by alphabet and languages
+
+    def batch(self, batch: pa.RecordBatch) -> tuple[list[str], list[float]]:
+        names, signs, tables = _tables(self.key, self.shared, self.alphabet)
+        best, score = [], []
+        for _, texts in chunks(batch):
+            for text in texts:
+                if not names or not _has_letter(text):
+                    best.append("und")
+                    score.append(0.0)
+                    continue
+                bits = np.zeros(len(names))
+                for lo in range(0, len(text), 1 << 20):
+                    part = signs[np.frombuffer(text, np.uint8)[max(lo - ORDER, 0) : lo + (1 << 20)]]
+                    bits += tables[_context_codes(part, self.alphabet)[min(lo, ORDER) :]].sum(axis=0, dtype=np.float64)
+                k = int(np.argmin(bits))
+                best.append(names[k])
+                score.append(float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum()))
+        return best, score
+
+
 def predict(docs: DataFrame, model: tuple, alphabet: int = ALPHABET) -> DataFrame:
     """doc_id, lang_pred, score (the share of the best language in the sum of all likelihoods)."""
-    languages, codes, counts = model
-    key = uuid.uuid4().hex
-    shared = docs.sparkSession.sparkContext.broadcast((languages, codes, counts))  # bounded by alphabet and languages
+    predictor = Predictor(docs.sparkSession, model, alphabet)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, signs, tables = _tables(key, shared, alphabet)
         for batch in batches:
+            best, score = predictor.batch(batch)
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, texts in chunks(batch):
-                best, score = [], []
-                for text in texts:
-                    if not names or not _has_letter(text):
-                        best.append("und")
-                        score.append(0.0)
-                        continue
-                    bits = np.zeros(len(names))
-                    for lo in range(0, len(text), 1 << 20):
-                        part = signs[np.frombuffer(text, np.uint8)[max(lo - ORDER, 0) : lo + (1 << 20)]]
-                        bits += tables[_context_codes(part, alphabet)[min(lo, ORDER) :]].sum(axis=0, dtype=np.float64)
-                    k = int(np.argmin(bits))
-                    best.append(names[k])
-                    score.append(float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(texts)), pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
-                )
+            columns = [ids, pa.array(best, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(predicted, RESULT)
 
@@ -181,8 +189,11 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 def stage_language_id(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """First stage of the pipeline: documents without a recognised language go, the rest stay as they are."""
-    from riskmill.llm.common import stored
+    predictor = Predictor(spark, _model(docs))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = predictor.batch(batch)
+            yield batch.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score)], pa.bool_()))
 
-    found = stored(predict(docs, _model(docs)), "language")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return docs.mapInArrow(kept, docs.schema)

@@ -142,5 +142,5 @@ def op4_near_dup(spark, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Third stage of the pipeline: one document of each component stays (empty ones are their own)."""
-    kept = stored(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = stored(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
