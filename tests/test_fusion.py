@@ -55,7 +55,7 @@ def test_merge_is_the_plain_walk(spark):
     for parts in (1, 7):
         h = spark.createDataFrame(hits, HITS).repartition(parts)
         m = spark.createDataFrame(model, MODEL_FINDINGS).repartition(parts)
-        rows = fusion.merge_findings(h, m).collect()
+        rows = fusion.merge_findings(h, m, evidence_cap=20).collect()
         got = {
             (r.repo_id, r.file, r.defect_class): (
                 r.detector_source, r.confidence, r.severity, r.evidence_lines, r.rule_ids, r.scenario_ids, r.explanation, r.llm_reasoning,

@@ -89,14 +89,14 @@ def test_fusion_and_rule_guarantee(spark):
 def test_reference_block_and_chunks(spark):
     refs = spark.createDataFrame([(0, C.AMOUNT_CURRENCY, "x", 1), (0, C.DUPLICATE_PAYMENT, "y", 2), (0, C.DUPLICATE_PAYMENT, "x", 1)], "query_id int, defect_class string, id string, place int")
     chunks = spark.createDataFrame([("x", "RULE", "a \n  b" + "c" * 300), ("y", "SAFE_PATTERN", "z")], "id string, kind string, text string")
-    text = R.reference_block(refs, chunks).first().references_text
+    text = R.reference_block(refs, chunks, C.REFERENCE_CHARS).first().references_text
     line = "- (RULE x) " + ("a b" + "c" * 300)[:200]
     assert text == f"[DUPLICATE_PAYMENT]\n{line}\n- (SAFE_PATTERN y) z\n[AMOUNT_CURRENCY]\n{line}"
     train = spark.createDataFrame(
         [("hn-dp-1", "code", [], False), ("s2", "x" * 2000, ["WEBHOOK_INTEGRITY"], True), ("s3", "  \n", [], False), ("plain", "c", [], False)],
         "sample_id string, content string, classes array<string>, hard_negative boolean",
     )
-    got = {r.id: r for r in R.example_chunks(train).collect()}
+    got = {r.id: r for r in R.example_chunks(train, C.EXAMPLE_CHARS).collect()}
     assert set(got) == {"ex:hn-dp-1:DUPLICATE_PAYMENT:safe", "ex:s2:WEBHOOK_INTEGRITY", *[f"ex:plain:{c}:safe" for c in C.EVAL_CLASSES]}
     assert got["ex:s2:WEBHOOK_INTEGRITY"].text == "UNSAFE WEBHOOK_INTEGRITY example:\n" + "x" * 1600
     assert got["ex:hn-dp-1:DUPLICATE_PAYMENT:safe"].hard_negative and got["ex:s2:WEBHOOK_INTEGRITY"].hard_negative
