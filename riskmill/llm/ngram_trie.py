@@ -40,7 +40,7 @@ from riskmill.llm.textbytes import chunks, words
 from riskmill.session import scratch_path
 
 DISCOUNT, LEAST = 0.75, 2
-WORDS_A_SHARD, TOKENS_A_SHARD, HELD = 1 << 20, 6 << 20, 3 << 20
+WORDS_A_SHARD, TOKENS_A_SHARD, HELD, SLICE = 1 << 20, 3 << 20, 1 << 20, 1 << 20
 END = np.uint64(0x656E64206F662074)
 _FIELD = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -182,10 +182,12 @@ class Model:
                 continue
             rows = order[lo:hi]
             local = context[rows] - self.first[shard]
+            back[rows] = self.file("2", shard, "backs")[self.file("2", shard, "back")[local]]
+            some = back[rows] < 0  # a context that leaves all to the shorter one has no followers here
+            rows, local = rows[some], local[some]
             runs = self.runs("2", shard)
             distinct, inverse = np.unique(local, return_inverse=True)
             begin, end = runs.get(distinct)[inverse], runs.get(distinct + 1)[inverse]
-            back[rows] = self.file("2", shard, "backs")[self.file("2", shard, "back")[local]]
             followers = self.file("2", shard, "followers")
             at = _successor(followers, begin, end, word[rows])
             found = at < end
@@ -202,12 +204,13 @@ class Model:
         some = some[np.argsort(shard_of[some], kind="stable")]
         for shard, lo, hi in _slices(shard_of[some]):
             rows = some[lo:hi]
+            back[rows] = self.file("3", shard, "backs")[self.file("3", shard, "back")[node[rows]]]
+            rows = rows[(back[rows] < 0) & (relative[rows] >= 0)]
             runs = self.runs("3", shard)
             begin, end = runs.get(node[rows]), runs.get(node[rows] + 1)
-            back[rows] = self.file("3", shard, "backs")[self.file("3", shard, "back")[node[rows]]]
             followers = self.file("3", shard, "followers")
             at = _successor(followers, begin, end, relative[rows])
-            found = (at < end) & (relative[rows] >= 0)
+            found = at < end
             found[found] = followers[at[found]] == relative[rows][found]
             p[rows[found]] = self.file("3", shard, "ps")[self.file("3", shard, "p")[at[found]]]
         return p, back
@@ -322,7 +325,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
-            for _, texts in chunks(batch):
+            for _, texts in chunks(batch, limit=SLICE):
                 if tally.add(sequence(texts)[0]):
                     yield rows(*tally.take())
         yield rows(*tally.take())
@@ -357,7 +360,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
             return _runs_of(own.shard_of((keys >> _FIELD).astype(np.int64)), keys, counts)
 
         for batch in batches:
-            for _, texts in chunks(batch):
+            for _, texts in chunks(batch, limit=SLICE):
                 ids, counts, _, before = _known(own, texts)
                 often = counts >= LEAST
                 often &= np.concatenate([[True], often[:-1]]) | (before == own.size)
@@ -388,7 +391,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
             return _runs_of(np.full(len(keys), shard), keys, counts)
 
         for batch in batches:
-            for _, texts in chunks(batch):
+            for _, texts in chunks(batch, limit=SLICE):
                 ids, _, sizes, before = _known(own, texts)
                 shard_of, node, relative, _, _ = own.pairs(np.where(ids < 0, -1, before), ids)
                 node_before = np.concatenate([[-1], node[:-1]])
@@ -434,8 +437,11 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
 def _level(uri: str, context: np.ndarray, n: int, follower: np.ndarray, p: np.ndarray, back: np.ndarray, more: dict) -> None:
     starts = np.searchsorted(context, np.arange(n + 1))
     p_codes, ps = quantised(np.log10(p))
-    back_codes, backs = quantised(np.log10(back))
-    backs[-1] = 0.0 if len(back) and back.max() >= 1 else backs[-1]  # no follower kept: exactly one
+    backs = np.zeros(256, np.float32)  # the last code is for contexts without followers here: all is left, exactly
+    less = np.flatnonzero(back < 1)
+    back_codes = np.full(len(back), 255, np.uint8)
+    back_codes[less], values = quantised(np.log10(back[less]), 255)
+    backs[: len(values)] = values
     small = np.uint16 if not len(follower) or follower.max() < 1 << 16 else np.uint32
     arrays = {"followers": follower.astype(small), "p": p_codes, "ps": ps, "back": back_codes, "backs": backs}
     save(uri, arrays | EliasFano.encode(starts) | more)
@@ -451,7 +457,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
         own = opened(*model)
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, texts in chunks(batch):
+            for first, texts in chunks(batch, limit=SLICE):
                 ids, counts, sizes, before = _known(own, texts)
                 base = own.log_unigram(counts)
                 shard_of, node, relative, p, back = own.pairs(before, ids)
