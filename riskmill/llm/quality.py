@@ -1,7 +1,8 @@
 """Operator 1: quality classifier, Naive Bayes support vectors.
 
 Method: features are indicators of byte n-grams (1 to 3 bytes of the whole text as it stands, so
-case and signs count), hashed into ``DIMENSIONS``. Each indicator is scaled by its class
+case and signs count), hashed into ``HASHED`` places, and of word runs by their form: how many words
+repeat the one before, and what share of the words is distinct, in steps. Each indicator is scaled by its class
 log-count ratio (smoothed Naive Bayes), and a linear hinge-loss model is fitted to the scaled
 indicators by dual coordinate descent (L2-regularised, L1 hinge). The weights are mixed with their
 mean size as Naive Bayes support vectors prescribe, and a logistic curve fitted on rows kept out
@@ -25,17 +26,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmill.llm.common import crc_remainder
-from riskmill.llm.textbytes import chunks
+from riskmill.llm.textbytes import chunks, words
 
-DIMENSIONS = 1 << 17
+HASHED, STEPS = 1 << 17, 24
+DIMENSIONS = HASHED + 2 * STEPS
 SAMPLE = 2000
 ALPHA, COST, MIXTURE, EPOCHS = 1.0, 0.1, 0.25, 15
 THRESHOLD = 0.3
 
 
+def features(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Sorted distinct features of each text."""
+    hashes, counts = words(texts)
+    at = 0
+    for text, n in zip(texts, counts.tolist()):
+        own = hashes[at : at + n]
+        at += n
+        yield np.concatenate([indicators(text), forms(own)])
+
+
+def forms(hashes: np.ndarray) -> np.ndarray:
+    """Indicators of the form of a run of words; every step includes those below, none for no words."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    repeats = np.count_nonzero(hashes[1:] == hashes[:-1]) / len(hashes)
+    distinct = len(np.unique(hashes)) / len(hashes)
+    steps = [int(np.ceil(repeats * STEPS)), int(np.ceil((1 - distinct) * STEPS))]
+    return np.concatenate([HASHED + i * STEPS + np.arange(min(k, STEPS)) for i, k in enumerate(steps)])
+
+
 def indicators(text: bytes) -> np.ndarray:
-    """Sorted distinct features of a text."""
-    flags = np.zeros(DIMENSIONS, bool)
+    """Sorted distinct byte n-gram features of a text."""
+    flags = np.zeros(HASHED, bool)
     step = 1 << 20
     for lo in range(0, len(text), step):
         part = np.frombuffer(text, np.uint8)[lo : lo + step + 2].astype(np.uint32)
@@ -66,7 +88,7 @@ def learn(train: DataFrame) -> tuple[np.ndarray, float, float, float]:
         for batch in batches:
             ids, quality = batch.column(0), batch.column(2)
             for first, texts in chunks(batch):
-                rows = [indicators(t).astype("<i4").tobytes() for t in texts]
+                rows = [f.astype("<i4").tobytes() for f in features(texts)]
                 columns = [ids.slice(first, len(texts)), pa.array(rows, pa.binary()), quality.slice(first, len(texts))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "features", "quality"])
 
@@ -134,7 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float]) -> Dat
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for first, texts in chunks(batch):
-                margin = np.array([weights[indicators(t)].sum() + bias for t in texts])
+                margin = np.array([weights[f].sum() + bias for f in features(texts)])
                 value = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -700, 700)))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(value)], names=["doc_id", "score"])
 
