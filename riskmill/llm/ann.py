@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 128, 0.5, 24576, 256
+PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 160, 0.5, 24576, 1024
 FIRST_RADIUS, WIDEN, SHARE = 0.5, 1.12, 0.1
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -65,31 +65,43 @@ class BlockIndex:
         n, most = len(self.ids), len(queries)
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         centred = (np.hstack([unit, np.zeros((most, 1))]) @ self.lines.T).T
-        least = int(np.ceil(THRESHOLD * PROJECTIONS))
         enough = max(50 * k, int(self.share * n))
         found: list = [None] * most
-        moved, hit = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool)
-        waiting, radius = np.arange(most), FIRST_RADIUS
+        # on every eighth vector each query finds the radius at which the share is reached; the block is then
+        # counted at that radius, and wider where it still holds too few
+        radii = np.full(most, FIRST_RADIUS)
+        self._widen(self.ranks[:, ::8].copy(), centred, radii, lambda i, close: len(close) >= self.share * n / 8)
+
+        def settle(i: int, close: np.ndarray) -> bool:
+            close = close[self.ids[close] != query_ids[i]]
+            score = _products(self.vectors[close], queries[i])
+            best = np.lexsort((self.ids[close], -score))[:k]
+            found[i] = (self.ids[close][best], score[best])
+            return len(close) >= enough
+
+        self._widen(self.ranks, centred, radii, settle)
+        return found
+
+    def _widen(self, ranks: np.ndarray, centred: np.ndarray, radii: np.ndarray, done) -> None:
+        """Widen the windows of each query until ``done`` with the vectors of enough collisions, or all are inside."""
+        least = int(np.ceil(THRESHOLD * PROJECTIONS))
+        moved, hit = np.empty_like(ranks), np.empty(ranks.shape, bool)
+        waiting = np.arange(len(radii))
         while len(waiting):
-            c = centred[:, waiting]
-            first = np.array([np.searchsorted(p, v - radius) for p, v in zip(self.places, c)])
-            after = np.array([np.searchsorted(p, v + radius, "right") for p, v in zip(self.places, c)])
+            c, r = centred[:, waiting], radii[waiting]
+            first = np.array([np.searchsorted(p, v - r) for p, v in zip(self.places, c)])
+            after = np.array([np.searchsorted(p, v + r, "right") for p, v in zip(self.places, c)])
             first, width = first.astype(np.uint16), (after - first).astype(np.uint16)
-            done = []
+            left = []
             for at, i in enumerate(waiting.tolist()):
                 # a vector collides on a line if its rank lies in the window: one wrapping subtraction, one comparison
-                np.subtract(self.ranks, first[:, at, None], out=moved)
+                np.subtract(ranks, first[:, at, None], out=moved)
                 np.less(moved, width[:, at, None], out=hit)
                 close = np.flatnonzero(np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8) >= least)
-                close = close[self.ids[close] != query_ids[i]]
-                if len(close) >= enough or width[:, at].min() == n:
-                    score = _products(self.vectors[close], queries[i])
-                    best = np.lexsort((self.ids[close], -score))[:k]
-                    found[i] = (self.ids[close][best], score[best])
-                    done.append(at)
-            waiting = np.delete(waiting, done)
-            radius *= WIDEN
-        return found
+                if not done(i, close) and width[:, at].min() < len(self.ids):
+                    left.append(i)
+            waiting = np.array(left, np.int64)
+            radii[waiting] *= WIDEN
 
 
 def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
