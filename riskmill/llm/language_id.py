@@ -99,24 +99,31 @@ def learn(train: DataFrame, alphabet: int = ALPHABET) -> tuple[list[str], dict[i
     return languages, codes, [(c["code"].to_numpy(np.int32), c["n"].to_numpy(np.int32)) for c in counts]
 
 
+def _refined(n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of every sign after contexts with followers ``n``, given those of the shorter contexts."""
+    seen = n > 0
+    kinds = seen.sum(axis=1, keepdims=True)
+    total = n.sum(axis=1, keepdims=True) + kinds
+    left = np.where(seen, 0.0, lower).sum(axis=1, keepdims=True)  # mass of the shorter context after exclusion
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = np.where(left > 0, kinds / total / left, 0.0)
+        p = np.where(kinds > 0, np.where(seen, n / total, escape * lower), lower)
+        # a context that has seen every sign needs no escape
+        return np.where((kinds > 0) & (left == 0), n / (total - kinds), p)
+
+
 def code_lengths(codes: np.ndarray, counts: np.ndarray, size: int = ALPHABET) -> np.ndarray:
     """Bits of every sign after every context of ORDER signs, under one language's frozen counts."""
-    full = np.zeros(size ** (ORDER + 1), np.float64)
+    full = np.zeros(size ** (ORDER + 1), np.int32)
     full[codes] = counts
     p = np.full((1, size), 1.0 / size)
-    for order in range(ORDER + 1):
-        n = full.reshape(-1, size**order, size).sum(axis=0)  # contexts of the last ``order`` signs
-        lower = np.tile(p, (len(n) // len(p), 1))
-        seen = n > 0
-        kinds = seen.sum(axis=1, keepdims=True)
-        total = n.sum(axis=1, keepdims=True) + kinds
-        left = np.where(seen, 0.0, lower).sum(axis=1, keepdims=True)  # mass of the shorter context after exclusion
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(left > 0, kinds / total / left, 0.0)
-            p = np.where(kinds > 0, np.where(seen, n / total, escape * lower), lower)
-            # a context that has seen every sign needs no escape
-            p = np.where((kinds > 0) & (left == 0), n / (total - kinds), p)
-    return -np.log2(p).astype(np.float32).ravel()
+    for order in range(ORDER):
+        n = full.reshape(-1, size**order, size).sum(axis=0, dtype=np.float64)  # contexts of the last ``order`` signs
+        p = _refined(n, np.tile(p, (len(n) // len(p), 1)))
+    bits = np.empty((size, *p.shape), np.float32)
+    for first, n in enumerate(full.reshape(bits.shape)):  # by the first sign of the context, to keep the steps small
+        bits[first] = -np.log2(_refined(n.astype(np.float64), p))
+    return bits.ravel()
 
 
 def _has_letter(text: bytes) -> bool:
@@ -170,8 +177,9 @@ def _tables(key: str, shared, alphabet: int):
     """The tables of a model, made once for each Python worker."""
     if key not in _made:
         languages, codes, counts = shared.value
-        columns = [code_lengths(c, n, alphabet) for c, n in counts]
-        tables = np.stack(columns, axis=1) if columns else np.zeros((1, 0), np.float32)
+        tables = np.zeros((alphabet ** (ORDER + 1), len(languages)), np.float32)
+        for k, (c, n) in enumerate(counts):
+            tables[:, k] = code_lengths(c, n, alphabet)
         _made.clear()
         _made[key] = (languages, _signs(codes), tables)
     return _made[key]

@@ -23,7 +23,7 @@ _SIGN = np.zeros(256, bool)
 _SIGN[33:127] = True
 _SIGN[48:58] = _SIGN[65:91] = _SIGN[97:123] = False
 _SIGN[39] = False
-MEMO = 1_500_000
+MEMO = 400_000
 
 
 class WordEncoder:
