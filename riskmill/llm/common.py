@@ -83,7 +83,7 @@ def may_be_similar(parts: int, least: float):
     return sizes & (apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("other_n")) + 1e-6)
 
 
-def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str) -> DataFrame:
+def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str, orders: int = 64) -> DataFrame:
     """Components of all verified links between members of a common bucket: id, component.
 
     ``buckets`` has bucket, id (both long, distinct rows). ``prepare`` gets the ids that share a bucket and
@@ -91,18 +91,19 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str)
     ``features`` gets ids and returns id with columns that ``possible``, a condition on them and on
     the same columns with other_ in front, needs to refuse pairs that cannot be links.
 
-    A bucket of any size is first linked to one member (chosen by the bucket's own hash, so a large
-    group meets many different centres through its many buckets): as many pairs as members. Only what
+    A bucket of any size is first linked to one member (the first in one of ``orders`` random orders of
+    all ids, so a large group meets that many different centres through its many buckets): as many
+    pairs as members. Only what
     these links leave in different components of the same bucket is then compared pair by pair, as far
     as possible, so no link that could join two components is lost, and a large group of copies
     never becomes a square of pairs.
     """
     inside = Window.partitionBy("bucket")
-    mixed = F.col("id").bitwiseXOR(F.col("bucket"))
+    mask = F.xxhash64(F.pmod("bucket", F.lit(orders)))
     groups = buckets.select(
         "bucket",
         "id",
-        F.min(mixed).over(inside).bitwiseXOR(F.col("bucket")).alias("centre"),
+        F.min(F.col("id").bitwiseXOR(mask)).over(inside).bitwiseXOR(mask).alias("centre"),
         F.count("*").over(inside).alias("size"),
     ).where("size > 1")
     groups = stored(groups, f"{name}-groups")

@@ -89,7 +89,9 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     hits = stored(places.join(sent(marks), "g").select("doc_id", "name", "at", "sizes").distinct(), "hits")
     # what a text holds of the items: never more than its own words
     held = stored(hits.groupBy("doc_id", "name").agg(F.collect_list(F.struct("at", "sizes")).alias("hits")), "held")
-    texts = _shingled(docs.join(sent(held), ["doc_id", "name"]), "doc_id", "name", "hits")
+    # only the narrow keys are sent; the texts that are left meet their hits by a shuffle
+    few = docs.join(sent(held.select("doc_id", "name")), ["doc_id", "name"], "left_semi")
+    texts = _shingled(few.join(held, ["doc_id", "name"]), "doc_id", "name", "hits")
 
     def at_most(start, size):  # a window that would pass the end becomes the text's last one of that size
         return F.least(start, F.greatest(F.size("h") - _shingles(size), F.lit(0)))

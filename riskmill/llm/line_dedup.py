@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from riskmill.llm.common import linked, may_be_similar, parity, sent, stored
 
-SIZE, BANDS, ROWS, LEAST = 9, 12, 3, 0.75
+SIZE, BANDS, ROWS, LEAST, PARITY = 9, 12, 3, 0.75, 16
 _random = random.Random(17)
 _FACTORS = [_random.getrandbits(31) | 1 for _ in range(BANDS * ROWS)]
 
@@ -49,38 +49,46 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*bands)).alias("bucket"), "id")
 
 
-def components_of(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def _shingles(norm: str):
+    pieces = F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?=(.{{{SIZE}}}))"), F.lit(1)))
+    return F.when(F.length(norm) < SIZE, F.array(norm)).otherwise(pieces)
+
+
+def components_of(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """id, component of every line hash that is linked with another."""
 
     def prepare(ids: DataFrame):
-        text = lines_of(docs).select("id", "norm").join(sent(ids), "id", "left_semi")
-        shingles = F.array_distinct(F.regexp_extract_all("norm", F.lit(rf"(?=(.{{{SIZE}}}))"), F.lit(1)))
-        whole = F.when(F.length("norm") < SIZE, F.array("norm")).otherwise(shingles)
-        sets = stored(text.groupBy("id").agg(F.max("norm").alias("norm")).select("id", whole.alias("s")), "line-sets")
+        texts = lines.select("id", "norm").join(sent(ids), "id", "left_semi").groupBy("id").agg(F.max("norm").alias("norm"))
+        texts = stored(texts, "line-texts")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
-            right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-            both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-            return both.where(F.col("common") >= least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+            left = texts.select(F.col("id").alias("a"), F.col("norm").alias("x"))
+            right = texts.select(F.col("id").alias("b"), F.col("norm").alias("y"))
+            # named by a lambda, both sets are made once; (1 + least) * common >= least * (sizes) is the Jaccard test
+            similar = F.transform(
+                F.array(F.struct(_shingles("x").alias("x"), _shingles("y").alias("y"))),
+                lambda p: (1 + least) * F.size(F.array_intersect(p["x"], p["y"])) >= least * (F.size(p["x"]) + F.size(p["y"])),
+            )
+            return pairs.join(left, "a").join(right, "b").where(F.get(similar, F.lit(0))).select("a", "b")
 
         def features(some: DataFrame) -> DataFrame:
-            rows = sets.join(some, "id", "left_semi").select("id", F.explode("s").alias("shingle"))
+            rows = texts.join(some, "id", "left_semi").select("id", F.explode(_shingles("norm")).alias("shingle"))
             rows = rows.select("id", F.xxhash64("shingle").alias("h"))
-            return rows.groupBy("id").agg(F.count("*").alias("n"), *parity("h"))
+            return rows.groupBy("id").agg(F.count("*").alias("n"), *parity("h", 64 * PARITY))
 
-        return verify, features, may_be_similar(4, least)
+        return verify, features, may_be_similar(PARITY, least)
 
-    return linked(buckets_of(lines_of(docs)), prepare, "lines")
+    return linked(buckets_of(lines), prepare, "lines", orders=1)
 
 
 def removed_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per line that goes: doc_id, line_no, and the line that stays for it: kept_doc_id, kept_line_no."""
-    parts = stored(components_of(docs, least), "line-parts")
-    places = lines_of(docs).select("doc_id", "line_no", "id").join(sent(parts), "id", "left")
-    places = stored(places.select("doc_id", "line_no", F.coalesce("component", "id").alias("part")), "line-places")
+    lines = stored(lines_of(docs), "lines")
+    parts = stored(components_of(lines, least), "line-parts")
+    places = lines.select("doc_id", "line_no", "id").join(sent(parts), "id", "left")
+    places = places.select("doc_id", "line_no", F.coalesce("component", "id").alias("part"))
     first = places.groupBy("part").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    rows = places.join(first, "part").select(
+    rows = places.join(stored(first, "line-first"), "part").select(
         "doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")
     )
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("line_no") == F.col("kept_line_no"))

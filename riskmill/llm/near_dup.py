@@ -118,9 +118,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         def verify(pairs: DataFrame) -> DataFrame:
             left = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
             right = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-            both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-            union = F.size("x") + F.size("y") - F.col("common")
-            return both.where(100 * F.col("common") >= percent * union).select("a", "b")
+            common = F.size(F.array_intersect("x", "y"))
+            both = pairs.join(left, "a").join(right, "b")
+            return both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
         known = sets.drop("values")
         return verify, lambda ids: known.join(ids, "id", "left_semi"), may_be_similar(PARITY, percent / 100)
