@@ -1,11 +1,12 @@
 """Operator 10: token counts of whole texts, huge ones by overlapping chunks that are spliced.
 
 Method: a text above ``chunk`` bytes is encoded in chunks that overlap. In the overlap of two chunks
-a boundary is looked for that is proven stable: a place before a blank or a line end that follows
-another kind of character, where both encodings start a token. No token of the vocabulary holds a
-blank behind another character (checked when the model is loaded), so no merge can cross such a
-place and both sides are encoded there as in the whole text. The chunks are cut at that common
-boundary; if there is none, the overlap is doubled, up to the whole rest of the text.
+a boundary is looked for that is proven stable: a place between two characters that stand side by
+side in no token of the vocabulary (before a blank or a line end, as a rule, and inside CJK or base64
+wherever the vocabulary allows it), where both encodings start a token. No merge can cross such a
+place, so both sides are encoded there as in the whole text, and the chunks are cut at it. If there
+is none, the overlap is doubled, at most up to the chunk's own first boundary; if the whole chunk has
+none, its end is moved forward, by doubling, until one is found or the text ends.
 
 Null and empty texts have no tokens. Ties do not occur; repeated rows are counted each; extra
 columns are ignored.
@@ -32,7 +33,8 @@ class Counter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.splits_at_blanks = not any("▁" in p.lstrip("▁") for p in pieces)
+        held = {ord(x) << 32 | ord(y) for p in pieces for x, y in zip(p.replace("▁", " "), p.replace("▁", " ")[1:])}
+        self.joined = np.array(sorted(held), np.int64)  # all pairs of characters that some token holds side by side
         self.widths = np.array(
             [1 if self.model.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in enumerate(pieces)], np.int64
         )
@@ -44,37 +46,39 @@ class Counter:
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         raw = text.replace("\u2581", " ").encode()  # the model's own sign for a blank, which it reads as one
-        if len(raw) <= chunk or not self.splits_at_blanks:
+        if len(raw) <= chunk:
             return len(self.model.encode(text))
-        tokens, begin, wide = 0, 0, overlap
-        previous: np.ndarray | None = None  # token starts of the chunk before, from ``begin`` on
-        position = 0
-        while True:
-            end = _character(raw, min(position + chunk, len(raw)))
-            now = self.starts(raw[position:end].decode(), 1) + position
-            if previous is None:
-                previous, begin = now, end
-            else:
-                common = self._stable(raw, previous, now, position, begin)
-                if common is None:
-                    wide *= 2
-                    position = _character(raw, max(begin - wide, 0))
-                    if position == 0:
-                        return len(self.model.encode(text))
-                    continue
-                tokens += int(np.searchsorted(previous, common))
-                previous, begin, wide = now[np.searchsorted(now, common) :], end, overlap
-            if end == len(raw):
-                return tokens + len(previous)
-            position = _character(raw, max(end - wide, 0))
-
-    @staticmethod
-    def _stable(raw: bytes, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int | None:
-        both = np.intersect1d(left, right, assume_unique=True)
-        for at in both[(both > low + 1) & (both < high)].tolist():
-            if raw[at] == 0x20 and raw[at - 1] != 0x20:
-                return at
-        return None
+        # a chunk is read from ``position`` to ``end``; its tokens count from ``first`` on, a proven boundary
+        tokens, position, first, end, size = 0, 0, -1, _character(raw, chunk), chunk
+        own = self.starts(raw[:end].decode(), 1)
+        while end < len(raw):
+            wide, common = overlap, None
+            while common is None and (after := _character(raw, max(end - wide, 0))) > first + 1:
+                proven = self._stable(raw, after, end)
+                if len(proven := np.intersect1d(own, proven, assume_unique=True)):
+                    stop = _character(raw, min(max(after + chunk, end + chunk // 2), len(raw)))
+                    now = self.starts(raw[after:stop].decode(), 1) + after
+                    proven = np.intersect1d(now, proven, assume_unique=True)
+                    common = int(proven[0]) if len(proven) else None
+                wide *= 2
+            if common is None:  # nothing between ``first`` and ``end``: the same chunk, but longer
+                size *= 2
+                end = _character(raw, min(position + size, len(raw)))
+                own = self.starts(raw[position:end].decode(), 1) + position
+                own = own[np.searchsorted(own, first) :]
+                continue
+            tokens += int(np.searchsorted(own, common))
+            position, first, end, size, own = after, common, stop, chunk, now[np.searchsorted(now, common) :]
+        return tokens + len(own)
+
+    def _stable(self, raw: bytes, low: int, high: int) -> np.ndarray:
+        """All places inside ``low`` to ``high`` (starts of characters) that no token of the vocabulary can cross."""
+        text = raw[low:high].decode()
+        signs = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        pairs = signs[:-1] << 32 | signs[1:]
+        known = self.joined[np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)] == pairs
+        sizes = 1 + (signs >= 0x80) + (signs >= 0x800) + (signs >= 0x10000)
+        return low + np.cumsum(sizes)[:-1][~known]
 
 
 def _character(raw: bytes, at: int) -> int:
