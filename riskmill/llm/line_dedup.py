@@ -1,10 +1,10 @@
 """Operator 7: fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Method: a line is compared in lower case without outer white space. Its signature is made of the
-minima, under ``BANDS * ROWS`` permutations, of the hashes of the character shingles that start its
-words (``SIZE`` characters from each start of a word; a change moves the words but not these
-starts). Bands of ``ROWS`` minima propose pairs with high recall, and a pair is a link if the sets of
-all its overlapping ``SIZE``-character shingles (a shorter line: itself) have a Jaccard similarity of
+minima, under ``BANDS * ROWS`` permutations, of the hashes of all its overlapping character shingles
+(``SIZE`` characters from every place; a shorter line: itself), the same that the check uses. Bands
+of ``ROWS`` minima propose pairs with high recall, and a pair is a link if the sets of
+these shingles have a Jaccard similarity of
 ``least`` or more. Components of links are found by distributed union-find; of each, the first line
 (by doc_id, line number) stays and the others are removed. A permutation is the middle of the product
 of a shingle's hash and a fixed odd factor.
@@ -37,8 +37,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def buckets_of(lines: DataFrame) -> DataFrame:
     """bucket, id: the bands of every distinct line."""
-    starts = F.regexp_extract_all("norm", F.lit(rf"(?=(.{{1,{SIZE}}}))\S+"), F.lit(1))
-    rows = lines.select("id", F.explode(starts).alias("shingle")).select(
+    # a shingle that comes again changes no minimum; for ``explode`` the optimizer would cut each line twice
+    rows = lines.select("id", F.explode_outer(_runs("norm")).alias("shingle")).select(
         "id", F.hash("shingle").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("h")
     )
     # 32 bits times 31 bits fit a long; the middle of the product is the permuted value
@@ -49,11 +49,15 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*bands)).alias("bucket"), "id")
 
 
-def _shingles(norm: str):
-    pieces = F.array_distinct(F.regexp_extract_all(norm, F.lit(rf"(?=(.{{{SIZE}}}))"), F.lit(1)))
+def _runs(norm: str):
+    pieces = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{SIZE}}}))"), F.lit(1))
     return F.when(F.length(norm) < SIZE, F.array(norm)).otherwise(pieces)
 
 
+def _shingles(norm: str):
+    return F.array_distinct(_runs(norm))
+
+
 def components_of(lines: DataFrame, least: float = LEAST) -> DataFrame:
     """id, component of every line hash that is linked with another."""
 
@@ -72,7 +76,7 @@ def components_of(lines: DataFrame, least: float = LEAST) -> DataFrame:
             return pairs.join(left, "a").join(right, "b").where(F.get(similar, F.lit(0))).select("a", "b")
 
         def features(some: DataFrame) -> DataFrame:
-            rows = texts.join(some, "id", "left_semi").select("id", F.explode(_shingles("norm")).alias("shingle"))
+            rows = texts.join(some, "id", "left_semi").select("id", F.explode_outer(_shingles("norm")).alias("shingle"))
             rows = rows.select("id", F.xxhash64("shingle").alias("h"))
             return rows.groupBy("id").agg(F.count("*").alias("n"), *parity("h", 64 * PARITY))
 
