@@ -2,7 +2,8 @@
 
 Method: words and one end sign per text are counted over all training texts. Level 1 is the sorted
 vocabulary (64-bit word hashes); a word's id is its rank. Level 2 holds, for each word in order of
-id, the sorted ids of the words seen after it at least ``LEAST`` times; level 3 holds, for each pair of
+id, the sorted ids of the words seen after it at least ``least`` times (op3_lm_scores: 1, so all that
+were seen; more prunes the model); level 3 holds, for each pair of
 level 2, which followers of its second word follow the pair, as positions among that word's own
 followers (context-relative ids). The starts of these runs are monotone and kept in Elias-Fano code
 (low bits packed, high bits in unary with a directory of counts). Probabilities are absolutely
@@ -315,8 +316,8 @@ def _group(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _summed([_from_planes(k) for k in rows["keys"]], [np.frombuffer(c, "<u4").astype(np.int64) for c in rows["counts"]])
 
 
-def build(train: DataFrame, path: str | None = None) -> tuple:
-    """Count, smooth and write all levels; returns the arguments of ``opened``."""
+def build(train: DataFrame, path: str | None = None, least: int = LEAST) -> tuple:
+    """Count, smooth and write all levels, with the n-grams seen ``least`` times or more; returns the arguments of ``opened``."""
     spark = train.sparkSession
     path = path or scratch_path(spark, "trie")
     path = path if "://" in path or path.startswith("/") else "/" + path.split(":", 1)[-1].lstrip("/")
@@ -362,7 +363,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
         for batch in batches:
             for _, texts in chunks(batch, limit=SLICE):
                 ids, counts, _, before = _known(own, texts)
-                often = counts >= LEAST
+                often = counts >= least
                 often &= np.concatenate([[True], often[:-1]]) | (before == own.size)
                 if tally.add(before[often].astype(np.uint64) << _FIELD | ids[often].astype(np.uint64)):
                     yield out()
@@ -371,7 +372,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
     def level2(rows: pd.DataFrame) -> pd.DataFrame:
         own, shard = opened(*model), int(rows["shard"].iloc[0])
         keys, counts = _group(rows)
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         context, word = (keys >> _FIELD).astype(np.int64), (keys & _LOW).astype(np.int64)
         local = context - own.first[shard]
         n = int(own.first[shard + 1] - own.first[shard]) + (shard == own.shards - 1)
@@ -411,7 +412,7 @@ def build(train: DataFrame, path: str | None = None) -> tuple:
     def level3(rows: pd.DataFrame) -> pd.DataFrame:
         own, shard = opened(*model), int(rows["shard"].iloc[0])
         keys, counts = _group(rows[rows["keys"].notna()])
-        keys, counts = keys[counts >= LEAST], counts[counts >= LEAST]
+        keys, counts = keys[counts >= least], counts[counts >= least]
         node, relative = (keys >> _FIELD).astype(np.int64), (keys & _LOW).astype(np.int64)
         of_pair = own.file("2", shard, "pair_counts")
         kept = (counts - DISCOUNT) / of_pair[node]
@@ -480,7 +481,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
 
 def op3_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = build(docs.where(crc_remainder("doc_id", 7) != 2))
+    model = build(docs.where(crc_remainder("doc_id", 7) != 2), least=1)
     return score(docs, model).select(
         "doc_id",
         (crc_remainder("doc_id", 7) == 2).alias("held_out"),
