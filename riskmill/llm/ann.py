@@ -10,6 +10,12 @@ with ``THRESHOLD`` collisions or more are verified on the original coordinates.
 when it has verified ``enough`` vectors of the block (a multiple of k), so its best k are safe with
 the documented recall; windows of the last round hold the block whole, so k are found if there are.
 
+Scaling by a norm far above the others would squeeze all of them together, so vectors are dealt into
+shells whose norms differ by a factor of ``SHELL`` at most. Each shell has its own index and scale, and
+is searched from the longest to the shortest; a query leaves a shell out only if its k-th score so far
+exceeds its own norm times the shell's largest, which nothing in the shell can pass. A block holds neighbouring
+small shells, or a share (by hash of id) of a large one.
+
 Blocks of queries meet blocks of vectors (the query set is stated, so this is a search in blocks, no
 cross join of rows); each pair of blocks gives k rows a query, merged per query by rank. Blocks are
 bounded by ``BLOCK`` rows whatever the input.
@@ -27,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 160, 0.5, 24576, 1024
-FIRST_RADIUS, WIDEN, SHARE = 0.5, 1.12, 0.1
+FIRST_RADIUS, WIDEN, SHARE, SHELL = 0.5, 1.12, 0.1, 1.15
+TINY = 1e-150  # norms whose squares vanish count as this
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -50,7 +57,7 @@ class BlockIndex:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, share: float = SHARE, seed: int = 8):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.largest = np.linalg.norm(self.vectors, axis=1).max()
+        self.largest = max(np.linalg.norm(self.vectors, axis=1).max(), TINY)
         rng = np.random.default_rng(seed)
         self.lines = rng.standard_normal((PROJECTIONS, vectors.shape[1] + 1))
         places = _unit(self.vectors, self.largest) @ self.lines.T
@@ -112,6 +119,44 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
+def _shells(v: np.ndarray) -> np.ndarray:
+    """The shell of each vector; norm 1 lies in the middle of shell 0, so that rounding does not split unit vectors."""
+    return np.floor(np.log(np.maximum(np.linalg.norm(v, axis=1), TINY)) / np.log(SHELL) + 0.5).astype(np.int64)
+
+
+def _search_block(ids: np.ndarray, vectors: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int, share: float) -> list:
+    """Ids and scores of the best k found of each query in a block, shell by shell."""
+    shells, lengths = _shells(vectors), np.linalg.norm(queries, axis=1)
+    found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in asked]
+    for shell in np.unique(shells)[::-1]:
+        rows = np.flatnonzero(shells == shell)
+        index = BlockIndex(ids[rows], vectors[rows], share)
+        bounds = lengths * index.largest * (1 + 1e-9)
+        open_ = [i for i, (_, s) in enumerate(found) if len(s) < k or s[k - 1] <= bounds[i]]
+        if not open_:
+            continue
+        for i, (more, scores) in zip(open_, index.search(asked[open_], queries[open_], k)):
+            more, scores = np.concatenate([found[i][0], more]), np.concatenate([found[i][1], scores])
+            best = np.lexsort((more, -scores))[:k]
+            found[i] = more[best], scores[best]
+    return found
+
+
+def _blocks(counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """shell, first block, number of blocks: neighbouring shells share a block as long as it is not full."""
+    out, block, held = [], -1, BLOCK
+    for shell in sorted(counts):
+        n = counts[shell]
+        if held + n <= BLOCK:
+            out.append((shell, block, 1))
+            held += n
+        else:
+            parts = -(-n // BLOCK)
+            out.append((shell, block + 1, parts))
+            block, held = block + parts, n if parts == 1 else BLOCK
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query. Inputs have id, v."""
     spark = vectors.sparkSession
@@ -119,9 +164,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if width is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     fits = F.size("v") == width["w"]
-    total, asked = vectors.where(fits).count(), queries.where(fits).count()
-    blocks, slices = -(-total // BLOCK), max(-(-asked // QUERY_BLOCK), 1)
-    rows = vectors.where(fits).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    asked = queries.where(fits).count()
+    norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)), F.lit(TINY))
+    rows = vectors.where(fits).withColumn("shell", F.floor(F.log(norm) / F.log(F.lit(SHELL)) + 0.5).cast("bigint"))
+    # at most one row for each power of SHELL that a double can hold
+    counts = {r["shell"]: r["count"] for r in rows.groupBy("shell").count().collect()}
+    dealt = _blocks(counts)
+    blocks, slices = max((b + n for _, b, n in dealt), default=0), max(-(-asked // QUERY_BLOCK), 1)
+    places = F.broadcast(spark.createDataFrame(dealt, "shell bigint, base bigint, parts bigint"))
+    rows = rows.join(places, "shell").select(
+        F.col("id").alias("id"), F.col("v").alias("v"), (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+    )
     # every block of vectors meets every slice of queries
     rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     asks = queries.where(fits).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int"))
@@ -130,10 +183,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            index = BlockIndex(left["id"].to_numpy(), np.stack(left["v"].to_numpy()), share)
             right = right.sort_values("id")
             asked = right["id"].to_numpy()
-            for query_id, (ids, scores) in zip(asked, index.search(asked, np.stack(right["v"].to_numpy()), k)):
+            held = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
+            for query_id, (ids, scores) in zip(asked, _search_block(*held, asked, np.stack(right["v"].to_numpy()), k, share)):
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
