@@ -62,6 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskmill/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table once what was made from it is written; other paths are refused."""
+    if not path.startswith(f"{shared_dir(spark).rstrip('/')}/riskmill/"):
+        raise ValueError(f"not a scratch path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def reliable_checkpoint(df, eager: bool = True):
     """Cut lineage with a checkpoint that survives the loss of an executor."""
     shared_dir(df.sparkSession)
