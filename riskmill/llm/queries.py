@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskmill.llm.ann import op8_ann
+from riskmill.llm.conversations import op11_conversation_repair
 from riskmill.llm.decontaminate import op6_decontamination
 from riskmill.llm.huffman_ids import op5_huffman_ids
 from riskmill.llm.language_id import op9_language_id
@@ -11,7 +12,9 @@ from riskmill.llm.near_dup import op4_near_dup
 from riskmill.llm.ngram_trie import op3_lm_scores
 from riskmill.llm.packing import op2_best_fit_packing
 from riskmill.llm.quality import op1_quality
+from riskmill.llm.sql import CONVERSATION_REPAIR, VECTOR_CODES
 from riskmill.llm.token_counts import op10_token_counts
+from riskmill.llm.vector_codes import op13_vector_codes
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-SQL: dict[str, str] = {}
+#: The others rest on tokenizers, trained models or similarity joins that SQL cannot do over whole tables.
+SQL = {"op11_conversation_repair": CONVERSATION_REPAIR, "op13_vector_codes": VECTOR_CODES}
