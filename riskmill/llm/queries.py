@@ -6,6 +6,7 @@ from riskmill.llm.ann import op8_ann
 from riskmill.llm.conversations import op11_conversation_repair
 from riskmill.llm.decontaminate import op6_decontamination
 from riskmill.llm.huffman_ids import op5_huffman_ids
+from riskmill.llm.html_extract import op12_html_extraction
 from riskmill.llm.language_id import op9_language_id
 from riskmill.llm.line_dedup import op7_line_dedup
 from riskmill.llm.near_dup import op4_near_dup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_html_extraction": op12_html_extraction,
     "op13_vector_codes": op13_vector_codes,
 }
 
