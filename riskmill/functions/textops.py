@@ -2,17 +2,17 @@
 
 Java regular expressions are ASCII by default while the semantics we follow are Unicode, so every
 pattern gets the flags ``U`` (Unicode classes), ``u`` (Unicode case folding) and ``d`` (only ``\\n``
-ends a line).
+ends a line). What is made of many parts is one SQL expression, which the JVM reads at once, and a pattern
+runs only on texts that hold the literals it cannot match without (``literals``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskmill import config as C
+from riskmill.functions import literals as L
 
 # What makes a piece of source code payment related.
 RELEVANT_CASED = [
@@ -25,12 +25,12 @@ RELEVANT_UNCASED = [
     r"X-Razorpay-Signature|razorpay_signature|webhook.*razorpay|razorpay.*webhook",
 ]
 
-# Word groups that decide the kind of a unit, first match wins.
+# Words that decide the kind of a unit, first match wins.
 KIND_WORDS = [
-    ("WEBHOOK", r"webhook|signature|x-razorpay-signature|event"),
-    ("REFUND", r"refund|rfnd"),
-    ("CAPTURE", r"capture"),
-    ("CHARGE", r"order|charge|checkout|payment|pay"),
+    ("WEBHOOK", ["webhook", "signature", "x-razorpay-signature", "event"]),
+    ("REFUND", ["refund", "rfnd"]),
+    ("CAPTURE", ["capture"]),
+    ("CHARGE", ["order", "charge", "checkout", "payment", "pay"]),
 ]
 
 # Comment shapes, removed in this order.
@@ -42,6 +42,7 @@ COMMENT_SHAPES = [
 ]
 
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_RARE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _EDGE_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -54,36 +55,56 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return text.rlike(java_pattern(pattern, "i" if ignore_case else ""))
 
 
-def any_match(text: Column, patterns: Sequence[str], ignore_case: bool = True) -> Column:
-    out = F.lit(False)
-    for pattern in patterns:
-        out = out | matches(text, pattern, ignore_case)
-    return out
+def named(value: Column, use: str) -> Column:
+    """The SQL expression ``use`` of a value that it calls ``t``, computed once however often it is named."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"t -> {use}")), F.lit(0))
+
+
+def match_sql(text: str, pattern: str, ignore_case: bool = True) -> str:
+    return f"rlike({text}, {L.sql_text(java_pattern(pattern, 'i' if ignore_case else ''))})"
+
+
+def tried_sql(text: str, literal_text: str, pattern: str, ignore_case: bool = True) -> str:
+    """Whether a pattern matches a text whose literals stand in ``literal_text`` (folded if case is ignored)."""
+    need = L.holds(L.needed(pattern, cased=literal_text == text), literal_text)
+    match = match_sql(text, pattern, ignore_case)
+    return match if need is None else f"({need} AND {match})"
+
+
+def strip_edges_sql(text: str) -> str:
+    return f"regexp_replace({text}, {L.sql_text(java_pattern(_EDGE_SPACE))}, '')"
 
 
 def is_payment_relevant(source: Column) -> Column:
-    return any_match(source, RELEVANT_CASED, False) | any_match(source, RELEVANT_UNCASED, True)
+    cased = [tried_sql("t", "t", p, False) for p in RELEVANT_CASED]
+    uncased = " OR ".join(tried_sql("t", "low", p) for p in RELEVANT_UNCASED)
+    return named(source, f"{' OR '.join(cased)} OR get(transform(array({L.fold_sql('t')}), low -> {uncased}), 0)")
 
 
 def infer_kind(source: Column, symbol: Column) -> Column:
-    text = F.lower(F.concat(source, F.lit(" "), symbol))
-    out = F.lit("OTHER")
-    for kind, words in reversed(KIND_WORDS):
-        out = F.when(text.rlike(words), F.lit(kind)).otherwise(out)
-    return out
+    cases = [
+        f"WHEN {' OR '.join(f'contains(t, {L.sql_text(w)})' for w in words)} THEN '{kind}'" for kind, words in KIND_WORDS
+    ]
+    return named(F.lower(F.concat(source, F.lit(" "), symbol)), f"CASE {' '.join(cases)} ELSE 'OTHER' END")
 
 
 def strip_comments(source: Column) -> Column:
     out = source
     for flags, shape in COMMENT_SHAPES:
-        out = F.regexp_replace(out, java_pattern(shape, flags), "")
+        cut = f"regexp_replace(t, {L.sql_text(java_pattern(shape, flags))}, '')"
+        out = named(out, f"CASE WHEN {L.holds(L.needed(shape, cased=True), 't')} THEN {cut} ELSE t END")
     return out
 
 
+def lines_sql(text: str) -> str:
+    """Lines of a text, without the empty piece after a final line end. Most texts have plain line ends only."""
+    rare = " OR ".join(f"contains({text}, {L.sql_text(end)})" for end in _RARE_ENDS)
+    parts = f"CASE WHEN {rare} THEN split({text}, {L.sql_text(_LINE_ENDS)}, -1) ELSE split({text}, '\\n', -1) END"
+    return f"get(transform(array({parts}), p -> CASE WHEN element_at(p, -1) = '' THEN slice(p, 1, size(p) - 1) ELSE p END), 0)"
+
+
 def split_lines(text: Column) -> Column:
-    """Lines of a text, without the empty piece after a final line end."""
-    parts = F.split(text, _LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return named(text, lines_sql("t"))
 
 
 def strip_edges(text: Column) -> Column:
@@ -94,22 +115,6 @@ def collapse_space(text: Column) -> Column:
     return strip_edges(F.regexp_replace(text, java_pattern(r"[\s\x1c-\x1f]+"), " "))
 
 
-def lines_matching(
-    source: Column,
-    pattern: str,
-    ignore_case: bool = True,
-    also: str | None = None,
-    limit: int | None = None,
-) -> Column:
-    """Trimmed lines of the raw source that match; ``also`` must match the trimmed line too."""
-    found = F.transform(
-        F.filter(split_lines(source), lambda line: matches(line, pattern, ignore_case)), strip_edges
-    )
-    if also is not None:
-        found = F.filter(found, lambda line: matches(line, also, ignore_case))
-    return F.slice(found, 1, limit) if limit is not None else found
-
-
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower)
 

@@ -1,8 +1,10 @@
 """Detection rules: a table of patterns compiled into one array column per code unit.
 
-A rule is a row, so users add rules without writing functions. All rules of a table become
-``array(when(...), ...)`` followed by one explode: one pass over the corpus, no Python worker, no
-shuffle.
+A rule is a row, so users add rules without writing functions. All rules of a table become one array of
+conditions and one array of hits, followed by one explode: one pass over the corpus, no Python worker, no
+shuffle. A pattern runs only on texts and lines that hold the literals it cannot match without
+(``functions.literals``), so plain byte searches decide most texts, and lines are cut only for texts with
+a hit. The arrays are SQL text, read by the JVM at once.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmill import config as C
+from riskmill.functions import literals as L
 from riskmill.functions import textops as T
 
 
@@ -24,7 +27,8 @@ class Rule:
     ``on_code`` tests the text without comments. ``evidence`` patterns select lines of the raw
     text; with ``evidence_also`` a line must match both and a hit needs at least one such line.
     ``allowed_values`` turns the first ``all_of`` pattern into a capture: the hit needs a captured
-    value outside that list. ``cap`` limits the evidence lines of a hit (None: all). Patterns ignore case unless listed in ``cased``.
+    value outside that list, and ``{values}`` in the explanation becomes all such values. ``cap`` limits the
+    evidence lines of a hit (None: all). Patterns ignore case unless listed in ``cased``.
     """
 
     rule_id: str
@@ -118,7 +122,7 @@ INJECTED_PHRASE = (
     r"send\s+(the|all|this)\s+(data|info|credentials?|keys?|secrets?)\s+to\b)"
 )
 
-BUILT_IN_RULES = [  # fixed values, with their cap of evidence lines
+BUILT_IN_RULES = [  # fixed values
     Rule(
         "DP-R1", C.DUPLICATE_PAYMENT, "HIGH", 0.55,
         "An order is created and nothing looks for an existing one; a client retry charges twice.",
@@ -162,106 +166,108 @@ BUILT_IN_RULES = [  # fixed values, with their cap of evidence lines
         "WI-R4", C.WEBHOOK_INTEGRITY, "MEDIUM", 0.50,
         "The amount in the webhook body is trusted and never compared with the order.",
         all_of=[PAYLOAD_AMOUNT], none_of=[ORDER_FETCH], kind="WEBHOOK", scenarios=["WI-4"],
-        evidence=[PAYLOAD_AMOUNT], cap=3,
+        evidence=[PAYLOAD_AMOUNT],
     ),
     Rule(
         "AC-R1", C.AMOUNT_CURRENCY, "CRITICAL", 0.85,
         "The amount is multiplied by 100 twice, which charges a hundred times too much.",
         all_of=[ORDER_CREATE_LOOSE, DOUBLE_HUNDRED], on_code=True, scenarios=["AC-1"],
-        evidence=[DOUBLE_HUNDRED], cap=3, cased=frozenset([DOUBLE_HUNDRED]),
+        evidence=[DOUBLE_HUNDRED], cased=frozenset([DOUBLE_HUNDRED]),
     ),
     Rule(
         "AC-R1", C.AMOUNT_CURRENCY, "CRITICAL", 0.75,
         "A value named for rupees reaches order creation without conversion to paise.",
         all_of=[ORDER_CREATE_LOOSE, RUPEE_NAME], none_of=[DOUBLE_HUNDRED, PAISE_CONVERSION],
-        on_code=True, scenarios=["AC-1"], evidence=[RUPEE_NAME], cap=3,
+        on_code=True, scenarios=["AC-1"], evidence=[RUPEE_NAME],
         cased=frozenset([DOUBLE_HUNDRED, PAISE_CONVERSION]),
     ),
     Rule(
         "AC-R2", C.AMOUNT_CURRENCY, "HIGH", 0.60,
         "Money is computed with floating point numbers.",
         all_of=[FLOAT_ARITHMETIC, MONEY_WORD], none_of=[DECIMAL_WORD], scenarios=["AC-2"],
-        evidence=[FLOAT_ARITHMETIC], evidence_also=MONEY_WORD, cap=3,
+        evidence=[FLOAT_ARITHMETIC], evidence_also=MONEY_WORD,
         cased=frozenset([DECIMAL_WORD]),
     ),
     Rule(
         "AC-R3", C.AMOUNT_CURRENCY, "CRITICAL", 0.75,
         "The amount comes from the client request and is not computed on the server.",
         all_of=[CLIENT_AMOUNT], none_of=[SERVER_AMOUNT], on_code=True, scenarios=["AC-3"],
-        evidence=[CLIENT_AMOUNT], cap=3,
+        evidence=[CLIENT_AMOUNT],
     ),
     Rule(
         "AC-R4", C.AMOUNT_CURRENCY, "LOW", 0.40,
-        "A currency code outside the supported list is written in the code.",
-        all_of=[CURRENCY_LITERAL], allowed_values=C.SUPPORTED_CURRENCIES, cap=3,
+        "Currency codes outside the supported list are written in the code: {values}.",
+        all_of=[CURRENCY_LITERAL], allowed_values=C.SUPPORTED_CURRENCIES,
     ),
     Rule(
         "SC-R1", C.SUSPICIOUS_CONTENT, "MEDIUM", 0.90,
         "The code holds text that reads like instructions to a language model; for review only.",
-        all_of=[INJECTED_PHRASE], evidence=[INJECTED_PHRASE], cap=3,
+        all_of=[INJECTED_PHRASE], evidence=[INJECTED_PHRASE],
     ),
 ]
-BUILT_IN_RULES = [replace(r, cap=r.cap or 5) for r in BUILT_IN_RULES]
+# How many evidence lines a hit shows where results must have the length of the original ones.
+SHOWN_EVIDENCE = {"WI-R4": 3, "AC-R1": 3, "AC-R2": 3, "AC-R3": 3, "AC-R4": 3, "SC-R1": 3}
+SHOWN_RULES = [replace(r, cap=SHOWN_EVIDENCE.get(r.rule_id, 5)) for r in BUILT_IN_RULES]
 
 HIT_SCHEMA = (
     "struct<rule_pos:int,rule_id:string,defect_class:string,severity:string,confidence:double,"
     "evidence_lines:array<string>,explanation:string,scenario_ids:array<string>>"
 )
-_CODE = "_code"
+_CODE, _LOW, _LOW_CODE, _FLAGS, _LINES = "_code", "_low", "_low_code", "_flags", "_lines"
 
 
-def _string_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def _condition(rule: Rule) -> str:
+    """Whether a rule can hit, as SQL: from cheap to dear, kind, literals, patterns."""
+    text, low = (_CODE, _LOW_CODE) if rule.on_code else ("source", _LOW)
+    tests = [] if rule.kind is None else [f"kind = {L.sql_text(rule.kind)}"]
+    tests += [t for t in (L.holds(L.needed(p), low) for p in rule.all_of) if t is not None]
+    # one line with both patterns, without which there is no hit, shows that the text has them
+    shown = {*rule.evidence, rule.evidence_also} if rule.evidence_also and len(rule.evidence) == 1 and not rule.on_code else set()
+    tests += [T.match_sql(text, p, p not in rule.cased) for p in rule.all_of if p not in shown]
+    tests += [f"NOT {T.tried_sql(text, low, p, p not in rule.cased)}" for p in rule.none_of]
+    return " AND ".join(tests) or "true"
 
 
-def _compile(rule: Rule, pos: int, raw: Column, code: Column, kind: Column) -> Column:
-    """One rule as a nullable struct."""
-    text = code if rule.on_code else raw
-    hit = F.lit(True)
-    if rule.kind is not None:
-        hit = hit & (kind == rule.kind)
-    for pattern in rule.all_of:
-        hit = hit & T.matches(text, pattern, pattern not in rule.cased)
-    for pattern in rule.none_of:
-        hit = hit & ~T.matches(text, pattern, pattern not in rule.cased)
+def _strange_values(rule: Rule) -> str:
+    allowed = ", ".join(L.sql_text(v.upper()) for v in rule.allowed_values)
+    values = f"regexp_extract_all(source, {L.sql_text(T.java_pattern(rule.all_of[0], 'i'))}, 1)"
+    return f"filter({values}, v -> NOT upper(v) IN ({allowed}))"
 
+
+def _evidence(rule: Rule) -> str:
+    """The evidence of a hit, as SQL."""
     if rule.allowed_values is not None:
-        allowed = [v.upper() for v in rule.allowed_values]
-        found = F.filter(
-            F.regexp_extract_all(raw, F.lit(T.java_pattern(rule.all_of[0], "i")), F.lit(1)),
-            lambda v: ~F.upper(v).isin(*allowed),
-        )
-        hit = hit & (F.size(found) > 0)
-        evidence = F.transform(
-            _first(found, rule.cap), lambda v: F.concat(F.lit("currency: '"), v, F.lit("'"))
-        )
+        found = f"transform({_strange_values(rule)}, v -> concat('currency: \\'', v, '\\''))"
     elif rule.evidence:
-        parts = [
-            T.lines_matching(raw, p, p not in rule.cased, rule.evidence_also)
-            for p in rule.evidence
-        ]
-        every = F.concat(*parts) if len(parts) > 1 else parts[0]
-        if rule.evidence_also is not None:
-            hit = hit & (F.size(every) > 0)
-        evidence = _first(every, rule.cap)
+        parts = []
+        for pattern in rule.evidence:
+            fits = T.tried_sql("l.raw", "l.low", pattern, pattern not in rule.cased)
+            if rule.evidence_also:
+                fits = f"{T.tried_sql('l.raw', 'l.low', rule.evidence_also)} AND {fits}"
+            parts.append(f"transform(filter({_LINES}, l -> {fits}), l -> {T.strip_edges_sql('l.raw')})")
+        found = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
     else:
-        evidence = _string_array([])
-
-    found_hit = F.struct(
-        F.lit(pos).alias("rule_pos"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.defect_class).alias("defect_class"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.confidence).alias("confidence"),
-        evidence.alias("evidence_lines"),
-        F.lit(rule.explanation).alias("explanation"),
-        _string_array(rule.scenarios).alias("scenario_ids"),
-    )
-    return F.when(hit, found_hit.cast(HIT_SCHEMA))
+        return "cast(array() AS array<string>)"
+    return found if rule.cap is None else f"slice({found}, 1, {rule.cap})"
 
 
-def _first(lines: Column, cap: int | None) -> Column:
-    return lines if cap is None else F.slice(lines, 1, cap)
+def _hit(rule: Rule, pos: int, flag: int) -> str:
+    """One rule as a nullable struct, as SQL."""
+    explanation = L.sql_text(rule.explanation)
+    if "{values}" in rule.explanation:
+        explanation = f"replace({explanation}, '{{values}}', array_join({_strange_values(rule)}, ', '))"
+    scenarios = ", ".join(L.sql_text(s) for s in rule.scenarios)
+    fields = [
+        f"'rule_pos', {pos}",
+        f"'rule_id', {L.sql_text(rule.rule_id)}",
+        f"'defect_class', {L.sql_text(rule.defect_class)}",
+        f"'severity', {L.sql_text(rule.severity)}",
+        f"'confidence', {rule.confidence}D",
+        f"'evidence_lines', {_evidence(rule)}",
+        f"'explanation', {explanation}",
+        f"'scenario_ids', cast(array({scenarios}) AS array<string>)",
+    ]
+    return f"CASE WHEN {_FLAGS}[{flag}] THEN cast(named_struct({', '.join(fields)}) AS {HIT_SCHEMA}) END"
 
 
 def uncapped(rules: Sequence[Rule]) -> list[Rule]:
@@ -269,32 +275,27 @@ def uncapped(rules: Sequence[Rule]) -> list[Rule]:
     return [replace(r, cap=None) for r in rules]
 
 
-def compile_rules(rules: Sequence[Rule] = BUILT_IN_RULES):
-    """A function from (raw text, text without comments, kind) to an array with one entry per rule,
-    null where the rule does not hit."""
-    order = {rule_id: i for i, rule_id in enumerate(dict.fromkeys(r.rule_id for r in rules))}
-
-    def column(raw: Column, code: Column, kind: Column) -> Column:
-        return F.array(*[_compile(r, order[r.rule_id], raw, code, kind) for r in rules])
-
-    return column
-
-
 def apply_rules(units: DataFrame, rules: Sequence[Rule] = BUILT_IN_RULES) -> DataFrame:
     """One row per (unit, rule) hit.
 
     ``units`` needs ``source`` and ``kind``; its other columns except ``source`` are kept. The text
-    without comments is computed once per unit, and only when a rule asks for it.
+    without comments and the folded texts are made once per unit, the lines once per unit with a hit.
     """
-    build = compile_rules(rules)
-    staged = units
-    if any(r.on_code for r in rules):
-        staged = staged.withColumn(_CODE, T.strip_comments(F.col("source")))
-    else:
-        staged = staged.withColumn(_CODE, F.lit(None).cast("string"))
+    order = {rule_id: i for i, rule_id in enumerate(dict.fromkeys(r.rule_id for r in rules))}
     kept = [c for c in units.columns if c != "source"]
-    hits = build(F.col("source"), F.col(_CODE), F.col("kind"))
+    on_code = any(r.on_code for r in rules)
+    nothing = F.lit(None).cast("string")
+    # each step is a projection of its own, as the next one uses its columns many times
+    staged = units.withColumn(_CODE, T.strip_comments(F.col("source")) if on_code else nothing)
+    staged = staged.withColumns({_LOW: F.expr(L.fold_sql("source")), _LOW_CODE: F.expr(L.fold_sql(_CODE))})
+    staged = staged.withColumn(_FLAGS, F.expr(f"array({', '.join(_condition(r) for r in rules)})"))
+    both = f"zip_with({T.lines_sql('source')}, {T.lines_sql(_LOW)}, (a, b) -> named_struct('raw', a, 'low', b))"
+    staged = staged.withColumn(_LINES, F.expr(f"CASE WHEN array_contains({_FLAGS}, true) THEN {both} END"))
+    hits = F.expr(f"array({', '.join(_hit(r, order[r.rule_id], i) for i, r in enumerate(rules))})")
     # explode() would make the optimizer add a filter on the array's size, which evaluates every rule
     # a second time; the outer form does not.
-    exploded = staged.select(*kept, F.explode_outer(hits).alias("_hit")).filter(F.col("_hit").isNotNull())
-    return exploded.select(*kept, "_hit.*")
+    rows = staged.select(*kept, F.explode_outer(hits).alias("_hit")).filter(F.col("_hit").isNotNull())
+    bare = {order[r.rule_id] for r in rules if r.evidence_also or r.allowed_values is not None}
+    if bare:  # rules that need a line or a value to show
+        rows = rows.filter(~F.col("_hit.rule_pos").isin(*sorted(bare)) | (F.size("_hit.evidence_lines") > 0))
+    return rows.select(*kept, "_hit.*")

@@ -22,8 +22,9 @@ def scan_corpus(
 ) -> dict[str, DataFrame]:
     """All stages of a scan over files(repo_id, path, content).
 
-    The findings are one pass over the files, with all their evidence unless ``evidence_cap`` is set. Stages are lazy, so write the units once when several
-    stages are wanted, as the parser otherwise runs once per stage.
+    The findings are one pass over the files, with all their evidence unless ``evidence_cap`` is set.
+    Stages are lazy, so write the units once when several stages are wanted, as the parser otherwise
+    runs once per stage.
     """
     kept = keep_source_files(files)
     units = extract_code_units(kept)

@@ -231,13 +231,13 @@ _STRIPPED = r"""stripped AS (SELECT *, regexp_replace(regexp_replace(regexp_repl
   FROM units)""".replace('\\"', '"')
 
 RULE_HITS_SQL = f"WITH {D.CODE_UNITS}, {_STRIPPED}, hits AS (" + " UNION ALL ".join(
-    _rule_sql(r) for r in rules.BUILT_IN_RULES
+    _rule_sql(r) for r in rules.SHOWN_RULES
 ) + ")"
 
 
 def corpus_hits(spark, sf):
     files = corpus.keep_source_files(D.code_files(spark, sf))
-    return rules.apply_rules(units.extract_code_units(files))
+    return rules.apply_rules(units.extract_code_units(files), rules.SHOWN_RULES)
 
 
 def _flat_hits(hits):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskmill.plans import derived as D
 from riskmill.plans.ledger_queries import deliveries_of
 from riskmill.plans.registry import query
+from riskmill.operators.rules import SHOWN_RULES
 from riskmill.plans.scan_queries import RULE_HITS_SQL, _KEY, _flat_hits
 from riskmill.schemas import EVENTS
 from riskmill.sources.corpus import keep_source_files
@@ -97,4 +98,4 @@ def stream_audit_append(spark, sf):
 def stream_rule_hits(spark, sf):
     docs = streams.read_table_stream(spark, f"{sf}/documents.parquet", DOCUMENTS)
     files = keep_source_files(D.code_files_of(docs))
-    return _flat_hits(streams.run_to_table(streams.scan_stream(files), "hits"))
+    return _flat_hits(streams.run_to_table(streams.scan_stream(files, SHOWN_RULES), "hits"))

@@ -27,6 +27,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "riskmi
         .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a record of the calling line for every column expression costs more than most plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

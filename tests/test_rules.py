@@ -1,10 +1,14 @@
 """One vulnerable and one safe text per rule, and the traps of the pattern semantics."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from riskmill.functions import textops as T
-from riskmill.operators.rules import BUILT_IN_RULES, Rule, apply_rules
+from riskmill.functions import literals as L
+from riskmill.operators.rules import BUILT_IN_RULES, SHOWN_RULES, Rule, apply_rules
 
 # rule, kind, text that must hit, text that must not
 PAIRS = [
@@ -47,6 +51,81 @@ def test_every_rule_has_a_pair():
     assert {p[0] for p in PAIRS} == {r.rule_id for r in BUILT_IN_RULES}
 
 
+#: What a hit says, apart from its patterns: class, severity, confidence, scenarios, evidence lines shown.
+SAID = """
+DP-R1 DUPLICATE_PAYMENT HIGH 0.55 DP-1 5
+DP-R2 DUPLICATE_PAYMENT HIGH 0.60 DP-1,DP-3 5
+DP-R3 DUPLICATE_PAYMENT CRITICAL 0.70 DP-2 5
+DP-R4 DUPLICATE_PAYMENT HIGH 0.55 DP-3 5
+WI-R1 WEBHOOK_INTEGRITY CRITICAL 0.80 WI-1 5
+WI-R2 WEBHOOK_INTEGRITY HIGH 0.65 WI-2 5
+WI-R3 WEBHOOK_INTEGRITY HIGH 0.65 WI-3 5
+WI-R4 WEBHOOK_INTEGRITY MEDIUM 0.50 WI-4 3
+AC-R1 AMOUNT_CURRENCY CRITICAL 0.85 AC-1 3
+AC-R1 AMOUNT_CURRENCY CRITICAL 0.75 AC-1 3
+AC-R2 AMOUNT_CURRENCY HIGH 0.60 AC-2 3
+AC-R3 AMOUNT_CURRENCY CRITICAL 0.75 AC-3 3
+AC-R4 AMOUNT_CURRENCY LOW 0.40 - 3
+SC-R1 SUSPICIOUS_CONTENT MEDIUM 0.90 - 3
+"""
+
+
+def test_what_the_rules_say():
+    said = [f"{r.rule_id} {r.defect_class} {r.severity} {r.confidence:.2f} {','.join(r.scenarios) or '-'} {r.cap}" for r in SHOWN_RULES]
+    assert said == SAID.split("\n")[1:-1]
+    assert all(r.cap is None for r in BUILT_IN_RULES)
+
+
+def test_literals_of_patterns():
+    assert L.literals(L.needed(r"\b(orders?\.(create|place)|/v1/orders)\b")) == {"order", ".create", ".place", "/v1/orders"}
+    assert L.literals(L.needed(r"(refund|rfnd)x")) == {"refund", "rfnd", "x"}
+    assert L.needed(r"a*[bc]?\d") is None and L.needed(r"(ab|\d)c") == "c"
+    assert L.needed("Foo", cased=True) == "Foo" and L.needed("Foo") == "foo"
+
+
+def _held(need, text: str) -> bool:
+    if need is None or isinstance(need, str):
+        return need is None or need in text
+    return (all if need[0] == "and" else any)(_held(part, text) for part in need[1])
+
+
+def test_literals_are_necessary():
+    patterns = {p for r in BUILT_IN_RULES for p in (*r.all_of, *r.none_of, *r.evidence)} | {*T.RELEVANT_CASED, *T.RELEVANT_UNCASED}
+    rng = random.Random(4)
+    samples = [text for _, _, *texts in PAIRS for text in texts]
+    matched = 0
+    for pattern in sorted(patterns):
+        for text in samples:
+            for _ in range(30):
+                at = rng.randrange(len(text) + 1)
+                tried = text[:at] + rng.choice(["", " ", "\n", "ſ", "K", "é", "x"]) + text[at + rng.randrange(2) :]
+                if re.search(pattern, tried, re.I):
+                    matched += 1
+                    low = tried.lower().replace("ſ", "s").replace("ı", "i")
+                    assert _held(L.needed(pattern), low), (pattern, tried)
+    assert matched > 500
+
+
+def test_hits_with_gates_equal_plain_patterns_on_any_text(spark):
+    rng = random.Random(6)
+    pieces = [w for _, _, *texts in PAIRS for t in texts for w in re.split(r"(\W)", t)] + list("ſıKİé\r\x85\u2028\n\t. #*/'\"") + ["refund", "INſTRUCTIONſ", "ıgnore all "]
+    rows = [(i, rng.choice(["WEBHOOK", "CHARGE"]), "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
+    rows += [(1000 + i, "WEBHOOK", t.replace("s", "ſ").replace("i", rng.choice("iIı"))) for i, (_, _, *texts) in enumerate(PAIRS) for t in texts]
+    found = {(r.id, r.rule_id, r.confidence) for r in hits_of(spark, rows)}
+    units = spark.createDataFrame(rows, "id int, kind string, source string").withColumn("code", T.strip_comments(F.col("source")))
+    plain = set()
+    for rule in BUILT_IN_RULES:
+        if rule.evidence_also or rule.allowed_values:
+            continue
+        text, hit = F.col("code" if rule.on_code else "source"), F.lit(True) if rule.kind is None else F.col("kind") == rule.kind
+        for p in rule.all_of:
+            hit = hit & T.matches(text, p, p not in rule.cased)
+        for p in rule.none_of:
+            hit = hit & ~T.matches(text, p, p not in rule.cased)
+        plain |= {(r.id, rule.rule_id, rule.confidence) for r in units.where(hit).select("id").collect()}
+    assert {f for f in found if f[1] not in ("AC-R2", "AC-R4")} == plain and len(plain) > 100
+
+
 def test_branches_caps_and_evidence(spark):
     six = "\n".join(f"  orders.create({i})" for i in range(6))
     rows = [
@@ -55,10 +134,13 @@ def test_branches_caps_and_evidence(spark):
         (3, "OTHER", '{"currency": "XYZ"}, {"currency": "AED"}, {"currency": "abc"}'),
         (4, "WEBHOOK", "data = json.loads(x)\ny = 1\nsignature(data)"),
     ]
-    by_id = {(r.id, r.rule_id): r for r in hits_of(spark, rows)}
+    by_id = {(r.id, r.rule_id): r for r in hits_of(spark, rows, SHOWN_RULES)}
     assert by_id[1, "AC-R1"].confidence == 0.85  # the doubled conversion wins
     assert by_id[2, "DP-R1"].evidence_lines == [f"orders.create({i})" for i in range(5)]
     assert by_id[3, "AC-R4"].evidence_lines == ["currency: 'XYZ'", "currency: 'abc'"]
+    assert by_id[3, "AC-R4"].explanation.endswith("XYZ, abc.")
+    whole = {(r.id, r.rule_id): r for r in hits_of(spark, rows)}
+    assert len(whole[2, "DP-R1"].evidence_lines) == 6
     assert by_id[4, "WI-R2"].evidence_lines == ["data = json.loads(x)", "signature(data)"]
     assert by_id[4, "WI-R2"].scenario_ids == ["WI-2"]
 
