@@ -23,6 +23,7 @@ _BM25_DIGITS = 6
 _BLOCK_ROWS = 2048  # vectors in a document block
 _QUERY_ROWS = 256  # vectors in a query block
 _STRIPE = 64  # query blocks that one copy of a document block serves
+_MOST_CELLS = 256  # cells of a class
 
 
 def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
@@ -172,43 +173,54 @@ def _unit_rows(vectors) -> np.ndarray:
     return matrix / norms
 
 
-def cosine_topk(
-    queries: DataFrame,
-    docs: DataFrame,
-    classes: Sequence[str] | None = None,
-    n: int = C.CANDIDATES,
-    exclude_self: bool = False,
-) -> DataFrame:
-    """Exact best ``n`` documents per (query, class) by cosine similarity.
+def _cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with ``cell``, cells): every vector goes to the nearest of some vectors of its class, its cell's centre.
 
-    queries(query_id, vector), docs(id, defect_class, vector); ids are strings or longs. Both sides
-    are packed into blocks of bounded size. A pair of blocks is one matrix product that leaves
-    only ``n`` rows per query, so no pair of vectors becomes a row. The join key is (class, document
-    block, stripe of query blocks): a key never meets more than 64 query blocks, however hot its
-    class and however many queries there are.
+    A class has a centre for every ``_BLOCK_ROWS`` vectors, ``_MOST_CELLS`` at most: those of least hash. The table of
+    cells has one row per class: arrays of centre, angular radius and number of vectors. Vectors without length are cell -1.
     """
-    if classes is not None:
-        docs = docs.filter(F.col("defect_class").isin(*classes))
-    id_type = dict(docs.dtypes)["id"]
-    query_type = dict(queries.dtypes)["query_id"]
-    doc_blocks = _blocks(docs.select("id", "defect_class", "vector"), ["defect_class"], "id", _BLOCK_ROWS)
-    query_blocks = _blocks(queries.select("query_id", "vector"), [], "query_id", _QUERY_ROWS).select(
-        F.col("n_blocks").alias("n_query_blocks"),
-        F.col("block").alias("query_block"),
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("query_vectors"),
-    )
-    # Block counts per class: as many entries as there are classes.
-    counts = doc_blocks.groupBy().agg(F.collect_set(F.struct("defect_class", "n_blocks"))).scalar()
-    stripes = query_blocks.agg(F.ceil(F.max("n_query_blocks") / F.lit(float(_STRIPE)))).scalar().cast("int")
-    striped_docs = doc_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), stripes - 1)))
-    asked = (
-        query_blocks.withColumn("stripe", F.floor(F.col("query_block") / _STRIPE).cast("int"))
-        .withColumn("c", F.explode(counts))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("c.n_blocks") - 1)))
-        .select("query_ids", "query_vectors", "stripe", F.col("c.defect_class").alias("defect_class"), "block")
-    )
-    pairs = asked.join(striped_docs, ["defect_class", "block", "stripe"])
+    first = Window.partitionBy("defect_class").orderBy(F.xxhash64("id"), "id")
+    chosen = docs.filter(F.exists("vector", lambda x: x != 0)).withColumn("place", F.row_number().over(first))
+    centres = chosen.filter(F.col("place") <= _MOST_CELLS).groupBy("defect_class")
+    centres = centres.agg(F.sort_array(F.collect_list(F.struct("place", "vector"))).alias("centres"))
+    centres = centres.withColumn("centres", F.transform("centres", lambda c: c["vector"]))
+    blocks = _blocks(docs, ["defect_class"], "id", _BLOCK_ROWS).join(centres, "defect_class", "left")
+    blocks = blocks.withColumn("centres", F.slice("centres", 1, F.least(F.col("n_blocks"), F.lit(_MOST_CELLS))))
+    kinds = dict(docs.dtypes)
+    schema = f"defect_class string, cell int, angle double, id {kinds['id']}, vector {kinds['vector']}"
+
+    def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                cell, angle = np.full(len(row.ids), -1), np.zeros(len(row.ids))
+                if row.centres is not None:
+                    unit = _unit_rows(row.vectors)
+                    cosine = unit @ _unit_rows(row.centres).T
+                    cell = np.where(unit.any(axis=1), cosine.argmax(axis=1), -1)
+                    angle = np.arccos(np.clip(cosine.max(axis=1), -1, 1))
+                yield pd.DataFrame({"defect_class": row.defect_class, "cell": cell, "angle": angle, "id": row.ids, "vector": list(row.vectors)})
+
+    placed = reliable_checkpoint(blocks.mapInPandas(assigned, schema))
+    tallies = placed.groupBy("defect_class", "cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
+    tallies = tallies.groupBy("defect_class").agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "n"))).alias("cells"))
+    return placed.drop("angle"), tallies.join(centres, "defect_class", "left")
+
+
+def _bounds(queries: np.ndarray, cells, centres) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest cosine that a vector of each cell can have with each query, and the cosines of the centres."""
+    number = np.array([c["cell"] for c in cells])
+    top, near = np.zeros((len(queries), len(cells))), np.zeros((len(queries), len(cells)))
+    real = number >= 0
+    if real.any():
+        near[:, real] = queries @ _unit_rows(centres)[number[real]].T
+        angle = np.arccos(np.clip(near[:, real], -1, 1)) - np.array([c["radius"] for c in cells])[real]
+        top[:, real] = np.cos(np.maximum(angle, 0.0))
+        top[~queries.any(axis=1)] = 0.0  # a query without length is at 0 from everything
+    return top, near
+
+
+def _products(pairs: DataFrame, id_type: str, query_type: str, n: int, exclude_self: bool) -> DataFrame:
+    """The ``n`` best of every (query, block of vectors): one matrix product a pair of blocks."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,6 +233,7 @@ def cosine_topk(
                 keep = np.argsort(-scores, axis=1, kind="stable")[:, :n]
                 found = pd.DataFrame(
                     {
+                        "query_block": row.query_block,
                         "query_id": np.repeat(query_ids, keep.shape[1]),
                         "defect_class": row.defect_class,
                         "id": doc_ids[keep].ravel(),
@@ -229,10 +242,85 @@ def cosine_topk(
                 )
                 yield found[np.isfinite(found["score"])] if exclude_self else found
 
-    found = pairs.select("query_ids", "query_vectors", "defect_class", "ids", "vectors").mapInPandas(
-        best, f"query_id {query_type}, defect_class string, id {id_type}, score double"
+    columns = pairs.select("query_block", "query_ids", "query_vectors", "defect_class", "ids", "vectors")
+    return columns.mapInPandas(
+        best, f"query_block bigint, query_id {query_type}, defect_class string, id {id_type}, score double"
+    )
+
+
+def cosine_topk(
+    queries: DataFrame,
+    docs: DataFrame,
+    classes: Sequence[str] | None = None,
+    n: int = C.CANDIDATES,
+    exclude_self: bool = False,
+    pairs_seen: list | None = None,
+) -> DataFrame:
+    """Exact best ``n`` documents per (query, class) by cosine similarity.
+
+    queries(query_id, vector), docs(id, defect_class, vector); ids are strings or longs. The vectors of a class
+    are dealt into cells around a bounded number of centres, and cells into blocks. A first pass scores, for every
+    block of queries, the nearest cells that hold ``n`` vectors; each query's ``n``-th score is then a bound, and the
+    second pass scores only the cells that can hold more: by the triangle inequality of angles no vector of a
+    cell is nearer than the centre's angle less the cell's radius. Nothing that could rank is left out. How many are
+    skipped depends on the vectors: most if they lie in clusters, none if they point everywhere alike.
+
+    A pair of blocks is one matrix product that leaves only ``n`` rows per query. The join key is (class, cell,
+    block, stripe of query blocks): a key never meets more than 64 query blocks, however hot its class.
+    ``pairs_seen``, a list, gets the frames of scored pairs of both passes: query_block, defect_class, cell.
+    """
+    if classes is not None:
+        docs = docs.filter(F.col("defect_class").isin(*classes))
+    id_type, query_type = dict(docs.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    vector = dict(queries.dtypes)["vector"]
+    placed, cells = _cells(docs.select("id", "defect_class", "vector"))
+    doc_blocks = _blocks(placed, ["defect_class", "cell"], "id", _BLOCK_ROWS).drop("n_blocks")
+    slots = max(1, -(-queries.count() // _QUERY_ROWS))
+    asked = _blocks(queries.select("query_id", "vector"), [], "query_id", _QUERY_ROWS).drop("n_blocks")
+    names = cells.agg(F.collect_set("defect_class")).scalar()
+    asked = asked.withColumn("defect_class", F.explode(names)).join(cells, "defect_class")
+
+    def chosen(rows: DataFrame, second: bool) -> DataFrame:
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    top, near = _bounds(_unit_rows(row.vectors), row.cells, row.centres)
+                    held = np.array([c["n"] for c in row.cells])
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    enough = np.cumsum(held[order], axis=1) - held[order] < n + exclude_self
+                    take = np.zeros(near.shape, bool)
+                    np.put_along_axis(take, order, enough, axis=1)
+                    if second:
+                        least = {q["query_id"]: q["least"] for q in ([] if row.found is None else row.found)}
+                        bound = np.array([least.get(q, -np.inf) for q in row.ids])
+                        take = ~take & (top >= bound[:, None] - 2e-9)
+                    at, cell = np.nonzero(take)
+                    number = np.array([c["cell"] for c in row.cells])
+                    if len(at):
+                        found = pd.DataFrame({"query_id": np.asarray(row.ids)[at], "defect_class": row.defect_class, "cell": number[cell], "block": row.block})
+                        yield found.assign(vector=pd.Series([row.vectors[k] for k in at], dtype=object))
+
+        return rows.mapInPandas(choose, f"query_id {query_type}, defect_class string, cell int, block int, vector {vector}")
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        if pairs_seen is not None:
+            pairs_seen.append(wanted.select("query_id", "defect_class", "cell"))
+        groups = wanted.groupBy("defect_class", "cell", F.col("block").alias("query_block")).agg(
+            F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors")
+        )
+        stripe = F.floor(F.col("query_block") / _STRIPE).cast("int")
+        striped = doc_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit((slots - 1) // _STRIPE))))
+        return _products(groups.withColumn("stripe", stripe).join(striped, ["defect_class", "cell", "stripe"]), id_type, query_type, n, exclude_self)
+
+    first = reliable_checkpoint(scored(chosen(asked, False)))
+    place = Window.partitionBy("query_id", "defect_class").orderBy(F.desc("score"), "id")
+    worst = first.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n)
+    worst = worst.groupBy(F.col("query_block").alias("block"), "defect_class", "query_id").agg(
+        F.when(F.count(F.lit(1)) == n, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least")
     )
-    return _rank(found, n)
+    found = worst.groupBy("block", "defect_class").agg(F.collect_list(F.struct("query_id", "least")).alias("found"))
+    rest = scored(chosen(asked.join(found, ["block", "defect_class"], "left"), True))
+    return _rank(first.unionByName(rest).drop("query_block"), n)
 
 
 def reciprocal_rank_fusion(

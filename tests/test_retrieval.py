@@ -69,6 +69,33 @@ def test_cosine_over_many_blocks(spark, monkeypatch, exclude):
     assert {(r.query_id, r.defect_class, r.id, r["rank"]) for r in got} == want
 
 
+def test_clustered_vectors_leave_most_cells_unscored(spark, monkeypatch):
+    monkeypatch.setattr(R, "_BLOCK_ROWS", 40)
+    monkeypatch.setattr(R, "_QUERY_ROWS", 20)
+    rng = np.random.default_rng(3)
+    towards = rng.normal(size=(25, 16))
+    vectors = [(towards[i % 25] * (0.2 if i % 3 else 9.0) + rng.normal(size=16) * 0.02 * (0.2 if i % 3 else 9.0)) for i in range(2000)]
+    vectors += [np.zeros(16)] * 30
+    rows = [(i, f"c{i % 2}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    docs = spark.createDataFrame(rows, "id long, defect_class string, vector array<double>").repartition(4)
+    queries = docs.filter("id % 10 = 0 or id >= 2000").select(F.col("id").alias("query_id"), "vector")
+    unit = np.array(vectors) / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    seen: list = []
+    got = {(r.query_id, r.defect_class, r["rank"]): (r.id, r.score) for r in R.cosine_topk(queries, docs, n=12, pairs_seen=seen).collect()}
+    asked = [r.query_id for r in queries.collect()]
+    assert len(got) == len(asked) * 2 * 12
+    for q in asked:
+        scores = np.round(unit @ unit[q], 9)
+        for c in (0, 1):
+            best = sorted((-scores[i], i) for i in range(c, len(vectors), 2))[:12]
+            for place, (score, i) in enumerate(best):
+                assert abs(got[q, f"c{c}", place][1] + score) < 2e-9, (q, c, place)
+    scored = sum(p.count() for p in seen)
+    every = len(asked) * 2 * 26
+    assert scored < every / 2
+
+
+
 def test_fusion_and_rule_guarantee(spark):
     def ranking(ids):
         return spark.createDataFrame([(0, "A", i, r) for r, i in enumerate(ids)], "query_id int, defect_class string, id string, rank int")
