@@ -116,7 +116,9 @@ def collapse_space(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower)
+    """Runs of ASCII letters, digits and underscores, in lower case (which is taken once no other sign is left)."""
+    words = F.lower(F.trim(F.regexp_replace(text, "[^A-Za-z0-9_]+", " ")))
+    return named(words, "CASE WHEN t = '' THEN cast(array() AS array<string>) ELSE split(t, ' ', -1) END")
 
 
 def code_context(content: Column, start_line: Column, end_line: Column, margin: int = 15) -> Column:

@@ -7,10 +7,13 @@ ties go to the smaller id. Ranks count from 0.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,14 @@ from riskmill import config as C
 from riskmill.functions import textops as T
 from riskmill.session import reliable_checkpoint, task_width
 
+_TERM = re.compile(rb"[a-z0-9_]+")
 _DIGITS = 9
 _BM25_DIGITS = 6
 _BLOCK_ROWS = 2048  # vectors in a document block
 _QUERY_ROWS = 256  # vectors in a query block
 _STRIPE = 64  # query blocks that one copy of a document block serves
 _MOST_CELLS = 256  # cells of a class
+_RANGE_ROWS = 1 << 15  # documents of one class and like length in a range of postings, about
 
 
 def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
@@ -32,23 +37,57 @@ def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
     return bags.select(*kept, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
 
 
-def _statistics(docs: DataFrame) -> tuple[DataFrame, int, float]:
-    """(term, df of every term), number of documents and mean length, from one pass over the texts.
+def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
+    """(counts, df of every term, number of documents, mean length), from one pass over the texts.
 
-    Every document also counts the empty term, which no text holds: its row carries the totals. The
-    table has a row for each term; it is written once, as three uses follow.
+    ``counts`` (term, defect_class, length, id, tf) is written once, as a table that later steps read
+    instead of the texts. A document's counts are made where it is read: native aggregates would send a row for every
+    token's document through a shuffle first. Every document also counts the empty term, which no text
+    holds: its rows carry the totals.
     """
-    bags = F.transform(
-        F.array(T.tokens(F.col("text"))),
-        lambda t: F.struct(F.size(t).alias("length"), F.concat(F.array(F.lit("")), F.array_distinct(t)).alias("terms")),
-    )
-    rows = docs.select(F.inline(bags)).select("length", F.explode_outer("terms").alias("term"))
-    seen = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))
-    seen = reliable_checkpoint(seen)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            lo = 0
+            while lo < batch.num_rows:
+                rows, terms, times, lengths, size = [], [], [], [], 0
+                while lo < batch.num_rows and size < 1 << 22:
+                    text = texts[lo].as_py() or b""  # lower() of bytes is that of ASCII letters alone
+                    found = Counter(_TERM.findall(text.lower()))
+                    length = found.total()
+                    found[b""] = 1
+                    terms += found.keys()
+                    times += found.values()
+                    rows += [lo] * len(found)
+                    lengths += [length] * len(found)
+                    size += len(text)
+                    lo += 1
+                at = pa.array(rows, pa.int32())
+                columns = [pa.array(terms, pa.binary()).cast(pa.string()), batch.column(1).take(at), pa.array(lengths, pa.int32())]
+                columns += [batch.column(0).take(at), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "defect_class", "length", "id", "tf"])
+
+    kind = dict(docs.dtypes)["id"]
+    rows = docs.select("id", "defect_class", "text")
+    counts = reliable_checkpoint(rows.mapInArrow(counted, f"term string, defect_class string, length int, id {kind}, tf bigint"))
+    seen = reliable_checkpoint(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total")))
     totals = seen.filter("term = ''").first()
-    if totals is None:
-        return seen.select("term", "df"), 0, 0.0
-    return seen.filter("term <> ''").select("term", "df"), totals["df"], totals["total"] / totals["df"]
+    n_docs = totals["df"] if totals else 0
+    return counts.filter("term <> ''"), seen.filter("term <> ''").select("term", "df"), n_docs, (totals["total"] / n_docs if n_docs else 0.0)
+
+
+def _postings(counts: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
+    """Blocks of the asked terms: (term, defect_class, part, postings of id, length and tf).
+
+    A block is a term in a range of documents of one class. A range holds documents of like length, so that the greatest
+    score in it says something, and is split by hash so that a hot term never is one row for all documents.
+    """
+    splits = -(-n_docs // _RANGE_ROWS) or 1
+    like = F.floor(F.log2(F.col("length") + 1)).cast("int")
+    part = like * F.lit(splits) + F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
+    found = counts.join(asked.select("term").distinct(), "term", "left_semi")
+    return found.groupBy("term", "defect_class", part.alias("part")).agg(F.collect_list(F.struct("id", "length", "tf")).alias("postings"))
 
 
 def _weights(seen: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
@@ -60,48 +99,93 @@ def _weights(seen: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
 
 def term_weights(docs: DataFrame, epsilon: float = C.BM25_EPSILON) -> DataFrame:
     """Inverse document frequency of every term; negative values are floored as usual."""
-    seen, n_docs, _ = _statistics(docs)
+    _, seen, n_docs, _ = _counts(docs)
     return _weights(seen, n_docs, epsilon)
 
 
-def bm25_scores(
+def bm25_best(
     queries: DataFrame,
     docs: DataFrame,
+    classes: Sequence[str],
+    n: int,
     k1: float = C.BM25_K1,
     b: float = C.BM25_B,
     epsilon: float = C.BM25_EPSILON,
+    pairs_seen: list | None = None,
 ) -> DataFrame:
-    """Scores of the (query, document) pairs that share a term.
+    """The ``n`` best documents of every (query, class) among those that share a term: query_id, id, defect_class, score.
 
-    Statistics cover all documents of all classes. Texts are read twice, for the statistics and for
-    the counts, and never shuffled: a document's tokens are in one task, so what leaves it is a row
-    for each of its terms that some query uses.
+    Statistics cover all documents of all classes, and texts are read once. Every block of postings knows
+    the greatest contribution of its term, so every (query, range) has an upper bound. A first pass scores each query's
+    most promising range of a class; its ``n``-th score is then a bound, and the second pass scores only ranges that can
+    hold more. A range is scored in one task per 256 queries, which leaves ``n`` rows per query: no pair of a query and a
+    document becomes a row. ``pairs_seen``, a list, gets the scored ranges of both passes and then all of them.
     """
     asked = (
         _explode_terms(queries.select("query_id", T.tokens(F.col("text")).alias("terms")), ["query_id"], "terms")
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    seen, n_docs, mean_length = _statistics(docs)
+    counts, seen, n_docs, mean_length = _counts(docs)
     weighted = asked.join(_weights(seen, n_docs, epsilon), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
     )
-    bags = F.transform(F.array(T.tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("length"), t.alias("terms")))
-    bags = docs.select("id", "defect_class", F.inline(bags))
-    counts = (
-        _explode_terms(bags, ["id", "defect_class", "length"], "terms")
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "defect_class", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    saturated = (F.col("tf") * F.lit(k1 + 1)) / (
-        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(mean_length))
-    )
-    return (
-        counts.join(weighted, "term")
-        .groupBy("query_id", "id", "defect_class")
-        .agg(F.sum(F.col("w") * saturated).alias("score"))
+    weighted = reliable_checkpoint(weighted)
+    held = _postings(counts.filter(F.col("defect_class").isin(*classes)), weighted, n_docs)
+    saturated = f"transform(postings, p -> p.tf * {k1 + 1}D / (p.tf + {k1}D * ({1 - b}D + {b}D * p.length / {mean_length or 1.0}D)))"
+    held = held.select("term", "defect_class", "part", F.col("postings.id").alias("ids"), F.expr(saturated).alias("parts"))
+    held = reliable_checkpoint(held)
+    top = held.select("term", "defect_class", "part", F.array_max("parts").alias("top"))
+    bounds = weighted.join(top, "term").groupBy("query_id", "defect_class", "part").agg(
+        F.sum(F.greatest(F.col("w") * F.col("top"), F.lit(0.0))).alias("bound")
     )
+    bounds = reliable_checkpoint(bounds)
+    bags = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("bag"))
+    slots = max(1, -(-queries.count() // _QUERY_ROWS))
+    slot = F.pmod(F.xxhash64("query_id"), F.lit(slots)).cast("int")
+    kinds = {"query": dict(queries.dtypes)["query_id"], "id": dict(docs.dtypes)["id"]}
+    schema = f"query_id {kinds['query']}, id {kinds['id']}, defect_class string, score double"
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        asking, picked, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            ids, place = np.unique(np.concatenate(right["ids"].to_list()), return_inverse=True)
+            ends = np.cumsum([0, *map(len, right["ids"])])
+            postings = {t: (place[lo:hi], np.asarray(p)) for t, lo, hi, p in zip(right["term"], ends, ends[1:], right["parts"])}
+            picked = [ids[:0]]
+            for query, bag in zip(left["query_id"], left["bag"]):
+                total, met = np.zeros(len(ids)), np.zeros(len(ids), bool)
+                for item in bag:
+                    if item["term"] in postings:
+                        at, value = postings[item["term"]]
+                        total[at] += item["w"] * value
+                        met[at] = True
+                at = np.flatnonzero(met)
+                rounded = np.round(total[at], _BM25_DIGITS)
+                best = np.argsort(-rounded, kind="stable")[:n]  # ids ascend, so equal scores come by id
+                asking += [query] * len(best)
+                picked.append(ids[at[best]])
+                scores.append(rounded[best])
+        names = pd.Series([key[0]] * len(asking), dtype=object)
+        return pd.DataFrame({"query_id": asking, "id": np.concatenate(picked), "defect_class": names, "score": np.concatenate(scores)})
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        of = [F.col("defect_class").alias("of_class"), F.col("part").alias("of_part"), slot.alias("of_slot")]
+        left = wanted.join(bags, "query_id").select("query_id", "bag", *of).groupBy("of_class", "of_part", "of_slot")
+        right = held.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        return left.cogroup(right.groupBy("defect_class", "part", "slot")).applyInPandas(score, schema)
+
+    order = Window.partitionBy("query_id", "defect_class").orderBy(F.desc("bound"), "part")
+    ranked = bounds.withColumn("place", F.row_number().over(order))
+    first = reliable_checkpoint(scored(ranked.filter("place = 1")))
+    best = Window.partitionBy("query_id", "defect_class").orderBy(F.desc("score"), "id")
+    least = first.withColumn("place", F.row_number().over(best)).filter(F.col("place") == n)
+    least = least.select("query_id", "defect_class", F.col("score").alias("least"))
+    rest = ranked.filter("place > 1").join(least, ["query_id", "defect_class"], "left")
+    rest = rest.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - F.lit(2 * 10.0**-_BM25_DIGITS)))
+    if pairs_seen is not None:
+        pairs_seen += [ranked.filter("place = 1"), rest, bounds]
+    return first.unionByName(scored(rest))
 
 
 def _rank(scored: DataFrame, n: int, digits: int = _DIGITS) -> DataFrame:
@@ -137,7 +221,7 @@ def bm25_topk(
     term rank last with score 0, by id; the ``n`` smallest ids of a class are always enough.
     """
     wanted = docs.filter(F.col("defect_class").isin(*classes))
-    scored = bm25_scores(queries, docs).filter(F.col("defect_class").isin(*classes))
+    scored = bm25_best(queries, docs, classes, n)
     if fill:
         names = F.array(*[F.lit(c) for c in classes])
         unscored = (

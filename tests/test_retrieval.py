@@ -46,6 +46,29 @@ def test_bm25(spark):
     assert {(r.query_id, r.defect_class, r.id, r["rank"], abs(r.score)) for r in rows} == want
 
 
+def test_bm25_leaves_hopeless_ranges_unscored_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(R, "_RANGE_ROWS", 60)
+    rng = np.random.default_rng(7)
+    docs = []
+    for i in range(600):
+        size = int(rng.integers(1, 400))
+        docs.append((i, C.EVAL_CLASSES[i % 3], " ".join(f"w{int(x)}" for x in rng.zipf(1.3, size) if x < 3000) + " common" * (i % 2)))
+    asked = [(q, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 6) if x < 3000) + " common") for q in range(25)]
+    monkeypatch.setitem(globals(), "DOCS", docs)
+    frame = spark.createDataFrame(docs, "id long, defect_class string, text string").repartition(6)
+    seen: list = []
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    R.bm25_best(queries, frame, C.EVAL_CLASSES, 5, pairs_seen=seen)
+    got = {(r.query_id, r.defect_class, r["rank"]): (r.id, r.score) for r in R.bm25_topk(queries, frame, n=5).collect()}
+    for q, text in asked:
+        scores = brute_bm25(text)
+        for cls in C.EVAL_CLASSES:
+            for place, (score, i) in enumerate(sorted((-round(s, 6), d[0]) for s, d in zip(scores, docs) if d[1] == cls)[:5]):
+                assert abs(got[q, cls, place][1] + score) < 2e-6
+    first, rest, every = (frame.count() for frame in seen)
+    assert first + rest < every
+
+
 @pytest.mark.parametrize("exclude", [False, True])
 def test_cosine_over_many_blocks(spark, monkeypatch, exclude):
     monkeypatch.setattr(R, "_BLOCK_ROWS", 7)
