@@ -1,22 +1,27 @@
 """Order, payment and refund rules over a log of commands.
 
-The reference state machine is sequential, but its outcome has a closed form in first times, so the
-replay is joins and partial aggregates instead of a fold:
+The state machine is sequential, but its outcome has a closed form in first times, so the replay is
+windows over the commands of an order, which meet once, instead of a fold:
 
 * an order is paid at its first good capture, so a checkout is accepted when it comes before that;
 * a capture is good when its payment was authorised before it, is not captured yet, and the amount
   is the payment's;
 * refunds on one payment are greedy (a rejected one does not count), which is a running sum as long
-  as nothing is rejected. Only payments whose requests exceed the captured amount need the
-  sequential rule, and those rows stream through it in order with one running total per payment.
+  as nothing is rejected. All requests pass in the order of their payment; only those of payments whose
+  requests exceed the captured amount are walked, with one running total.
+
+Both inputs are read once and dealt by order or payment once; a key's rows are a sorted run that
+spills, never one value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmill import config as C
@@ -55,22 +60,20 @@ def replay_ledger(orders: DataFrame, commands: DataFrame) -> DataFrame:
     checkout = F.col("command") == "checkout"
     capture = F.col("command") == "capture"
     exact = F.coalesce(F.col("amount"), F.col("order_amount")) == F.col("order_amount")
-
-    tries = rows.filter(checkout & F.col("order_amount").isNotNull()).select(
-        "order_id", "payment_id", F.col("seq").alias("pay_seq"), "outcome"
-    )
-    candidate = (
-        (F.col("outcome_of") == "success") & (F.col("seq") > F.col("pay_seq")) & exact
-    )
-    captures = rows.filter(capture).drop("outcome").join(
-        tries.withColumnRenamed("outcome", "outcome_of"), ["order_id", "payment_id"], "left"
-    )
-    good = captures.filter(candidate)
-    first_per_payment = good.groupBy("order_id", "payment_id").agg(F.min("seq").alias("captured_seq"))
-    paid = good.groupBy("order_id").agg(F.min("seq").alias("paid_seq"))
+    # a window by payment is satisfied by rows that are dealt by order: both cost one exchange
+    of_payment, of_order = Window.partitionBy("order_id", "payment_id"), Window.partitionBy("order_id")
+    tried = checkout & F.col("order_amount").isNotNull()
+    rows = rows.withColumns(
+        {
+            "pay_seq": F.min(F.when(tried, F.col("seq"))).over(of_payment),
+            "outcome_of": F.min(F.when(tried, F.col("outcome"))).over(of_payment),
+        }
+    )
+    good = capture & (F.col("outcome_of") == "success") & (F.col("seq") > F.col("pay_seq")) & exact
+    rows = rows.withColumn("good_seq", F.when(good, F.col("seq")))
+    rows = rows.withColumn("captured_seq", F.min("good_seq").over(of_payment)).withColumn("paid_seq", F.min("good_seq").over(of_order))
 
     # Captures of a payment whose own checkout came after the order was paid do not exist at all.
-    captures = captures.join(first_per_payment, ["order_id", "payment_id"], "left").join(paid, "order_id", "left")
     alive = F.col("pay_seq").isNotNull() & (F.col("seq") > F.col("pay_seq")) & (
         F.col("paid_seq").isNull() | (F.col("pay_seq") < F.col("paid_seq"))
     )
@@ -80,13 +83,12 @@ def replay_ledger(orders: DataFrame, commands: DataFrame) -> DataFrame:
         .when(F.col("outcome_of") != "success", "NOT_AUTHORIZED")
         .when(~exact, "AMOUNT_MISMATCH")
     )
-    checkouts = rows.filter(checkout).join(paid, "order_id", "left")
     checkout_reason = F.when(F.col("order_amount").isNull(), "UNKNOWN_ORDER").when(
         F.col("seq") > F.col("paid_seq"), "ORDER_ALREADY_PAID"
     )
-    kept = ["order_id", "payment_id", "seq", "command", "order_amount"]
-    out = captures.select(*kept, capture_reason.alias("reject_reason")).unionByName(
-        checkouts.select(*kept, checkout_reason.alias("reject_reason"))
+    out = rows.filter(checkout | capture).select(
+        "order_id", "payment_id", "seq", "command", "order_amount",
+        F.when(capture, capture_reason).otherwise(checkout_reason).alias("reject_reason"),
     )
     return out.withColumn("accepted", F.col("reject_reason").isNull())
 
@@ -131,19 +133,24 @@ def payment_states(replayed: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept while the running total fits. Rows arrive sorted by payment and sequence."""
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reject what a running total does not hold. Rows arrive sorted by payment and sequence; only tight payments are walked."""
     current, total = None, 0
     for batch in batches:
-        accepted = []
-        for payment, amount, captured in zip(batch.payment_id, batch.amount, batch.captured):
-            if payment != current:
-                current, total = payment, 0
-            fits = total + amount <= captured
-            if fits:
-                total += amount
-            accepted.append(fits)
-        yield pd.DataFrame({"payment_id": batch.payment_id, "seq": batch.seq, "amount": batch.amount, "accepted": accepted})
+        reason = batch.column(5)
+        at = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
+        if len(at):
+            walked = [batch.column(k).take(pa.array(at)).to_pylist() for k in (0, 2, 3)]
+            refused = np.zeros(batch.num_rows, bool)
+            for k, payment, amount, captured in zip(at, *walked):
+                if payment != current:
+                    current, total = payment, 0
+                if total + amount <= captured:
+                    total += amount
+                else:
+                    refused[k] = True
+            reason = pc.if_else(pa.array(refused), pa.scalar("EXCEEDS_CAPTURED"), reason)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], reason], names=["payment_id", "seq", "amount", "reject_reason"])
 
 
 def apply_refund_limit(refunds: DataFrame, payments: DataFrame) -> DataFrame:
@@ -166,30 +173,15 @@ def apply_refund_limit(refunds: DataFrame, payments: DataFrame) -> DataFrame:
         .when(F.col("amount") > F.col("captured"), "EXCEEDS_CAPTURED")
     )
     judged = rows.withColumn("reject_reason", reason)
-    clear = judged.filter(F.col("reject_reason").isNotNull()).select("payment_id", "seq", "amount", "reject_reason")
-    open_ = judged.filter(F.col("reject_reason").isNull()).select("payment_id", "seq", "amount", "captured")
-
-    # Payments whose requests fit as a whole need no order; the sum combines before the shuffle.
-    asked = open_.groupBy("payment_id", "captured").agg(F.sum("amount").alias("asked"))
-    tight = asked.filter(F.col("asked") > F.col("captured")).select("payment_id")
-    loose = open_.join(tight, "payment_id", "left_anti").select(
-        "payment_id", "seq", "amount", F.lit(None).cast("string").alias("reject_reason")
-    )
-    ordered = (
-        open_.join(tight, "payment_id", "left_semi")
-        .repartition("payment_id")
-        .sortWithinPartitions("payment_id", "seq")
-        .mapInPandas(
-            _greedy,
-            f"payment_id {types['payment_id']}, seq {types['seq']}, amount {types['amount']}, accepted boolean",
-        )
-    )
-    folded = ordered.select(
-        "payment_id", "seq", "amount", F.when(~F.col("accepted"), "EXCEEDS_CAPTURED").alias("reject_reason")
-    )
-    return (
-        clear.unionByName(loose).unionByName(folded).withColumn("accepted", F.col("reject_reason").isNull())
-    )
+    open_ = F.col("reject_reason").isNull()
+    # requests that fit as a whole need no walk
+    asked = F.sum(F.when(open_, F.col("amount"))).over(Window.partitionBy("payment_id"))
+    tight = open_ & F.coalesce(asked > F.col("captured"), F.lit(False))
+    dealt = judged.select("payment_id", "seq", "amount", "captured", tight.alias("tight"), "reject_reason")
+    walked = dealt.sortWithinPartitions("payment_id", "seq").mapInArrow(
+        _greedy, f"payment_id {types['payment_id']}, seq {types['seq']}, amount {types['amount']}, reject_reason string"
+    )
+    return walked.withColumn("accepted", F.col("reject_reason").isNull())
 
 
 def refund_totals(judged: DataFrame, payments: DataFrame) -> DataFrame:
