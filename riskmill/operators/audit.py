@@ -11,7 +11,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmill import config as C
@@ -69,16 +69,16 @@ def append_chain(events: DataFrame, chain: str, tail: DataFrame | None = None) -
 
 
 def check_links(
-    audit: DataFrame, keys: Sequence[str] = (), start_hash: str = C.GENESIS_HASH, width: int = BUCKET_WIDTH
+    audit: DataFrame, keys: Sequence[str] = (), start_hash: str | Column = C.GENESIS_HASH, width: int = BUCKET_WIDTH
 ) -> DataFrame:
     """Add ``failure`` per row: LINK, HASH or null.
 
     Rows are cut into buckets of ``width`` sequence numbers, so no task holds a whole chain. A run
-    over new rows only starts from the hash of the last verified row.
+    over new rows only starts from the hash of the last verified row (a column of the rows if chains differ).
     """
     rows = with_payload(audit).withColumn("own_hash", F.col("hash"))
     linked = lag_across_buckets(rows, keys, ["seq"], F.expr(f"seq DIV {width}"), ["own_hash"])
-    expected_prev = F.coalesce("prev_own_hash", F.lit(start_hash))
+    expected_prev = F.coalesce(F.col("prev_own_hash"), start_hash if isinstance(start_hash, Column) else F.lit(start_hash))
     failure = F.when(~F.col("prev_hash").eqNullSafe(expected_prev), "LINK").when(
         ~F.col("hash").eqNullSafe(F.sha2(F.concat(expected_prev, "payload"), 256)), "HASH"
     )
@@ -105,11 +105,53 @@ def verify_chain(
     )
 
 
-def audit_page(audit: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest events with the verdict on the whole chain."""
+def verify_since(audit: DataFrame, mark: DataFrame, keys: Sequence[str] = (), width: int = BUCKET_WIDTH) -> DataFrame:
+    """Verify only the rows after a stored mark: n_events, bad_seq, reason, ok and the next mark (seq, hash) per chain with new rows.
+
+    ``mark`` has keys, seq and hash of the last verified row (a row per chain; chains without one start at
+    the beginning). The least marked number of a log whose chains all have a mark is a filter that reaches the scan, so
+    files of older rows are not read. The next mark is the row before the first bad one, and the old mark if the first
+    new row is bad.
+    """
+    known = mark.select(*keys, F.col("seq").alias("_seq"), F.col("hash").alias("_hash"))
+    if keys:
+        rows = audit.join(known, list(keys), "left")
+        rows = rows.filter(F.col("_seq").isNull() | (F.col("seq") > F.col("_seq")))
+    else:
+        last = mark.select("seq", "hash").first()
+        since = audit if last is None else audit.filter(F.col("seq") > last["seq"])
+        rows = since.withColumns({"_seq": F.lit(last and last["seq"]).cast("long"), "_hash": F.lit(last and last["hash"])})
+    links = check_links(rows, keys, F.coalesce("_hash", F.lit(C.GENESIS_HASH)), width)
+    # whatever follows the first bad row of a chain is not verified, though it may link
+    bad = links.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.min(F.when(F.col("failure").isNotNull(), F.col("seq"))).alias("bad_seq"),
+        F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("seq"))).alias("reason"),
+        F.max_by(F.struct("seq", "hash"), "seq").alias("newest"),
+        F.first("_seq").alias("_seq"),
+        F.first("_hash").alias("_hash"),
+    )
+    if keys:
+        before = links.join(bad.filter("bad_seq IS NOT NULL").select(*keys, F.col("bad_seq").alias("_bad")), list(keys))
+    else:
+        before = links.withColumn("_bad", bad.select("bad_seq").scalar()).filter("_bad IS NOT NULL")
+    before = before.filter(F.col("seq") < F.col("_bad")).groupBy(*keys).agg(F.max_by(F.struct("seq", "hash"), "seq").alias("held"))
+    joined = bad.join(before, list(keys), "left") if keys else bad.withColumn("held", before.select("held").scalar())
+    old = F.when(F.col("_seq").isNotNull(), F.struct(F.col("_seq").alias("seq"), F.col("_hash").alias("hash")))
+    reached = F.when(F.col("bad_seq").isNull(), F.col("newest")).otherwise(F.coalesce("held", old))
+    return joined.select(
+        *keys, "n_events", "bad_seq", "reason", F.col("bad_seq").isNull().alias("ok"), reached["seq"].alias("seq"), reached["hash"].alias("hash")
+    )
+
+
+def audit_page(audit: DataFrame, limit: int = 50, offset: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """Newest events with the verdict on the whole chain, or with keys on the chain of each row."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
-    ok = verify_chain(audit).select("ok").scalar()
     total = audit.agg(F.count(F.lit(1))).scalar()
     page = audit.orderBy(F.desc("seq")).offset(offset).limit(limit)
-    return page.withColumns({"total": total, "chain_ok": ok})
+    if not keys:
+        return page.withColumns({"total": total, "chain_ok": verify_chain(audit).select("ok").scalar()})
+    shown = audit.join(page.select(*keys).distinct(), list(keys), "left_semi")
+    verdicts = verify_chain(shown, keys).select(*keys, F.col("ok").alias("chain_ok"))
+    return page.join(verdicts, list(keys)).withColumn("total", total)

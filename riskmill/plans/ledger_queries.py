@@ -347,3 +347,32 @@ def audit_page(spark, sf):
     """Newest events. The chains of all users read as one chain do not link, so chain_ok is false."""
     log = audit.append_chain(D.audit_events(spark, sf), "chain")
     return audit.audit_page(log, 50, 10).select("chain", "seq", "hash", "total", "chain_ok")
+
+
+@query(
+    "audit_page_by_chain",
+    f"""WITH RECURSIVE {_TAMPERED}, verdicts AS (SELECT chain, count(failure) = 0 AS chain_ok FROM checked GROUP BY chain)
+        SELECT chain, seq, hash, (SELECT count(*) FROM stored) AS total, chain_ok FROM (SELECT * FROM stored ORDER BY seq DESC LIMIT 200) JOIN verdicts USING (chain)""",
+)
+def audit_page_by_chain(spark, sf):
+    """Newest events of all chains, each with the verdict on its own: some are whole, some are broken."""
+    return audit.audit_page(tampered_log(spark, sf), 200, 0, ["chain"]).select("chain", "seq", "hash", "total", "chain_ok")
+
+
+@query(
+    "audit_verify_new",
+    f"""WITH RECURSIVE {_TAMPERED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq) AS n,
+            min(seq) FILTER (failure IS NOT NULL) OVER (PARTITION BY chain) AS bad FROM checked),
+          marks AS (SELECT chain, max(seq) AS mark FROM ranked WHERE n <= 20 AND (bad IS NULL OR seq < bad) GROUP BY chain),
+          fresh AS (SELECT r.*, mark FROM ranked r LEFT JOIN marks USING (chain) WHERE mark IS NULL OR seq > mark)
+        SELECT chain, count(*) AS n_events, any_value(bad) AS bad_seq, arg_min(failure, seq) FILTER (failure IS NOT NULL) AS reason, any_value(bad) IS NULL AS ok,
+          coalesce(max(seq) FILTER (bad IS NULL OR seq < bad), any_value(mark)) AS seq FROM fresh GROUP BY chain""",
+)
+def audit_verify_new(spark, sf):
+    """The first twenty events of every chain are verified and marked, then only what follows the marks."""
+    log = tampered_log(spark, sf)
+    place = Window.partitionBy("chain").orderBy("seq")
+    early = log.withColumn("n", F.row_number().over(place)).filter("n <= 20").drop("n")
+    nothing = log.select("chain", "seq", "hash").filter("false")
+    mark = audit.verify_since(early, nothing, ["chain"], width=1000).filter("seq IS NOT NULL").select("chain", "seq", "hash")
+    return audit.verify_since(log, mark, ["chain"], width=1000).drop("hash")

@@ -188,6 +188,23 @@ def code_units(spark, sf):
     )
 
 
+@query(
+    "code_units_in_sql",
+    f"""WITH {D.CODE_UNITS}
+    SELECT repo_id, file, symbol, start_line, end_line, kind, imports, sha256(source) AS digest FROM units""",
+)
+def code_units_in_sql(spark, sf):
+    """The same units through the SQL table function."""
+    from riskmill.functions.table_functions import register_table_functions
+
+    register_table_functions(spark)
+    corpus.keep_source_files(D.code_files(spark, sf)).createOrReplaceTempView("files_to_cut")
+    return spark.sql(
+        "SELECT repo_id, file, symbol, start_line, end_line, kind, array_join(imports, '|') AS imports, sha2(source, 256) AS digest "
+        "FROM code_units_of(TABLE(files_to_cut))"
+    )
+
+
 def _match(text: str, pattern: str, cased: bool) -> str:
     flag = "" if cased else "(?i)"
     return f"regexp_matches({text}, {sql_text(flag + pattern)})"

@@ -82,3 +82,30 @@ def test_bucketed_windows_equal_plain_ones(spark):
     got = trailing_window(df, ["k"], "t", 50, {"n": F.count(F.lit(1)), "s": F.sum("id")}, 60)
     want = spark.sql("SELECT k, t, id, count(*) OVER w AS n, sum(id) OVER w AS s FROM rows WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_rows_after_the_mark_are_verified_and_read(spark, tmp_path):
+    events = spark.createDataFrame(
+        [("c", i, "A", "E", "T", str(i), "{}") for i in range(1, 101)],
+        "chain string, seq long, actor string, event string, object_type string, object_id string, metadata_json string",
+    )
+    log = audit.append_chain(events, "chain").drop("chain")
+    log.where("seq <= 60").write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    nothing = stored.select("seq", "hash").where("false")
+    first = audit.verify_since(stored, nothing)
+    row = first.first()
+    assert (row.n_events, row.ok, row.seq) == (60, True, 60)
+    mark = spark.createDataFrame([(row.seq, row.hash)], "seq long, hash string")
+
+    broken = log.withColumn("hash", F.when(F.col("seq") == 80, F.reverse("hash")).otherwise(F.col("hash")))
+    broken.where("seq > 60").write.mode("append").parquet(f"{tmp_path}/log")
+    since = audit.verify_since(spark.read.parquet(f"{tmp_path}/log"), mark)
+    assert "GreaterThan(seq,60)" in since._jdf.queryExecution().executedPlan().toString()
+    found = since.first()
+    assert (found.n_events, found.ok, found.bad_seq, found.reason, found.seq) == (40, False, 80, "HASH", 79)
+    again = audit.verify_since(log.where("seq <= 90"), spark.createDataFrame([(found.seq, found.hash)], "seq long, hash string")).first()
+    assert again.ok and again.seq == 90
+    tampered_first = log.withColumn("prev_hash", F.when(F.col("seq") == 61, F.lit("x")).otherwise(F.col("prev_hash")))
+    worst = audit.verify_since(tampered_first, mark).first()
+    assert (worst.ok, worst.reason, worst.seq, worst.hash) == (False, "LINK", 60, row.hash)
