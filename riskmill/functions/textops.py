@@ -194,6 +194,7 @@ def numbered_lines(source: Column) -> Column:
     )
 
 
+# The wording of the prompt, since keys of cached answers are made from it.
 def analysis_prompt(file: Column, symbol: Column, kind: Column, source: Column) -> Column:
     return F.concat(
         F.lit("Analyze this payment code unit for defects.\n\nFile: "),

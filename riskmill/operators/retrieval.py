@@ -482,6 +482,7 @@ def example_chunks(train: DataFrame, max_chars: int | None = None) -> DataFrame:
             F.lit("ex:"), "sample_id", F.lit(":"), "defect_class", F.when(F.col("unsafe"), "").otherwise(":safe")
         ).alias("id"),
         F.concat(
+            # fixed values: the headings of example chunks
             F.when(F.col("unsafe"), "UNSAFE ").otherwise("SAFE "),
             "defect_class",
             F.when(F.col("unsafe"), " example:\n").otherwise(" example (correct handling):\n"),
