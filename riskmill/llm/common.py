@@ -18,6 +18,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of a number written as text, modulo ``modulus``; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -93,10 +101,12 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
 
     A bucket of any size is first linked to one member (the first in one of ``orders`` random orders of
     all ids, so a large group meets that many different centres through its many buckets): as many
-    pairs as members. Only what
-    these links leave in different components of the same bucket is then compared pair by pair, as far
-    as possible, so no link that could join two components is lost, and a large group of copies
-    never becomes a square of pairs.
+    pairs as members. What these links leave in different components of the same bucket is compared
+    further, so no link that could join two components is lost. A bucket in which that would take
+    more than ``NEAR`` pairs a member gets a new centre, in a new order, and once more only as many pairs as
+    members; after ``CENTRES`` such rounds, and in smaller buckets at once, every pair of different components
+    that ``possible`` does not refuse is verified. Members that are linked with each other join the growing
+    component after a few centres, so a large group of copies never becomes a square of pairs.
     """
     inside = Window.partitionBy("bucket")
     mask = F.xxhash64(F.pmod("bucket", F.lit(orders)))
@@ -110,18 +120,64 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     verify, features, possible = prepare(stored(groups.select("id").distinct(), f"{name}-ids"))
     first = groups.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     first = stored(first.distinct(), f"{name}-first")
-    links = reliable_checkpoint(verify(first))
-    found = stored(components(links), f"{name}-found")
-    placed = groups.where("size > 2").join(sent(found), "id", "left")
-    placed = placed.select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    placed = stored(placed.join(sent(stored(split.select("bucket"), f"{name}-split")), "bucket", "left_semi"), f"{name}-placed")
-    if placed.isEmpty():
-        return found
+    found = stored(components(reliable_checkpoint(verify(first))), f"{name}-found")
+    placed = groups.where("size > 2").select("bucket", "id")
+    for turn in range(CENTRES + 1):
+        placed, crowded = _apart(placed, found, turn, name)
+        if crowded is None:
+            return found
+        if turn == CENTRES or crowded.isEmpty():
+            break
+        # the new centre of a crowded bucket meets the members that are not in its component
+        met = placed.join(sent(crowded), "bucket").where("part <> centre_part")
+        met = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        links = reliable_checkpoint(verify(met.join(first, ["a", "b"], "left_anti")))
+        if not links.isEmpty():
+            stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found = stored(components(stars.union(links)), f"{name}-found")
     known = features(placed.select("id").distinct())
-    left = placed.join(known, "id")
+    left = placed.select("bucket", "id", "part").join(known, "id")
     right = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "bucket"])
     rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part")) & possible)
     rest = rest.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verify(rest))
-    return components(links.union(more)) if not more.isEmpty() else found
+    if more.isEmpty():
+        return found
+    stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(stars.union(more))
+
+
+#: Further centres of a bucket, and the pairs a member from which it gets one.
+CENTRES, NEAR = 6, 4
+
+
+def _apart(placed: DataFrame, found: DataFrame, turn: int, name: str):
+    """Members of buckets with several components: bucket, id, part; and the crowded buckets: bucket, centre, centre_part.
+
+    None in place of the crowded buckets if no bucket has several components.
+    """
+    mask = F.xxhash64(F.lit(turn))
+    order = F.struct(F.col("id").bitwiseXOR(mask).alias("o"), F.col("id").alias("centre"))
+    placed = placed.select("bucket", "id").join(sent(found), "id", "left")
+    placed = placed.select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    placed = stored(placed, f"{name}-placed")
+    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    size = F.col("n").cast("double")
+    buckets = parts.groupBy("bucket").agg(
+        F.count("*").alias("parts"),
+        F.sum(size).alias("members"),
+        F.sum(size * size).alias("squares"),
+        F.min(F.struct("first", "part")).alias("head"),
+    )
+    pairs = (F.col("members") * F.col("members") - F.col("squares")) / 2
+    buckets = buckets.where("parts > 1").select(
+        "bucket",
+        F.col("head.first.centre").alias("centre"),
+        F.col("head.part").alias("centre_part"),
+        (pairs > NEAR * F.col("members")).alias("crowded"),
+    )
+    buckets = stored(buckets, f"{name}-split")
+    if buckets.isEmpty():
+        return placed, None
+    placed = placed.join(sent(buckets.select("bucket")), "bucket", "left_semi")
+    return stored(placed, f"{name}-placed"), buckets.where("crowded").drop("crowded")

@@ -106,6 +106,45 @@ def test_removed_lines_equal_brute_force(spark, docs, rows, nothing):
     assert blank <= set(texts)
 
 
+def test_lines_of_repeated_ids_and_identical_rows(spark):
+    rows = [(0, "the same line here"), (1, "a unique first line\nsecond of its own"), (1, "the same line here\nother words"), (7, "twice\nover it"), (7, "twice\nover it")]
+    rows += [(None, "no id at all"), (None, "quite another text")]
+    frame = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id bigint, text string, row int, gone int, cut int, id int")
+    for parts in (1, 3):
+        cut = line_dedup.stage_line_dedup(spark, frame.repartition(parts), "")
+        assert cut.columns == frame.columns
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in cut.collect())
+        want = [(-1, "no id at all"), (-1, "quite another text"), (0, "the same line here"), (1, "a unique first line\nsecond of its own"), (1, "other words"), (7, "twice\nover it")]
+        assert got == want
+    removed = sorted((r.doc_id, r.line_no) for r in line_dedup.removed_lines(frame).collect())
+    assert removed == [(1, 0), (7, 0), (7, 1)]
+
+
+def test_shingles_in_pieces_are_all_shingles(spark):
+    texts = ["a", "é" * 8, "日本語" * 3, "abcdefghi", "x" * 17] + ["".join(chr(97 + (i * i) % 23) for i in range(n)) for n in range(9, 60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "norm string")
+    for r in frame.select("norm", F.size(line_dedup._shingles("norm")).alias("n")).collect():
+        assert r.n == len({r.norm[i : i + 9] for i in range(max(len(r.norm) - 8, 1))})
+
+
+def test_a_crowded_bucket_is_linked_by_further_centres(spark):
+    # two members are linked if their numbers are near on a ring, so a centre meets a part of the others only
+    n = 120
+    buckets = spark.createDataFrame([(b, i) for b in (5, 9) for i in range(n)] + [(7, i) for i in range(n, n + 40)], "bucket bigint, id bigint")
+    met = []
+
+    def prepare(ids):
+        def verify(pairs):
+            met.append(pairs.count())
+            return pairs.where(f"b < {n} and pmod(a - b, {n}) in (1, 2, 3, {n - 1}, {n - 2}, {n - 3})")
+
+        return verify, lambda some: some, F.lit(True)
+
+    found = linked(buckets, prepare, "ring").collect()
+    assert {(r.id, r.component) for r in found} == {(i, 0) for i in range(n)}
+    assert all(pairs <= 2 * (n + 40) for pairs in met[:-1])
+
+
 def leaks_brute(docs, items):
     known = {}
     for i, t, *_ in items:
