@@ -103,10 +103,10 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     all ids, so a large group meets that many different centres through its many buckets): as many
     pairs as members. What these links leave in different components of the same bucket is compared
     further, so no link that could join two components is lost. A bucket in which that would take
-    more than ``NEAR`` pairs a member gets a new centre, in a new order, and once more only as many pairs as
-    members; after ``CENTRES`` such rounds, and in smaller buckets at once, every pair of different components
-    that ``possible`` does not refuse is verified. Members that are linked with each other join the growing
-    component after a few centres, so a large group of copies never becomes a square of pairs.
+    more than ``NEAR`` pairs a member gets ``CENTRES`` new centres, each first in a new order, and once more at most
+    so many pairs a member; after ``TURNS`` such rounds, and in smaller buckets at once, every pair of different
+    components that ``possible`` does not refuse is verified. Members that are linked with each other join the
+    growing component after a few centres, so a large group of copies never becomes a square of pairs.
     """
     inside = Window.partitionBy("bucket")
     mask = F.xxhash64(F.pmod("bucket", F.lit(orders)))
@@ -122,13 +122,13 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     first = stored(first.distinct(), f"{name}-first")
     found = stored(components(reliable_checkpoint(verify(first))), f"{name}-found")
     placed = groups.where("size > 2").select("bucket", "id")
-    for turn in range(CENTRES + 1):
+    for turn in range(TURNS + 1):
         placed, crowded = _apart(placed, found, turn, name)
         if crowded is None:
             return found
-        if turn == CENTRES or crowded.isEmpty():
+        if turn == TURNS or crowded.isEmpty():
             break
-        # the new centre of a crowded bucket meets the members that are not in its component
+        # the new centres of a crowded bucket meet the members that are not in their components
         met = placed.join(sent(crowded), "bucket").where("part <> centre_part")
         met = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         links = reliable_checkpoint(verify(met.join(first, ["a", "b"], "left_anti")))
@@ -147,37 +147,36 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     return components(stars.union(more))
 
 
-#: Further centres of a bucket, and the pairs a member from which it gets one.
-CENTRES, NEAR = 6, 4
+#: Rounds of further centres, centres a round, and the pairs a member from which a bucket gets them.
+TURNS, CENTRES, NEAR = 2, 4, 4
 
 
 def _apart(placed: DataFrame, found: DataFrame, turn: int, name: str):
-    """Members of buckets with several components: bucket, id, part; and the crowded buckets: bucket, centre, centre_part.
+    """Members of buckets with several components: bucket, id, part; and centres of crowded ones: bucket, centre, centre_part.
 
-    None in place of the crowded buckets if no bucket has several components.
+    None in place of the centres if no bucket has several components.
     """
-    mask = F.xxhash64(F.lit(turn))
-    order = F.struct(F.col("id").bitwiseXOR(mask).alias("o"), F.col("id").alias("centre"))
     placed = placed.select("bucket", "id").join(sent(found), "id", "left")
-    placed = placed.select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    placed = stored(placed, f"{name}-placed")
-    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    size = F.col("n").cast("double")
+    placed = stored(placed.select("bucket", "id", F.coalesce("component", "id").alias("part")), f"{name}-placed")
+    orders = []
+    for k in range(CENTRES):
+        place = F.col("id").bitwiseXOR(F.xxhash64(F.lit(turn * CENTRES + k)))
+        orders.append(F.min(F.struct(place.alias("o"), F.col("id").alias("centre"), F.col("part").alias("centre_part"))).alias(f"c{k}"))
+    parts = placed.groupBy("bucket", "part").agg(F.count("*").cast("double").alias("n"), *orders)
     buckets = parts.groupBy("bucket").agg(
         F.count("*").alias("parts"),
-        F.sum(size).alias("members"),
-        F.sum(size * size).alias("squares"),
-        F.min(F.struct("first", "part")).alias("head"),
+        F.sum("n").alias("members"),
+        F.sum(F.col("n") * F.col("n")).alias("squares"),
+        *[F.min(f"c{k}").alias(f"c{k}") for k in range(CENTRES)],
     )
     pairs = (F.col("members") * F.col("members") - F.col("squares")) / 2
     buckets = buckets.where("parts > 1").select(
         "bucket",
-        F.col("head.first.centre").alias("centre"),
-        F.col("head.part").alias("centre_part"),
         (pairs > NEAR * F.col("members")).alias("crowded"),
+        F.array_distinct(F.array(*[F.struct(f"c{k}.centre", f"c{k}.centre_part") for k in range(CENTRES)])).alias("centres"),
     )
     buckets = stored(buckets, f"{name}-split")
     if buckets.isEmpty():
         return placed, None
     placed = placed.join(sent(buckets.select("bucket")), "bucket", "left_semi")
-    return stored(placed, f"{name}-placed"), buckets.where("crowded").drop("crowded")
+    return placed, buckets.where("crowded").select("bucket", F.inline("centres"))

@@ -48,10 +48,8 @@ def lines_of(docs: DataFrame, row: Column) -> DataFrame:
 
 def buckets_of(lines: DataFrame) -> DataFrame:
     """bucket, id: the bands of every distinct line."""
-    # dealt by id for this, so that the minima need no further shuffle
-    once = lines.select("id", "norm").dropDuplicates(["id"])
     # a shingle that comes again changes no minimum; for ``explode`` the optimizer would cut each line twice
-    pieces = once.select("id", F.posexplode_outer(_pieces(F.col("norm"))).alias("k", "piece")).select(
+    pieces = lines.select("id", F.posexplode_outer(_pieces(F.col("norm"))).alias("k", "piece")).select(
         "id", "k", "piece", F.length("piece").alias("n")
     )
     pieces = pieces.where((F.col("k") == 0) | (F.col("n") >= SIZE))
