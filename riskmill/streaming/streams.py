@@ -49,60 +49,94 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Horizon(StatefulProcessor):
-    """Remembers the last event of a key for as long as the redelivery horizon.
+    """Remembers the last event of every key of a bucket for as long as the redelivery horizon.
 
     ``distinct``: an event is passed on if it comes at least the horizon after the last one passed on.
     Otherwise an event is passed on, with the number of effects so far, if it comes less than the
     horizon after the one before. Both depend on event time only, not on how the stream is cut into
     micro-batches, for sources that deliver a key in event-time order.
+
+    State is read and written once a bucket and micro-batch, not once a key, and holds the keys that the
+    watermark has not passed by the horizon yet: from then on every event of a key is a first one.
     """
 
-    def __init__(self, columns: list[str], ts: str, horizon: str, distinct: bool):
-        self.columns, self.ts, self.distinct = columns, ts, distinct
+    def __init__(self, columns: list[str], order: list[str], key: str, ts: str, horizon: str, distinct: bool):
+        self.columns, self.order, self.key, self.ts, self.distinct = columns, order, key, ts, distinct
         self.horizon = pd.Timedelta(horizon).value // 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us bigint, effects bigint")
+        self.seen = handle.getValueState("seen", "key array<string>, us array<bigint>, effects array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.columns_in_order, kind="stable")
-        last, total = self.last.get() if self.last.exists() else (None, 0)
+        batch = pd.concat(list(rows)).sort_values([self.key, self.ts, *self.order])
+        seen = self._seen()
         kept, totals = [], []
-        for us, effects in zip(batch[self.ts].astype("datetime64[us]").astype("int64"), self._effects(batch)):
+        times = batch[self.ts].astype("datetime64[us]").astype("int64").tolist()
+        for name, us, effects in zip(batch[self.key].tolist(), times, self._effects(batch)):
+            last, total = seen.get(name, (None, 0))
             fresh = last is None or us - last >= self.horizon
             total = effects if fresh else total + effects
             kept.append(fresh if self.distinct else total >= 2)
             totals.append(total)
-            last = us if fresh or not self.distinct else last
-        self.last.update((int(last), int(total)))
-        self.handle.registerTimer((int(last) + self.horizon) // 1000 + 1)
+            seen[name] = (us if fresh or not self.distinct else last, total)
+        self._remember(seen, timers.getCurrentWatermarkInMs())
         if not self.distinct:
             batch["effects"] = totals
         yield batch[kept][self.columns]
 
-    @property
-    def columns_in_order(self) -> list[str]:
-        return [self.ts, *[c for c in self.columns if c != self.ts]]
-
-    def _effects(self, batch: pd.DataFrame):
-        return [1] * len(batch) if self.distinct else batch["effects"]
+    def _effects(self, batch: pd.DataFrame) -> list[int]:
+        return [1] * len(batch) if self.distinct else batch["effects"].tolist()
+
+    def _seen(self) -> dict:
+        if not self.seen.exists():
+            return {}
+        keys, times, totals = self.seen.get()
+        return dict(zip(keys, zip(times, totals)))
+
+    def _remember(self, seen: dict, watermark_ms: int) -> None:
+        """Keep what is within the horizon and come back when all of it has passed."""
+        live = [(k, us, total) for k, (us, total) in seen.items() if us + self.horizon > watermark_ms * 1000]
+        if live:
+            keys, times, totals = map(list, zip(*live))
+            self.seen.update((keys, times, totals))
+            self.handle.registerTimer((max(times) + self.horizon) // 1000 + 1)
+        elif self.seen.exists():
+            self.seen.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[0] + self.horizon <= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.last.clear()
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.seen.exists() and max(self.seen.get()[1]) + self.horizon <= watermark:
+            self.seen.clear()
         yield pd.DataFrame(columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+#: Buckets of keys that share one state each.
+BUCKETS = 1024
+
+
 def _within_horizon(events: DataFrame, key: list[str], ts: str, horizon: str, distinct: bool) -> DataFrame:
     use_rocksdb(events.sparkSession)
-    rows = events.withWatermark(ts, horizon)
-    return rows.groupBy(*key).transformWithStateInPandas(
-        _Horizon(events.columns, ts, horizon, distinct), events.schema, "Append", "EventTime"
+    # a null whole number would make pandas read its column as floats: such columns are sent with a flag
+    whole = [c for c, kind in events.dtypes if kind in ("tinyint", "smallint", "int", "bigint")]
+    flags = {c: f"null_{c}_" for c in whole}
+    sent = [F.coalesce(c, F.lit(0).cast(events.schema[c].dataType)).alias(c) if c in flags else F.col(c) for c in events.columns]
+    named = [F.col(c).cast("string") for c in key]
+    name = F.concat(*[F.coalesce(F.concat(F.length(n).cast("string"), F.lit(":"), n), F.lit("-")) for n in named])
+    rows = events.withWatermark(ts, horizon).select(
+        *sent,
+        *[F.col(c).isNull().alias(flag) for c, flag in flags.items()],
+        name.alias("key_"),
+        F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int").alias("bucket_"),
     )
+    passed = [*events.columns, *flags.values()]
+    order = [c for column in events.columns if column not in (*key, ts) for c in (flags.get(column, column), column)]
+    processor = _Horizon(passed, list(dict.fromkeys(order)), "key_", ts, horizon, distinct)
+    out = rows.groupBy("bucket_").transformWithStateInPandas(processor, rows.select(*passed).schema, "Append", "EventTime")
+    return out.select(*[F.when(~F.col(flags[c]), F.col(c)).alias(c) if c in flags else F.col(c) for c in events.columns])
 
 
 def dedup_stream(events: DataFrame, key: list[str], ts: str = "ts", horizon: str = C.REDELIVERY_HORIZON) -> DataFrame:
@@ -132,9 +166,10 @@ def duplicate_effect_stream(effects: DataFrame, key: str = "event_id", ts: str =
     """Every effect of an event that follows another within the horizon, with the number of effects so far.
 
     A run of effects goes on as long as no gap reaches the horizon, so no border of a window can split
-    a pair, and each repeat is reported when it arrives.
+    a pair, and each repeat is reported when it arrives. A null number of effects counts as none.
     """
-    return _within_horizon(effects.select(key, ts, F.col("effects").cast("long").alias("effects")), [key], ts, horizon, False)
+    counted = F.coalesce(F.col("effects").cast("long"), F.lit(0).cast("long")).alias("effects")
+    return _within_horizon(effects.select(key, ts, counted), [key], ts, horizon, False)
 
 
 def scan_stream(files: DataFrame, rules=BUILT_IN_RULES) -> DataFrame:

@@ -72,6 +72,26 @@ def test_repeats_do_not_depend_on_batches(spark, tmp_path, n):
     assert sorted((r.event_id, r.s, r.effects) for r in got) == sorted(want)
 
 
+def test_keys_share_the_state_of_their_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "BUCKETS", 4)
+    df = spark.range(600).select(
+        F.when(F.col("id") % 7 > 0, F.lit(2**53 + 1) + F.col("id") % 300).alias("user_id"),
+        F.when(F.col("id") % 5 > 0, (F.col("id") % 300).cast("int")).alias("k"),
+        F.when(F.col("id") % 11 > 0, F.lit(2**60 + 1) + F.col("id")).alias("event_id"),
+        F.timestamp_seconds(F.lit(86_400) + F.col("id")).alias("ts"),
+    )
+    seen, want = set(), []
+    for r in df.orderBy("ts").collect():
+        if (r.user_id, r.k) not in seen:
+            seen.add((r.user_id, r.k))
+            want.append(tuple(r))
+    kept = streams.dedup_stream(batches(spark, df, str(tmp_path / "in"), ["ts"], 2), ["user_id", "k"])
+    query = kept.writeStream.format("memory").queryName("shared_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(str, spark.table("shared_state").collect())) == sorted(map(str, spark.createDataFrame(want, df.schema).collect()))
+    assert len(want) > 300 and max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 100
+
+
 def test_corpus_stream(spark, tmp_path):
     from riskmill.sources.corpus import read_source_corpus
 
