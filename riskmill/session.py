@@ -85,3 +85,19 @@ def task_width(spark: SparkSession) -> int:
     fixed number is kept as it is.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of one task in stages that keep several sorts in memory at once.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df, *keys: str):
+    """Rows dealt by ``keys`` into tasks of about ``TASK_ROWS`` rows, so a task's memory does not grow with the table.
+
+    The rows are counted first, so this is for tables as they are read. Later joins, windows and groupings
+    by the same keys stay in these tasks; a number given here is not merged by bytes. Small tables are left as they are.
+    """
+    rows = df.count()
+    if rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -4,6 +4,8 @@ import hashlib
 import hmac
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from riskmill.functions.hashing import checkout_signature, hmac_sha256
@@ -152,3 +154,22 @@ def test_retries(spark):
         "a": ("ERROR", None, 3, "GATEWAY_UNAVAILABLE"), "b": ("ANSWERED", 404, 2, None), "c": ("ANSWERED", 200, 1, None),
         "d": ("ERROR", None, 1, "GATEWAY_UNAVAILABLE"), "e": ("ERROR", None, 0, "GATEWAY_UNAVAILABLE"),
     }
+
+
+@pytest.mark.parametrize("rows", [100, 5000])
+def test_order_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch, rows):
+    """A task that numbers and replays lines holds a bounded number of them, however long the table."""
+    from riskmill import session
+    from riskmill.plans import derived
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    key = F.col("id")
+    spark.range(rows).select(
+        (key % 1000).alias("l_orderkey"), (key % 7).alias("l_linenumber"), key.alias("l_partkey"), key.alias("l_suppkey"),
+        F.lit(1.0).alias("l_extendedprice"), F.lit("2020-01-01").alias("l_shipdate"),
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = derived.order_lines(spark, str(tmp_path))
+    tasks = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == rows
+    assert max(r["count"] for r in tasks) <= 1000
+    assert lines.groupBy("l_orderkey").agg((F.max("n") == F.count("*")).alias("ok")).filter("NOT ok").isEmpty()
