@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from riskmill import config as C
 from riskmill.functions import textops as T
@@ -26,7 +28,8 @@ _DIGITS = 9
 _BM25_DIGITS = 6
 _BLOCK_ROWS = 2048  # vectors in a document block
 _QUERY_ROWS = 256  # vectors in a query block
-_STRIPE = 64  # query blocks that one copy of a document block serves
+_STRIPE = 64  # query blocks of a task
+_TASK_BLOCKS = 24  # document blocks of a task, which holds them in memory
 _MOST_CELLS = 256  # cells of a class
 _RANGE_ROWS = 1 << 15  # documents of one class and like length in a range of postings, about
 
@@ -303,33 +306,92 @@ def _bounds(queries: np.ndarray, cells, centres) -> tuple[np.ndarray, np.ndarray
     return top, near
 
 
-def _products(pairs: DataFrame, id_type: str, query_type: str, n: int, exclude_self: bool) -> DataFrame:
-    """The ``n`` best of every (query, block of vectors): one matrix product a pair of blocks."""
+def _packed(blocks: DataFrame, item: str, kind: str) -> DataFrame:
+    """Blocks as Python reads them: the ids in ascending order and, in one binary, the vectors of length 1."""
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 order = np.argsort(np.asarray(row.ids), kind="stable")
-                doc_ids, query_ids = np.asarray(row.ids)[order], np.asarray(row.query_ids)
-                scores = np.round(_unit_rows(row.query_vectors) @ _unit_rows(row.vectors)[order].T, _DIGITS)
+                rest = {c: [getattr(row, c)] for c in kept}
+                yield pd.DataFrame(rest | {"ids": [np.asarray(row.ids)[order]], "unit": [_unit_rows(row.vectors)[order].tobytes()]})
+
+    kept = [c for c in blocks.columns if c not in ("ids", "vectors")]
+    kinds = dict(blocks.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in kept)
+    return blocks.mapInPandas(packed, f"{schema}, ids array<{kind}>, unit binary")
+
+
+def _merged(held: tuple, more: tuple, n: int) -> tuple:
+    """The ``n`` best (row, score, id) of every row, best first; ties go to the smaller id."""
+    rows, scores, ids = (np.concatenate(x) for x in zip(held, more))
+    order = np.lexsort((ids, -scores, rows))
+    rows, scores, ids = rows[order], scores[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    keep = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < n
+    return rows[keep], scores[keep], ids[keep]
+
+
+def _products(asked: DataFrame, doc_blocks: DataFrame, id_type: str, query_type: str, n: int, exclude_self: bool, bounds_only: bool) -> DataFrame:
+    """The ``n`` best of every query and class over the cells it wants: one matrix product a pair of blocks.
+
+    Every task has some blocks of queries and some of vectors and goes through their pairs, as checkpoints hold them:
+    no vector is shuffled for a pair. What leaves a task is at most ``n`` rows for every query and class, or with
+    ``bounds_only`` the ``n``-th score alone.
+    """
+
+    def results(block, query_ids, tops: dict) -> Iterator[pd.DataFrame]:
+        for name, (rows, scores, ids) in tops.items():
+            if bounds_only:
+                full = np.flatnonzero(np.bincount(rows, minlength=len(query_ids)) == n)
+                worst = np.full(len(query_ids), np.inf)
+                np.minimum.at(worst, rows, scores)
+                yield pd.DataFrame({"block": block, "query_id": query_ids[full], "defect_class": name, "least": worst[full]})
+            else:
+                yield pd.DataFrame({"query_id": query_ids[rows], "defect_class": name, "id": ids, "score": scores})
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, query_ids, queries, wants, tops, least = None, None, None, {}, {}, {}
+        for batch in batches:
+            columns = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            for at in range(batch.num_rows):
+                block = columns["block"][at].as_py()
+                if block != now:
+                    for frame in results(now, query_ids, tops) if now is not None else ():
+                        yield pa.RecordBatch.from_pandas(frame, kinds, preserve_index=False)
+                    now, tops = block, {}
+                    query_ids = np.asarray(columns["query_ids"][at].as_py())
+                    queries = np.frombuffer(columns["query_unit"][at].as_buffer(), np.float64).reshape(len(query_ids), -1)
+                    wants, least = {}, {}
+                    for want in columns["wanted"][at].as_py():
+                        mask = np.frombuffer(want["take"], bool).reshape(len(query_ids), -1)
+                        wants |= {(want["defect_class"], cell): mask[:, k] for k, cell in enumerate(want["numbers"])}
+                        least[want["defect_class"]] = np.frombuffer(want["least"], np.float64).copy()
+                name, cell = columns["defect_class"][at].as_py(), columns["cell"][at].as_py()
+                asking = np.flatnonzero(wants[name, cell]) if (name, cell) in wants else ()
+                if not len(asking):
+                    continue
+                ids = np.asarray(columns["ids"][at].as_py())
+                scores = queries[asking] @ np.frombuffer(columns["unit"][at].as_buffer(), np.float64).reshape(len(ids), -1).T
                 if exclude_self:
-                    scores[query_ids[:, None] == doc_ids[None, :]] = -np.inf
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                found = pd.DataFrame(
-                    {
-                        "query_block": row.query_block,
-                        "query_id": np.repeat(query_ids, keep.shape[1]),
-                        "defect_class": row.defect_class,
-                        "id": doc_ids[keep].ravel(),
-                        "score": np.take_along_axis(scores, keep, axis=1).ravel(),
-                    }
-                )
-                yield found[np.isfinite(found["score"])] if exclude_self else found
-
-    columns = pairs.select("query_block", "query_ids", "query_vectors", "defect_class", "ids", "vectors")
-    return columns.mapInPandas(
-        best, f"query_block bigint, query_id {query_type}, defect_class string, id {id_type}, score double"
-    )
+                    scores[query_ids[asking][:, None] == ids[None, :]] = -np.inf
+                bound = least[name][asking]
+                if scores.shape[1] > n and not np.isfinite(bound).all():
+                    bound = np.maximum(bound, np.partition(scores, -n, axis=1)[:, -n])
+                at_row, at_doc = np.nonzero((scores >= bound[:, None] - 2 * 10.0**-_DIGITS) & np.isfinite(scores))
+                found = (asking[at_row], np.round(scores[at_row, at_doc], _DIGITS), ids[at_doc])
+                tops[name] = top = _merged(tops.get(name, (np.zeros(0, int), np.zeros(0), ids[:0])), found, n)
+                full = np.flatnonzero(np.bincount(top[0], minlength=len(query_ids)) == n)
+                worst = np.full(len(query_ids), np.inf)
+                np.minimum.at(worst, top[0], top[1])
+                least[name][full] = np.maximum(least[name][full], worst[full])
+        for frame in results(now, query_ids, tops) if now is not None else ():
+            yield pa.RecordBatch.from_pandas(frame, kinds, preserve_index=False)
+
+    schema = f"block int, query_id {query_type}, defect_class string, least double" if bounds_only else f"query_id {query_type}, defect_class string, id {id_type}, score double"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    left = asked.select("block", F.col("ids").alias("query_ids"), F.col("unit").alias("query_unit"), "wanted")
+    return left.crossJoin(doc_blocks.select("defect_class", "cell", "ids", "unit")).mapInArrow(best, schema)
 
 
 def cosine_topk(
@@ -343,68 +405,77 @@ def cosine_topk(
     """Exact best ``n`` documents per (query, class) by cosine similarity.
 
     queries(query_id, vector), docs(id, defect_class, vector); ids are strings or longs. The vectors of a class
-    are dealt into cells around a bounded number of centres, and cells into blocks. A first pass scores, for every
-    block of queries, the nearest cells that hold ``n`` vectors; each query's ``n``-th score is then a bound, and the
-    second pass scores only the cells that can hold more: by the triangle inequality of angles no vector of a
+    are dealt into cells around a bounded number of centres, and cells into blocks. A first pass finds, for every
+    query, its ``n``-th score over the nearest cells that hold ``n`` vectors; this is a bound, and the
+    second pass scores only the cells that can hold as much: by the triangle inequality of angles no vector of a
     cell is nearer than the centre's angle less the cell's radius. Nothing that could rank is left out. How many are
     skipped depends on the vectors: most if they lie in clusters, none if they point everywhere alike.
 
-    A pair of blocks is one matrix product that leaves only ``n`` rows per query. The join key is (class, cell,
-    block, stripe of query blocks): a key never meets more than 64 query blocks, however hot its class.
-    ``pairs_seen``, a list, gets the frames of scored pairs of both passes: query_block, defect_class, cell.
+    Blocks meet as pairs of partitions of two checkpoints, so the vectors that are shuffled or written grow with the
+    tables and not with the pairs; a pair of blocks is one matrix product, and a task keeps ``n`` rows per query and class.
+    ``pairs_seen``, a list, gets the frames of scored pairs of both passes: query_id, defect_class, cell.
     """
     if classes is not None:
         docs = docs.filter(F.col("defect_class").isin(*classes))
     id_type, query_type = dict(docs.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    vector = dict(queries.dtypes)["vector"]
     placed, cells = _cells(docs.select("id", "defect_class", "vector"))
-    doc_blocks = _blocks(placed, ["defect_class", "cell"], "id", _BLOCK_ROWS).drop("n_blocks")
-    slots = max(1, -(-queries.count() // _QUERY_ROWS))
-    asked = _blocks(queries.select("query_id", "vector"), [], "query_id", _QUERY_ROWS).drop("n_blocks")
-    names = cells.agg(F.collect_set("defect_class")).scalar()
-    asked = asked.withColumn("defect_class", F.explode(names)).join(cells, "defect_class")
+    cells = reliable_checkpoint(cells)
+    width = task_width(docs.sparkSession)
+    doc_blocks = reliable_checkpoint(_packed(_blocks(placed, ["defect_class", "cell"], "id", _BLOCK_ROWS).drop("n_blocks"), "id", id_type))
+    some = max(1, -(-doc_blocks.count() // _TASK_BLOCKS))
+    doc_blocks = reliable_checkpoint(doc_blocks.repartitionByRange(some, "defect_class", "cell"))
+    asked = _packed(_blocks(queries.select("query_id", "vector"), [], "query_id", _QUERY_ROWS).drop("n_blocks"), "query_id", query_type)
+    asked = reliable_checkpoint(asked)
+    slots = max(1, asked.count())
+    spread = min(slots, max(-(-slots // _STRIPE), -(-width // some)))
+
+    def chosen(second: DataFrame | None) -> DataFrame:
+        """The blocks of queries with ``wanted``: for every class its cells, which query takes which, and the bounds."""
 
-    def chosen(rows: DataFrame, second: bool) -> DataFrame:
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    top, near = _bounds(_unit_rows(row.vectors), row.cells, row.centres)
+                    unit = np.frombuffer(row.unit, np.float64).reshape(len(row.ids), -1)
+                    top, near = _bounds(unit, row.cells, row.centres)
                     held = np.array([c["n"] for c in row.cells])
                     order = np.argsort(-near, axis=1, kind="stable")
                     enough = np.cumsum(held[order], axis=1) - held[order] < n + exclude_self
-                    take = np.zeros(near.shape, bool)
+                    take, bound = np.zeros(near.shape, bool), np.full(len(row.ids), -np.inf)
                     np.put_along_axis(take, order, enough, axis=1)
-                    if second:
+                    if bounded:
                         least = {q["query_id"]: q["least"] for q in ([] if row.found is None else row.found)}
                         bound = np.array([least.get(q, -np.inf) for q in row.ids])
-                        take = ~take & (top >= bound[:, None] - 2e-9)
-                    at, cell = np.nonzero(take)
-                    number = np.array([c["cell"] for c in row.cells])
-                    if len(at):
-                        found = pd.DataFrame({"query_id": np.asarray(row.ids)[at], "defect_class": row.defect_class, "cell": number[cell], "block": row.block})
-                        yield found.assign(vector=pd.Series([row.vectors[k] for k in at], dtype=object))
+                        take = top >= bound[:, None] - 2 * 10.0**-_DIGITS
+                    number = [c["cell"] for c in row.cells]
+                    yield pd.DataFrame({"block": [row.block], "defect_class": row.defect_class, "numbers": [number], "take": [take.tobytes()], "least": [bound.tobytes()]})
+
+        rows, bounded = asked.join(cells), second is not None
+        if bounded:
+            rows = rows.join(second, ["block", "defect_class"], "left")
+        kinds = "block int, defect_class string, numbers array<int>, take binary, least binary"
+        wanted = rows.mapInPandas(choose, kinds).groupBy("block").agg(
+            F.collect_list(F.struct("defect_class", "numbers", "take", "least")).alias("wanted")
+        )
+        return reliable_checkpoint(asked.join(wanted, "block").repartition(spread, "block"))
 
-        return rows.mapInPandas(choose, f"query_id {query_type}, defect_class string, cell int, block int, vector {vector}")
+    def seen(rows: DataFrame) -> DataFrame:
+        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    for want in row.wanted:
+                        at, cell = np.nonzero(np.frombuffer(want["take"], bool).reshape(len(row.ids), -1))
+                        yield pd.DataFrame({"query_id": np.asarray(row.ids)[at], "defect_class": want["defect_class"], "cell": np.asarray(want["numbers"])[cell]})
 
-    def scored(wanted: DataFrame) -> DataFrame:
-        if pairs_seen is not None:
-            pairs_seen.append(wanted.select("query_id", "defect_class", "cell"))
-        groups = wanted.groupBy("defect_class", "cell", F.col("block").alias("query_block")).agg(
-            F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors")
-        )
-        stripe = F.floor(F.col("query_block") / _STRIPE).cast("int")
-        striped = doc_blocks.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit((slots - 1) // _STRIPE))))
-        return _products(groups.withColumn("stripe", stripe).join(striped, ["defect_class", "cell", "stripe"]), id_type, query_type, n, exclude_self)
-
-    first = reliable_checkpoint(scored(chosen(asked, False)))
-    place = Window.partitionBy("query_id", "defect_class").orderBy(F.desc("score"), "id")
-    worst = first.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n)
-    worst = worst.groupBy(F.col("query_block").alias("block"), "defect_class", "query_id").agg(
-        F.when(F.count(F.lit(1)) == n, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least")
-    )
-    found = worst.groupBy("block", "defect_class").agg(F.collect_list(F.struct("query_id", "least")).alias("found"))
-    rest = scored(chosen(asked.join(found, ["block", "defect_class"], "left"), True))
-    return _rank(first.unionByName(rest).drop("query_block"), n)
+        return rows.mapInPandas(pairs, f"query_id {query_type}, defect_class string, cell int")
+
+    first = chosen(None)
+    least = _products(first, doc_blocks, id_type, query_type, n, exclude_self, True)
+    least = least.groupBy("block", "defect_class", "query_id").agg(F.max("least").alias("least"))
+    found = least.groupBy("block", "defect_class").agg(F.collect_list(F.struct("query_id", "least")).alias("found"))
+    rest = chosen(found)
+    if pairs_seen is not None:
+        pairs_seen += [seen(first), seen(rest)]
+    return _rank(_products(rest, doc_blocks, id_type, query_type, n, exclude_self, False), n)
 
 
 def reciprocal_rank_fusion(

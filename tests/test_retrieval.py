@@ -118,6 +118,22 @@ def test_clustered_vectors_leave_most_cells_unscored(spark, monkeypatch):
     assert scored < every / 2
 
 
+def test_cosine_ranks_few_rows_however_many_blocks_there_are(spark, monkeypatch):
+    # what is shuffled is n rows for each query and class from a task, not from each pair of blocks
+    monkeypatch.setattr(R, "_BLOCK_ROWS", 8)
+    monkeypatch.setattr(R, "_QUERY_ROWS", 20)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 6))
+    docs = spark.createDataFrame([(i, "c", [float(x) for x in v]) for i, v in enumerate(vectors)], "id long, defect_class string, vector array<double>")
+    queries = docs.filter("id < 60").select(F.col("id").alias("query_id"), "vector")
+    ranked, rank = [], R._rank
+    monkeypatch.setattr(R, "_rank", lambda rows, n, *more: ranked.append(rows) or rank(rows, n, *more))
+    got = {(r.query_id, r["rank"]): r.id for r in R.cosine_topk(queries, docs, n=6).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(unit[:60] @ unit.T, 9)
+    assert got == {(q, k): i for q in range(60) for k, i in enumerate(sorted(range(400), key=lambda i: (-scores[q, i], i))[:6])}
+    assert ranked[0].count() <= 60 * 6 * 10  # 50 blocks and more
+
 
 def test_fusion_and_rule_guarantee(spark):
     def ranking(ids):
