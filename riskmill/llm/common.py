@@ -105,7 +105,7 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     further, so no link that could join two components is lost. A bucket in which that would take
     more than ``NEAR`` pairs a member gets ``CENTRES`` new centres, each first in a new order, and once more at most
     so many pairs a member; after ``TURNS`` such rounds, and in smaller buckets at once, every pair of different
-    components that ``possible`` does not refuse is verified. Members that are linked with each other join the
+    components is compared. Of all these pairs only those that ``possible`` does not refuse become rows and are verified. Members that are linked with each other join the
     growing component after a few centres, so a large group of copies never becomes a square of pairs.
     """
     inside = Window.partitionBy("bucket")
@@ -121,21 +121,24 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     first = groups.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     first = stored(first.distinct(), f"{name}-first")
     found = stored(components(reliable_checkpoint(verify(first))), f"{name}-found")
-    placed = groups.where("size > 2").select("bucket", "id")
+    placed, known = groups.where("size > 2").select("bucket", "id"), None
     for turn in range(TURNS + 1):
         placed, crowded = _apart(placed, found, turn, name)
         if crowded is None:
             return found
+        if known is None:  # later rounds have a part of these ids
+            known = stored(features(placed.select("id").distinct()), f"{name}-known")
         if turn == TURNS or crowded.isEmpty():
             break
-        # the new centres of a crowded bucket meet the members that are not in their components
-        met = placed.join(sent(crowded), "bucket").where("part <> centre_part")
+        # the new centres of a crowded bucket meet the members outside their components that are not refused
+        others = known.select(*[F.col(c).alias("centre" if c == "id" else f"other_{c}") for c in known.columns])
+        inside = placed.join(sent(crowded.select("bucket").distinct()), "bucket", "left_semi").join(known, "id")
+        met = inside.join(crowded.join(others, "centre"), "bucket").where((F.col("part") != F.col("centre_part")) & possible)
         met = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         links = reliable_checkpoint(verify(met.join(first, ["a", "b"], "left_anti")))
         if not links.isEmpty():
             stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             found = stored(components(stars.union(links)), f"{name}-found")
-    known = features(placed.select("id").distinct())
     left = placed.select("bucket", "id", "part").join(known, "id")
     right = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "bucket"])
     rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part")) & possible)

@@ -145,6 +145,42 @@ def test_a_crowded_bucket_is_linked_by_further_centres(spark):
     assert all(pairs <= 2 * 4 * (n + 40) for pairs in met[:-1])
 
 
+def test_refused_pairs_of_a_crowded_bucket_never_become_rows(spark):
+    # members of one residue are linked; the bucket is crowded, and all other pairs are refused by their residue
+    n = 90
+    buckets = spark.createDataFrame([(b, i) for b in (5, 9) for i in range(n)], "bucket bigint, id bigint")
+    met = []
+
+    def prepare(ids):
+        def verify(pairs):
+            met.append((pairs.count(), pairs.where("pmod(a, 30) = pmod(b, 30)").count()))
+            return pairs.where("pmod(a, 30) = pmod(b, 30)")
+
+        return verify, lambda some: some.select("id", F.pmod("id", F.lit(30)).alias("r")), F.col("r") == F.col("other_r")
+
+    found = linked(buckets, prepare, "residues").collect()
+    assert {(r.id, r.component) for r in found} == {(i, i % 30) for i in range(n)}
+    assert all(pairs == likely for pairs, likely in met[1:])  # the first round's centre meets every member
+
+
+def test_signatures_of_lines_are_shuffled_as_ints_and_tell_lines_apart(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)).strip() for _ in range(60)]
+    near = [t[:-2] + "zz" for t in texts]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts + near)], "id bigint, norm string")
+    signed = line_dedup.buckets_of(frame)
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert "m35" in plan and {f.dataType.typeName() for f in signed.schema} == {"long"}
+    sizes = signed._jdf.queryExecution().analyzed().toString()
+    assert "cast(shiftright" in sizes  # minima are taken of ints
+    met: dict = {}
+    for r in signed.collect():
+        met.setdefault(r.bucket, set()).add(r.id)
+    pairs = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    assert {(i, i + 60) for i in range(60)} <= pairs
+    assert len(pairs) < 80
+
+
 def leaks_brute(docs, items):
     known = {}
     for i, t, *_ in items:
