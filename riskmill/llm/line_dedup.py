@@ -7,7 +7,7 @@ of ``ROWS`` minima propose pairs with high recall, and a pair is a link if the s
 these shingles have a Jaccard similarity of
 ``least`` or more. Components of links are found by distributed union-find; of each, the first line
 (by doc_id, line number, row) stays and the others are removed. A permutation is one of ``ROWS`` hashes
-of a shingle, each bit of it turned or not by a fixed number. A line is cut into pieces that overlap, so a
+of a shingle, ints made of 64 bits, each bit of it turned or not by a fixed number. A line is cut into pieces that overlap, so a
 piece's ``STEP`` shingles are plain columns of one row, and a minimum is taken of them before it is
 taken over rows.
 
@@ -30,7 +30,7 @@ from riskmill.llm.common import linked, may_be_similar, parity, sent, stored, un
 
 SIZE, BANDS, ROWS, LEAST, PARITY, STEP = 9, 12, 3, 0.75, 16, 8
 _random = random.Random(17)
-_TURNS = [_random.getrandbits(63) for _ in range(BANDS * ROWS)]
+_TURNS = [_random.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -53,11 +53,13 @@ def buckets_of(lines: DataFrame) -> DataFrame:
         "id", "k", "piece", F.length("piece").alias("n")
     )
     pieces = pieces.where((F.col("k") == 0) | (F.col("n") >= SIZE))
-    cuts = [F.substring("piece", i + 1, SIZE) for i in range(STEP)]
-    held = [F.lit(True) if i == 0 else F.col("n") >= i + SIZE for i in range(STEP)]
-    hashes = pieces.select(
-        "id", *[F.when(held[i], F.xxhash64(F.lit(r), cuts[i])).alias(f"h{r}_{i}") for i in range(STEP) for r in range(ROWS)]
+    # one hash a shingle; where a piece has fewer shingles, its first stands for the others and changes no minimum
+    hashes = pieces.select("id", "piece", "n", F.xxhash64(F.substring("piece", 1, SIZE)).alias("x0")).select(
+        "id",
+        "x0",
+        *[F.when(F.col("n") >= i + SIZE, F.xxhash64(F.substring("piece", i + 1, SIZE))).otherwise(F.col("x0")).alias(f"x{i}") for i in range(1, STEP)],
     )
+    hashes = hashes.select("id", *[h.alias(f"h{r}_{i}") for i in range(STEP) for r, h in enumerate(_three(f"x{i}"))])
     minima = []
     for at, turn in enumerate(_TURNS):
         turned = [F.col(f"h{at % ROWS}_{i}").bitwiseXOR(F.lit(turn)) for i in range(STEP)]
@@ -67,6 +69,11 @@ def buckets_of(lines: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*bands)).alias("bucket"), "id")
 
 
+def _three(x: str) -> tuple[Column, Column, Column]:
+    """Three ints of a 64-bit hash: its halves and a hash of both."""
+    return F.shiftright(x, 32).cast("int"), F.shiftright(F.shiftleft(x, 32), 32).cast("int"), F.hash(x)
+
+
 def _pieces(norm: Column) -> Column:
     """Runs of up to STEP + SIZE - 1 characters, one from every STEP-th place."""
     return F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{1,{STEP + SIZE - 1}}})).{{1,{STEP}}}"), F.lit(1))
