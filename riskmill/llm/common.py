@@ -36,18 +36,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating large-star and small-star steps: every step hangs
     neighbours on the smallest one known, so the graph becomes stars in O(log^2 n) rounds. Each
-    round is a partial aggregate and a join; nothing of it is collected but a count and a checksum
+    round is two windows and one distinct; nothing of it is collected but a count and a checksum
     that tell whether the round changed anything.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     links, state = _round(links)
+    lowest = F.min("v").over(Window.partitionBy("u"))
     while state[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links, after = _round(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        large = both.withColumn("m", F.least("u", lowest)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # the link with the smallest neighbour stays, the others hang on it; links that come twice go at the end
+        small = large.withColumn("m", lowest).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        links, after = _round(small.distinct())
         if after == state:
             break
         state = after
@@ -56,6 +56,16 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more (a, b) links: only the components that these join are looked at again."""
+    for end in ("a", "b"):
+        at = found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part"))
+        links = links.join(at, end, "left").withColumn(end, F.coalesce(f"{end}_part", end)).drop(f"{end}_part")
+    moved = components(links.select("a", "b"))
+    places = found.join(moved.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+    return places.select("id", F.coalesce("now", "component").alias("component")).union(moved).distinct()
+
+
 def _round(links: DataFrame):
     links = reliable_checkpoint(links)
     row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -132,22 +142,26 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
             break
         # the new centres of a crowded bucket meet the members outside their components that are not refused
         others = known.select(*[F.col(c).alias("centre" if c == "id" else f"other_{c}") for c in known.columns])
-        inside = placed.join(sent(crowded.select("bucket").distinct()), "bucket", "left_semi").join(known, "id")
-        met = inside.join(crowded.join(others, "centre"), "bucket").where((F.col("part") != F.col("centre_part")) & possible)
+        inside = _described(placed.join(sent(crowded.select("bucket").distinct()), "bucket", "left_semi"), known)
+        centres = crowded.join(others, "centre")
+        centres = F.broadcast(centres) if crowded.count() <= SENT // 16 else centres
+        met = inside.join(centres, "bucket").where((F.col("part") != F.col("centre_part")) & possible)
         met = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         links = reliable_checkpoint(verify(met.join(first, ["a", "b"], "left_anti")))
         if not links.isEmpty():
-            stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-            found = stored(components(stars.union(links)), f"{name}-found")
-    left = placed.select("bucket", "id", "part").join(known, "id")
+            found = stored(merged(found, links), f"{name}-found")
+    left = _described(placed, known)
     right = left.select("bucket", *[F.col(c).alias(f"other_{c}") for c in left.columns if c != "bucket"])
     rest = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id") < F.col("other_id")) & (F.col("part") != F.col("other_part")) & possible)
     rest = rest.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = reliable_checkpoint(verify(rest))
-    if more.isEmpty():
-        return found
-    stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(stars.union(more))
+    return found if more.isEmpty() else merged(found, more)
+
+
+def _described(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, id, part with the columns of ``known``: an id meets them once, not once in each of its buckets."""
+    members = placed.groupBy("id").agg(F.min("part").alias("part"), F.collect_list("bucket").alias("buckets"))
+    return members.join(known, "id").withColumn("bucket", F.explode_outer("buckets")).drop("buckets")
 
 
 #: Rounds of further centres, centres a round, and the pairs a member from which a bucket gets them.
