@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskmill.session import reliable_checkpoint, scratch_path
+from riskmill.session import reliable_checkpoint, scratch_path, shuffles_dropped
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: later uses do not recompute it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -118,6 +119,11 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str,
     components is compared. Of all these pairs only those that ``possible`` does not refuse become rows and are verified. Members that are linked with each other join the
     growing component after a few centres, so a large group of copies never becomes a square of pairs.
     """
+    with shuffles_dropped(buckets.sparkSession):
+        return _linked(buckets, prepare, name, orders)
+
+
+def _linked(buckets: DataFrame, prepare: Callable[[DataFrame], tuple], name: str, orders: int) -> DataFrame:
     inside = Window.partitionBy("bucket")
     mask = F.xxhash64(F.pmod("bucket", F.lit(orders)))
     groups = buckets.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import re
 import tempfile
@@ -11,6 +12,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "riskmill") -> SparkSession:
@@ -72,6 +74,20 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Frames made inside drop the files of their shuffles when an action on them ends, not when the driver collects garbage.
+
+    Spark's own setting, put back at the end; a task that still asks for such a file has its stage run again.
+    """
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
+
+
 def reliable_checkpoint(df, eager: bool = True):
     """Cut lineage with a checkpoint that survives the loss of an executor."""
     shared_dir(df.sparkSession)

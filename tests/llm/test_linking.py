@@ -1,11 +1,14 @@
-"""Components in few shuffles, components after more links, and features that meet an id once."""
+"""Components in few shuffles, components after more links, features that meet an id once, and no shuffle files left."""
 
 import random
+import time
+from pathlib import Path
 
 from fixtures import Union
 from pyspark.sql import functions as F
 
 from riskmill.llm import common
+from riskmill.session import CLEANUP_CONF
 
 
 def test_a_round_of_components_shuffles_three_times(spark, monkeypatch):
@@ -43,3 +46,21 @@ def test_an_id_of_many_buckets_meets_its_features_once(spark):
     joined = out._jdf.queryExecution().optimizedPlan().toString()
     assert joined.index("Generate") < joined.index("Join")  # the buckets are opened above the join
     assert sorted((r.bucket, r.id, r.n) for r in out.collect()) == [(b, i, 10 * i) for b in range(30) for i in range(10)]
+
+
+def test_linking_and_stored_frames_leave_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for folder in folders for f in Path(folder).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(CLEANUP_CONF, None)
+    buckets = spark.createDataFrame([(b, i) for b in (5, 9) for i in range(40)], "bucket bigint, id bigint")
+    prepare = lambda ids: (lambda pairs: pairs.where("abs(a - b) = 1"), lambda some: some, F.lit(True))
+    found = common.linked(buckets, prepare, "chain")
+    assert common.stored(buckets.groupBy("bucket").count(), "counts").count() == 2
+    for _ in range(50):  # files go in the background
+        left = files() - before
+        if len(left) <= 8:
+            break
+        time.sleep(0.1)
+    assert len(left) <= 8, len(left)
+    assert {(r.id, r.component) for r in found.collect()} == {(i, 0) for i in range(40)}
+    assert spark.conf.get(CLEANUP_CONF, None) == setting
