@@ -2,10 +2,10 @@
 
 Method: nearness is the inner product, turned into distance by one more coordinate (a vector is
 scaled by the largest norm and padded to length one, a query is scaled to length one and padded
-with zero). The index holds, for each block of vectors, one sorted array for each of
-``PROJECTIONS`` random lines, the vectors' positions along it, with each vector's rank in it. A query's window on each line is
-centred on its own position and widened by virtual rehashing (``WIDEN`` times the radius each round)
-without building anything anew; a vector counts one collision for each line whose window holds it. Vectors
+with zero). The index sorts each block of vectors along each of ``PROJECTIONS`` random lines and cuts a line into
+``BUCKETS`` runs of equally many. A query's window on each line is
+centred on its own position and widened by virtual rehashing (``WIDEN`` times the radius each round, out to whole runs)
+without building anything anew; a vector counts one collision for each line whose window holds it, 64 vectors at a time as bits. Vectors
 with ``THRESHOLD`` collisions or more are verified on the original coordinates. A query stops
 when it has verified ``enough`` vectors of the block (a multiple of k), so its best k are safe with
 the documented recall; windows of the last round hold the block whole, so k are found if there are.
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, THRESHOLD, BLOCK, QUERY_BLOCK = 160, 0.5, 24576, 1024
-FIRST_RADIUS, WIDEN, SHARE, SHELL = 0.5, 1.12, 0.1, 1.15
+FIRST_RADIUS, WIDEN, SHARE, SHELL = 0.5, 1.12, 0.13, 1.15
+BUCKETS, COUNTED = 64, 24576  # runs of a line; words of 64 bits that are counted at once
 TINY = 1e-150  # norms whose squares vanish count as this
 FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -52,7 +53,10 @@ def _unit(v: np.ndarray, largest: float) -> np.ndarray:
 
 
 class BlockIndex:
-    """The sorted projection arrays of one block of vectors."""
+    """The projections of one block of vectors, each line cut into ``BUCKETS`` runs of equally many.
+
+    For each line and cut a bit string tells which vectors lie below the cut, so a window is the difference of two of them.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, share: float = SHARE, seed: int = 8):
         order = np.argsort(ids, kind="stable")
@@ -60,57 +64,121 @@ class BlockIndex:
         self.largest = max(np.linalg.norm(self.vectors, axis=1).max(), TINY)
         rng = np.random.default_rng(seed)
         self.lines = rng.standard_normal((PROJECTIONS, vectors.shape[1] + 1))
-        places = _unit(self.vectors, self.largest) @ self.lines.T
-        rows = np.argsort(places, axis=0, kind="stable")
-        self.places = np.take_along_axis(places, rows, axis=0).T.copy()
-        self.ranks = np.empty((PROJECTIONS, len(order)), np.uint16)
-        np.put_along_axis(self.ranks, rows.T, np.arange(len(order), dtype=np.uint16)[None, :], axis=1)
+        places = self.lines @ _unit(self.vectors, self.largest).T
+        at = np.arange(1, BUCKETS) * len(ids) // BUCKETS
+        self.cuts = np.sort(places, axis=1)[:, at]
+        runs = np.array([np.searchsorted(c, p, "right") for c, p in zip(self.cuts, places)]).astype(np.uint8)
+        self.below, self.some = _below(runs), _below(runs[:, ::8])
         self.share = share
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and scores of the best k found of each query; all queries widen their windows in step."""
         n, most = len(self.ids), len(queries)
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        centred = (np.hstack([unit, np.zeros((most, 1))]) @ self.lines.T).T
+        lengths = np.linalg.norm(queries, axis=1)
+        centred = self.lines @ np.hstack([queries / lengths[:, None], np.zeros((most, 1))]).T
         enough = max(50 * k, int(self.share * n))
         found: list = [None] * most
         # on every eighth vector each query finds the radius at which the share is reached; the block is then
         # counted at that radius, and wider where it still holds too few
         radii = np.full(most, FIRST_RADIUS)
-        self._widen(self.ranks[:, ::8].copy(), centred, radii, lambda i, close: len(close) >= self.share * n / 8)
+        self._widen(self.some, centred, radii, lambda i, close: np.bitwise_count(close).sum() >= self.share * n / 8)
 
         def settle(i: int, close: np.ndarray) -> bool:
+            close = np.flatnonzero(np.unpackbits(close.view(np.uint8), count=n, bitorder="little"))
             close = close[self.ids[close] != query_ids[i]]
+            verified = len(close)
+            if verified > k:
+                # a product in any order tells all but those near the k-th; their scores are summed in order
+                rough = self.vectors[close] @ queries[i]
+                doubt = 4e-16 * (queries.shape[1] + 8) * self.largest * lengths[i]
+                close = close[~(rough < np.partition(rough, -k)[-k] - 2 * doubt)]
             score = _products(self.vectors[close], queries[i])
             best = np.lexsort((self.ids[close], -score))[:k]
             found[i] = (self.ids[close][best], score[best])
-            return len(close) >= enough
+            return verified >= enough
 
-        self._widen(self.ranks, centred, radii, settle)
+        self._widen(self.below, centred, radii, settle)
         return found
 
-    def _widen(self, ranks: np.ndarray, centred: np.ndarray, radii: np.ndarray, done) -> None:
+    def _widen(self, below: np.ndarray, centred: np.ndarray, radii: np.ndarray, done) -> None:
         """Widen the windows of each query until ``done`` with the vectors of enough collisions, or all are inside."""
         least = int(np.ceil(THRESHOLD * PROJECTIONS))
-        moved, hit = np.empty_like(ranks), np.empty(ranks.shape, bool)
+        step = max(16, COUNTED // below.shape[2])
         waiting = np.arange(len(radii))
         while len(waiting):
-            c, r = centred[:, waiting], radii[waiting]
-            first = np.array([np.searchsorted(p, v - r) for p, v in zip(self.places, c)])
-            after = np.array([np.searchsorted(p, v + r, "right") for p, v in zip(self.places, c)])
-            first, width = first.astype(np.uint16), (after - first).astype(np.uint16)
             left = []
-            for at, i in enumerate(waiting.tolist()):
-                # a vector collides on a line if its rank lies in the window: one wrapping subtraction, one comparison
-                np.subtract(ranks, first[:, at, None], out=moved)
-                np.less(moved, width[:, at, None], out=hit)
-                close = np.flatnonzero(np.add.reduce(hit.view(np.uint8), axis=0, dtype=np.uint8) >= least)
-                if not done(i, close) and width[:, at].min() < len(self.ids):
-                    left.append(i)
+            for lo in range(0, len(waiting), step):
+                some = waiting[lo : lo + step]
+                c, r = centred[:, some], radii[some]
+                # a window grows by whole runs: those that hold its ends are inside
+                first = np.array([np.searchsorted(t, v - r, "right") for t, v in zip(self.cuts, c)])
+                after = np.array([np.searchsorted(t, v + r, "right") + 1 for t, v in zip(self.cuts, c)])
+                whole = (first.max(axis=0) == 0) & (after.min(axis=0) == BUCKETS)
+                for i, all_in, close in zip(some.tolist(), whole, _colliding(below, first, after, least)):
+                    if not done(i, close) and not all_in:
+                        left.append(i)
             waiting = np.array(left, np.int64)
             radii[waiting] *= WIDEN
 
 
+def _below(runs: np.ndarray) -> np.ndarray:
+    """line, run, words of 64 bits: which vectors lie in an earlier run."""
+    lines, n = runs.shape
+    out = np.zeros((lines, BUCKETS + 1, -(-n // 64) * 8), np.uint8)
+    before = np.arange(BUCKETS + 1, dtype=np.uint8)[:, None]
+    for line in range(lines):
+        out[line, :, : -(-n // 8)] = np.packbits(runs[line] < before, axis=1, bitorder="little")
+    return out.view(np.uint64)
+
+
+def _colliding(below: np.ndarray, first: np.ndarray, after: np.ndarray, least: int) -> np.ndarray:
+    """Bits of the vectors that lie in the windows of ``least`` lines or more, for each query.
+
+    64 vectors are counted at once: ``digits[k]`` holds bit strings that each count 2**k, and three of them
+    become their sum's two binary digits.
+    """
+    digits: list[list[np.ndarray]] = [[]]
+    for line in range(len(below)):
+        inside = below[line].take(after[line], axis=0)
+        inside ^= below[line].take(first[line], axis=0)
+        digits[0].append(inside)
+        k = 0
+        while len(digits[k]) == 3:
+            _carry(digits, k)
+            k += 1
+    k = 0
+    while k < len(digits):
+        while len(digits[k]) > 1:
+            _carry(digits, k)
+        k += 1
+    nothing = np.zeros(first.shape[1:] + below.shape[2:], np.uint64)
+    more, same = nothing.copy(), ~nothing
+    for k in range(max(len(digits), least.bit_length()) - 1, -1, -1):
+        digit = digits[k][0] if k < len(digits) and digits[k] else nothing
+        if least >> k & 1:
+            same &= digit
+        else:
+            more |= same & digit
+            same &= ~digit
+    return more | same
+
+
+def _carry(digits: list[list[np.ndarray]], k: int) -> None:
+    """Two or three bit strings of digit ``k`` become one of them and one of the next."""
+    a, b, *rest = digits[k]
+    either = a ^ b
+    a &= b
+    if rest:
+        digits[k] = [either ^ rest[0]]
+        either &= rest[0]
+        a |= either
+    else:
+        digits[k] = [either]
+    if k + 1 == len(digits):
+        digits.append([])
+    digits[k + 1].append(a)
+
+
 def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products summed in order of the components: the same digits for any block or order."""
     total = np.zeros(len(rows))
@@ -181,14 +249,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            asked = right["id"].to_numpy()
-            held = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
-            for query_id, (ids, scores) in zip(asked, _search_block(*held, asked, np.stack(right["v"].to_numpy()), k, share)):
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        right = right.sort_values("id")
+        asked = right["id"].to_numpy()
+        held = left["id"].to_numpy(), np.stack(left["v"].to_numpy())
+        best = _search_block(*held, asked, np.stack(right["v"].to_numpy()), k, share)
+        ids, scores = (np.concatenate(x) for x in zip(*best))
+        return pd.DataFrame({"query_id": np.repeat(asked, [len(x) for x, _ in best]), "vec_id": ids, "score": scores})
 
     found = rows.groupBy("block", "slice").cogroup(asks.groupBy("block", "slice")).applyInPandas(search, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
