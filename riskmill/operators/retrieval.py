@@ -41,11 +41,13 @@ def _explode_terms(bags: DataFrame, kept: Sequence, terms: str) -> DataFrame:
 
 
 def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
-    """(counts, df of every term, number of documents, mean length), from one pass over the texts.
+    """(postings, df of every term, number of documents, mean length), from one pass over the texts.
 
-    ``counts`` (term, defect_class, length, id, tf) is written once, as a table that later steps read
-    instead of the texts. A document's counts are made where it is read: native aggregates would send a row for every
-    token's document through a shuffle first. Every document also counts the empty term, which no text
+    A row of ``postings`` (term, defect_class, part, ids, lengths, tfs) is a term in a range of documents of one class.
+    A range holds documents of like length, so that the greatest score in it says something, and is split by hash so
+    that a hot term never is one row for all documents. A document's counts are made where it is read and travel to its
+    range as one row; only there they become postings, so no row is one term of one document. They are written once, as a table that
+    later steps read instead of the texts. Every document also counts the empty term, which no text
     holds: its rows carry the totals.
     """
 
@@ -54,43 +56,52 @@ def _counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, float]:
             texts = batch.column(2).cast(pa.binary())
             lo = 0
             while lo < batch.num_rows:
-                rows, terms, times, lengths, size = [], [], [], [], 0
-                while lo < batch.num_rows and size < 1 << 22:
+                first, terms, times, lengths, ends, size = lo, [], [], [], [0], 0
+                while lo < batch.num_rows and size < 1 << 20:
                     text = texts[lo].as_py() or b""  # lower() of bytes is that of ASCII letters alone
                     found = Counter(_TERM.findall(text.lower()))
-                    length = found.total()
+                    lengths.append(found.total())
                     found[b""] = 1
                     terms += found.keys()
                     times += found.values()
-                    rows += [lo] * len(found)
-                    lengths += [length] * len(found)
+                    ends.append(len(terms))
                     size += len(text)
                     lo += 1
-                at = pa.array(rows, pa.int32())
-                columns = [pa.array(terms, pa.binary()).cast(pa.string()), batch.column(1).take(at), pa.array(lengths, pa.int32())]
-                columns += [batch.column(0).take(at), pa.array(times, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["term", "defect_class", "length", "id", "tf"])
+                columns = [c.slice(first, lo - first) for c in (batch.column(0), batch.column(1))]
+                lists = pa.array(terms, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())
+                columns += [pa.array(lengths, pa.int32()), *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in lists]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "defect_class", "length", "terms", "tfs"])
+
+    def inverted(table: pa.Table) -> pa.Table:
+        held = {c: table[c].combine_chunks() for c in table.column_names}
+        coded = held["terms"].flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        if len(coded.dictionary) <= 1 << 16:
+            codes = codes.astype(np.uint16)  # sorted by radix
+        order = np.argsort(codes, kind="stable").astype(np.int32)
+        document = pa.array(np.repeat(np.arange(len(table), dtype=np.int32), held["terms"].value_lengths().to_numpy())[order])
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))].astype(np.int32))
+        same = pa.array(np.zeros(len(coded.dictionary), np.int64))
+        lists = held["id"].take(document), held["length"].take(document), held["tfs"].flatten().take(pa.array(order))
+        columns = [coded.dictionary, held["defect_class"].take(same), held["part"].take(same), *[pa.ListArray.from_arrays(ends, x) for x in lists]]
+        return pa.Table.from_arrays(columns, names=["term", "defect_class", "part", "ids", "lengths", "tfs"])
 
     kind = dict(docs.dtypes)["id"]
-    rows = docs.select("id", "defect_class", "text")
-    counts = reliable_checkpoint(rows.mapInArrow(counted, f"term string, defect_class string, length int, id {kind}, tf bigint"))
-    seen = reliable_checkpoint(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total")))
-    totals = seen.filter("term = ''").first()
-    n_docs = totals["df"] if totals else 0
-    return counts.filter("term <> ''"), seen.filter("term <> ''").select("term", "df"), n_docs, (totals["total"] / n_docs if n_docs else 0.0)
-
-
-def _postings(counts: DataFrame, asked: DataFrame, n_docs: int) -> DataFrame:
-    """Blocks of the asked terms: (term, defect_class, part, postings of id, length and tf).
-
-    A block is a term in a range of documents of one class. A range holds documents of like length, so that the greatest
-    score in it says something, and is split by hash so that a hot term never is one row for all documents.
-    """
-    splits = -(-n_docs // _RANGE_ROWS) or 1
+    splits = -(-docs.count() // _RANGE_ROWS) or 1
     like = F.floor(F.log2(F.col("length") + 1)).cast("int")
     part = like * F.lit(splits) + F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int")
-    found = counts.join(asked.select("term").distinct(), "term", "left_semi")
-    return found.groupBy("term", "defect_class", part.alias("part")).agg(F.collect_list(F.struct("id", "length", "tf")).alias("postings"))
+    rows = docs.select("id", "defect_class", "text").mapInArrow(
+        counted, f"id {kind}, defect_class string, length int, terms array<string>, tfs array<int>"
+    )
+    ranges = rows.withColumn("part", part).groupBy("defect_class", "part")
+    postings = reliable_checkpoint(
+        ranges.applyInArrow(inverted, f"term string, defect_class string, part int, ids array<{kind}>, lengths array<int>, tfs array<int>")
+    )
+    total = F.when(F.col("term") == "", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda x, y: x + y))
+    seen = reliable_checkpoint(postings.groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.sum(total).alias("total")))
+    totals = seen.filter("term = ''").first()
+    n_docs = totals["df"] if totals else 0
+    return postings.filter("term <> ''"), seen.filter("term <> ''").select("term", "df"), n_docs, (totals["total"] / n_docs if n_docs else 0.0)
 
 
 def _weights(seen: DataFrame, n_docs: int, epsilon: float) -> DataFrame:
@@ -129,14 +140,14 @@ def bm25_best(
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    counts, seen, n_docs, mean_length = _counts(docs)
+    postings, seen, n_docs, mean_length = _counts(docs)
     weighted = asked.join(_weights(seen, n_docs, epsilon), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
     )
     weighted = reliable_checkpoint(weighted)
-    held = _postings(counts.filter(F.col("defect_class").isin(*classes)), weighted, n_docs)
-    saturated = f"transform(postings, p -> p.tf * {k1 + 1}D / (p.tf + {k1}D * ({1 - b}D + {b}D * p.length / {mean_length or 1.0}D)))"
-    held = held.select("term", "defect_class", "part", F.col("postings.id").alias("ids"), F.expr(saturated).alias("parts"))
+    held = postings.filter(F.col("defect_class").isin(*classes)).join(weighted.select("term").distinct(), "term", "left_semi")
+    saturated = f"zip_with(tfs, lengths, (tf, length) -> tf * {k1 + 1}D / (tf + {k1}D * ({1 - b}D + {b}D * length / {mean_length or 1.0}D)))"
+    held = held.select("term", "defect_class", "part", "ids", F.expr(saturated).alias("parts"))
     held = reliable_checkpoint(held)
     top = held.select("term", "defect_class", "part", F.array_max("parts").alias("top"))
     bounds = weighted.join(top, "term").groupBy("query_id", "defect_class", "part").agg(
