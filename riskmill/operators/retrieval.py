@@ -31,6 +31,7 @@ _QUERY_ROWS = 256  # vectors in a query block
 _STRIPE = 64  # query blocks of a task
 _TASK_BLOCKS = 24  # document blocks of a task, which holds them in memory
 _MOST_CELLS = 256  # cells of a class
+_SENT_TERMS = 1 << 18  # asked terms that are sent to every task; more are shuffled
 _RANGE_ROWS = 1 << 15  # documents of one class and like length in a range of postings, about
 
 
@@ -145,7 +146,10 @@ def bm25_best(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")
     )
     weighted = reliable_checkpoint(weighted)
-    held = postings.filter(F.col("defect_class").isin(*classes)).join(weighted.select("term").distinct(), "term", "left_semi")
+    terms = weighted.select("term").distinct()
+    if terms.count() <= _SENT_TERMS:  # else the postings would be shuffled before their join is planned
+        terms = F.broadcast(terms)
+    held = postings.filter(F.col("defect_class").isin(*classes)).join(terms, "term", "left_semi")
     saturated = f"zip_with(tfs, lengths, (tf, length) -> tf * {k1 + 1}D / (tf + {k1}D * ({1 - b}D + {b}D * length / {mean_length or 1.0}D)))"
     held = held.select("term", "defect_class", "part", "ids", F.expr(saturated).alias("parts"))
     held = reliable_checkpoint(held)

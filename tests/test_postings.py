@@ -31,3 +31,20 @@ def test_no_documents(spark):
     frame = spark.createDataFrame([], "id string, defect_class string, text string")
     postings, seen, n_docs, mean_length = R._counts(frame)
     assert postings.count() == seen.count() == n_docs == 0 and mean_length == 0
+
+
+def test_postings_are_not_shuffled_for_the_asked_terms(spark, monkeypatch):
+    plans = []
+
+    def kept(df, eager=True):
+        if df.columns == ["term", "defect_class", "part", "ids", "parts"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df, eager)
+
+    checkpoint = R.reliable_checkpoint
+    monkeypatch.setattr(R, "reliable_checkpoint", kept)
+    docs = spark.createDataFrame([(i, "A", f"one w{i}") for i in range(30)], "id bigint, defect_class string, text string")
+    queries = spark.createDataFrame([(1, "w3 one"), (2, "none")], "query_id bigint, text string")
+    best = {(r.query_id, r.id) for r in R.bm25_best(queries, docs, ["A"], 40).collect()}
+    assert best == {(1, i) for i in range(30)}
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
